@@ -35,10 +35,20 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str | None, max_n: int = MAX_N) -> np.ndarray:
+def _pieces(text: str, size: int = 500_000) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut at blanks where there are any."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            blank = text.rfind(" ", at, end)
+            end = blank if blank > at else end
+        yield text[at:end]
+        at = end
+
+
+def grams(text: str, max_n: int = MAX_N) -> np.ndarray:
     """The text's n-grams as packed code points, with repeats; none without letters."""
-    if not text:
-        return np.empty(0, np.int64)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     is_letter = _letters()[codes]
     if not is_letter.any():
@@ -55,19 +65,48 @@ def grams(text: str | None, max_n: int = MAX_N) -> np.ndarray:
     return np.concatenate(out)
 
 
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def merged(counts: list[Counts]) -> Counts:
+    """The sum of several counts."""
+    if len(counts) == 1:
+        return counts[0]
+    kinds, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+    return kinds, np.bincount(at, np.concatenate([c[1] for c in counts]), len(kinds)).astype(np.int64)
+
+
+def counted(texts: list[str]) -> Counts:
+    """Counts of the n-grams of all texts, held for some 500,000 characters at a time."""
+    done: list[Counts] = []
+    found: list[np.ndarray] = []
+    size = 0
+    for part in (p for t in texts for p in _pieces(t)):
+        found.append(grams(part))
+        size += len(part)
+        if size > 500_000:
+            done.append(np.unique(np.concatenate(found), return_counts=True))
+            found, size = [], 0
+            if len(done) > 20:
+                done = [merged(done)]
+    if found or not done:
+        done.append(np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True))
+    return merged(done)
+
+
 def ranked(text: str | None, top: int = TOP) -> np.ndarray:
     """The most frequent n-grams, most frequent first."""
-    kinds, counts = np.unique(grams(text), return_counts=True)
+    kinds, counts = counted([text or ""])
     return kinds[np.lexsort((kinds, -counts))[:top]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        by_lang: dict[str, list[np.ndarray]] = {}
+        by_lang: dict[str, list[str]] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(grams(text))
-        for lang, found in by_lang.items():
-            kinds, counts = np.unique(np.concatenate(found), return_counts=True)
+            by_lang.setdefault(lang, []).append(text)
+        for lang, texts in by_lang.items():
+            kinds, counts = counted(texts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds), pa.array(counts)], ["lang", "gram", "n"])
 
 
