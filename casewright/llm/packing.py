@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
 Each document's token ids are hashed into BUCKETS counts, projected by a fixed random matrix to DIMS numbers
-and placed on a Hilbert curve. Documents are range-sorted by (curve key, doc_id) and concatenated, so each
+and, scaled by the median and spread of a sample, placed on a Hilbert curve. Documents are range-sorted by (curve key, doc_id) and concatenated, so each
 sequence of LENGTH tokens holds neighbours on the curve. Documents are cut where a sequence ends; only the
 last sequence of a range is not full, and it is cut into sequences of powers of two, which need no padding.
 
@@ -16,7 +16,9 @@ other, by their text's hash. An empty table gives no pieces.
 from __future__ import annotations
 
 import functools
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,53 +34,87 @@ LENGTH, END = 2048, 1
 BUCKETS, DIMS, BITS = 1024, 4, 10
 #: Documents a range, sampled keys a range, ranges at most.
 RANGE_ROWS, SAMPLE, RANGES = 1500, 24, 65_536
-#: Distinct words whose ids a worker keeps (some 200 bytes each).
-CACHE = 800_000
-_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: Distinct parts of words whose ids a worker keeps (some 200 bytes each).
+CACHE, LONG = 600_000, 64
+
+
+def _letters_and_numbers() -> tuple[str, str]:
+    kinds = {i: unicodedata.category(chr(i))[0] for i in range(0x180)}
+    return tuple("".join(re.escape(chr(i)) for i, k in kinds.items() if k == x) for x in "LN")
+
+
+#: Texts of these characters, which lower-casing and NFC leave to one rule, are split here, others by the tokenizer.
+_SIMPLE = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u017f]*")
+_L, _N = _letters_and_numbers()
+#: The tokenizer's own pattern over those characters.
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+
+
+def _shown_bytes() -> list[str]:
+    """How byte-level tokenizers write each byte: itself if it is printable, else the next character from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_SHOWN = _shown_bytes()
 
 
 @functools.cache
 def _tokenizer(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    if tok.get_vocab_size() > 1 << 16:
+        raise ValueError("ids don't fit in 16 bits")
+    return tok, tok.model, {}
 
 
 def tokenize(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as 16-bit numbers, with the end id.
 
-    This tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words; words are looked up and only new ones tokenized. A vocabulary over 65,536 is refused.
+    The tokenizer splits a text into parts that it merges one by one. Common parts are looked up, new ones
+    go to its merge model; texts with special tokens or characters beyond Latin go to it as they are.
     """
-    tok, known = _tokenizer(path)
-    if tok.get_vocab_size() > 1 << 16:
-        raise ValueError("ids don't fit in 16 bits")
+    tok, model, known = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
-    split = [_SPACE.split(t) for t in texts]
-    new = [w for w in {w for words in split for w in words} if w not in known]
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
     end = np.array([END], "<u2").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, words)) + end for words in split]
+    out: list[bytes] = [b""] * len(texts)
+    get, split, simple = known.get, _PARTS.findall, _SIMPLE.fullmatch
+    hard: list[int] = []
+    for i, t in enumerate(texts):
+        if "<|" in t or not simple(t):
+            hard.append(i)
+            continue
+        parts = split(t.lower())
+        ids = list(map(get, parts))
+        if None in ids:
+            for k, (w, x) in enumerate(zip(parts, ids, strict=True)):
+                if x is None:
+                    x = get(w)
+                    if x is None:
+                        x = np.array([m.id for m in model.tokenize("".join([_SHOWN[b] for b in w.encode()]))], "<u2").tobytes()
+                        if len(w) <= LONG:
+                            known[w] = x
+                    ids[k] = x
+        out[i] = b"".join(ids) + end
+    for i, e in zip(hard, tok.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u2").tobytes() + end
+    return out
 
 
 @functools.cache
 def _projection() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(8)).standard_normal((BUCKETS, DIMS))
+    """For each id, the row of the random matrix of the bucket that it is hashed to."""
+    matrix = np.random.Generator(np.random.PCG64(8)).standard_normal((BUCKETS, DIMS)).astype(np.float32)
+    return matrix[(np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(22)]
 
 
 def vector(ids: np.ndarray) -> np.ndarray:
-    """The projected, normalised hashed counts of token ids."""
-    hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
-    counts = np.sqrt(np.bincount(hashed, minlength=BUCKETS))
-    return (counts @ _projection()) / max(1.0, float(np.linalg.norm(counts)))
+    """The document's hashed counts, projected and divided by the root of their sum."""
+    return _projection()[ids].sum(axis=0, dtype=np.float64) / np.sqrt(len(ids))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
