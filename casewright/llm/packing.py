@@ -106,15 +106,16 @@ def tokenize(texts: list[str], path: str) -> list[bytes]:
 
 
 @functools.cache
-def _projection() -> np.ndarray:
-    """For each id, the row of the random matrix of the bucket that it is hashed to."""
-    matrix = np.random.Generator(np.random.PCG64(8)).standard_normal((BUCKETS, DIMS)).astype(np.float32)
-    return matrix[(np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(22)]
+def _projection() -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each id, and the random matrix."""
+    buckets = (np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
+    return buckets.astype(np.int64), np.random.Generator(np.random.PCG64(8)).standard_normal((BUCKETS, DIMS))
 
 
 def vector(ids: np.ndarray) -> np.ndarray:
     """The document's hashed counts, projected and divided by the root of their sum."""
-    return _projection()[ids].sum(axis=0, dtype=np.float64) / np.sqrt(len(ids))
+    buckets, matrix = _projection()
+    return np.bincount(buckets[ids], minlength=BUCKETS) @ matrix / np.sqrt(len(ids))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
