@@ -163,7 +163,8 @@ def judge(stats: DataFrame, fences: DataFrame, small: int = 200_000) -> DataFram
     inside = F.lit(True)
     for k in MEASURES:
         inside = inside & (F.col(f"m_{k}") <= F.col(f"hi_{k}")) & (F.col(f"m_{k}") >= F.col(f"lo_{k}"))
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    # one condition over both sides: a part of it alone would be pushed into the scan and count words per element
+    kept = F.coalesce(F.when(F.col("base_failed"), F.lit(False)).otherwise(inside), F.lit(False))
     drop = [f"{c}_{k}" for k in MEASURES for c in ("hi", "lo")]
     return joined.withColumn("kept", kept).drop("_tl", "_ts", "_lang", "_source", *drop)
 
@@ -184,5 +185,5 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text", "lang", "source")
     narrow = with_counts(packed.select("doc_id", "text", "lang", "source")).drop("text")
-    fences = thresholds(with_verdict_inputs(narrow))
+    fences = thresholds(with_verdict_inputs(cut(narrow)))
     return judge(with_verdict_inputs(with_counts(packed)), fences).where("kept").select("_doc.*")
