@@ -88,7 +88,7 @@ def sentences(text: Column) -> Column:
 
 def line_of(text: Column, needle: Column) -> Column:
     """The number, from 0, of the line in which the first 40 characters of ``needle`` first occur; 0 if they don't."""
-    at = F.locate_in(text, needle) if hasattr(F, "locate_in") else F.call_function("instr", text, F.left(needle, F.lit(40)))
+    at = F.call_function("instr", text, F.left(needle, F.lit(40)))
     before = F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0)))
     return F.when(at > 0, F.length(before) - F.length(F.translate(before, "\n", ""))).otherwise(0)
 

@@ -24,7 +24,7 @@ def lines(text: Column) -> Column:
 
 def numeric_lines(markdown: Column) -> Column:
     """array<struct<line_index, value>> of the lines that hold one whole number."""
-    numbered = F.transform(lines(markdown), lambda x, i: F.struct(i.alias("line_index"), F.expr("try_cast(trim(x) as int)").alias("value") if False else F.trim(x).alias("text")))
+    numbered = F.transform(lines(markdown), lambda x, i: F.struct(i.alias("line_index"), F.trim(x).alias("text")))
     digits = F.filter(numbered, lambda x: x["text"].rlike("^[0-9]{1,9}$"))
     return F.transform(digits, lambda x: F.struct(x["line_index"].alias("line_index"), x["text"].cast("int").alias("value")))
 

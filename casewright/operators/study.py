@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.functions import text as X
+from casewright.functions.session import cut
 
 # -- search ---------------------------------------------------------------------------------------------
 
@@ -101,13 +102,15 @@ def chains(artifacts: DataFrame, max_depth: int = 64) -> DataFrame:
     missing parent, at the depth, and where it would meet an artifact again.
     """
     edges = artifacts.where("parent_id IS NOT NULL AND parent_id <> id").select("id", "parent_id")
-    edges = edges.join(artifacts.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    edges = cut(edges.join(artifacts.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("id", "parent_id"))
     out = artifacts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     step, length = edges.select("id", F.col("parent_id").alias("to")), 1
     while length < max_depth:
         longer = out.join(step.select(F.col("id").alias("ancestor"), F.col("to")), "ancestor")
-        out = out.unionByName(longer.select("id", F.col("to").alias("ancestor"), (F.col("depth") + length).alias("depth")))
-        step = step.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"))
+        out = cut(out.unionByName(longer.select("id", F.col("to").alias("ancestor"), (F.col("depth") + length).alias("depth"))))
+        step = cut(step.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+        if step.isEmpty():
+            break
         length *= 2
     return out.where(F.col("depth") < max_depth).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
 
