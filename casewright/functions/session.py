@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of this session import this package (a cluster may use --py-files instead)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    have = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *have])
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ FIDELITY_STOPWORDS = [
 ]
 LEADING_WORDS = ["In", "The", "A", "An", "And", "But", "Of", "For", "On", "At", "From", "By", "With", "As", "See", "Cf", "Per", "Via"]
 #: All line ends that count, the two-character one first.
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
 def tokens(text: Column, stopwords: list[str]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.functions.session import ship
 from casewright.functions.text import fuzzy_name, mentions
 
 #: Canonical names of a corpus that are sent to every task, at most (some 10 MB).
@@ -124,6 +125,7 @@ def resolve(texts: DataFrame, names: DataFrame, threshold: float = 82.0, key: st
     One mention stays per key and canonical name: exact before normalized before fuzzy, then the higher
     score, then the earlier. Each distinct mention is scored once, whatever the number of texts that have it.
     """
+    ship(texts.sparkSession)
     listed = names.select("name", fuzzy_name(F.col("name")).alias("norm")).distinct().orderBy("name").limit(MOST_NAMES + 1).collect()
     if len(listed) > MOST_NAMES:
         raise ValueError(f"over {MOST_NAMES} canonical names: resolve by corpus")

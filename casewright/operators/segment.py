@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.functions.session import ship
 from casewright.functions.text import LINE_END, raw_text
 
 
@@ -76,6 +77,7 @@ def _chains(max_gap: int, max_start: int):
 
 def page_markers(books: DataFrame, max_gap: int = 2, max_start: int = 3) -> DataFrame:
     """(book_id, markers) of books (book_id, markdown)."""
+    ship(books.sparkSession)
     rows = books.select("book_id", numeric_lines(F.col("markdown")).alias("c"))
     kind = dict(rows.dtypes)["book_id"]
     return rows.mapInArrow(_chains(max_gap, max_start), f"book_id {kind}, markers array<struct<line_index:int,value:int>>")
@@ -210,6 +212,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blocks(pages: DataFrame) -> DataFrame:
     """Typed blocks of pages (book_id, source_page, markdown)."""
+    ship(pages.sparkSession)
     kind = dict(pages.dtypes)["book_id"]
     rows = pages.select("book_id", F.col("source_page").cast("int"), "markdown")
     out = rows.mapInArrow(_segments, f"book_id {kind}, source_page int, order_index int, type string, markdown string, metadata string")
