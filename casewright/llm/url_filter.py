@@ -40,6 +40,7 @@ class Automaton:
         free: list[int] = []  # first bits of patterns with a leading *
         self.ends: list[int] = []
         self.all_match = [i for i, p in enumerate(patterns) if p and not p.strip("*")]
+        self.empty = [i for i, p in enumerate(patterns) if not p]
         for p in patterns:
             start, lead = len(chars), False
             for c in p:
@@ -80,6 +81,7 @@ class Automaton:
             self._run([texts[i] for i in order[at:n]], np.array(order[at:n]), hit)
             at = n
         hit[:, self.all_match] = True
+        hit[np.ix_([i for i, t in enumerate(texts) if not t], self.empty)] = True
         return hit
 
     def _run(self, texts: list[str], rows: np.ndarray, hit: np.ndarray) -> None:
