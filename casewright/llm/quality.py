@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewright.llm.common import SPACES, WORD, cut, let, whole_text
+from casewright.llm.common import WORD, cut, let, whole_text
 
 GAMMA = 1.02
 #: measure -> (slack above, slack below or None): the fence is at least this far from the median
@@ -34,7 +34,10 @@ def repeated_words(words: Column) -> Column:
     """
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5)))
+        def of_hashes(h: Column) -> Column:
+            return F.transform(F.slice(h, 1, F.size(h) - 4), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, 5)]))
+
+        return let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes)
 
     def count(h: Column) -> Column:
         def of_sorted(s: Column) -> Column:
@@ -69,16 +72,17 @@ def with_counts(docs: DataFrame) -> DataFrame:
     df = docs.withColumn("_t", text).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), 1))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD))
     df = df.withColumn("_l", lines)
+    without = lambda p: (F.length("_t") - F.length(F.regexp_replace("_t", p, ""))).cast("long")
     return df.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate("_t", SPACES, "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": without(r"[#*$%&|<>]+"),
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("_w")),
-            "n_marks": (F.length("_t") - F.length(F.translate("_t", "!?=@^~_{}[]\\", ""))).cast("long"),
-            "n_upper": (F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}+", ""))).cast("long"),
+            "n_marks": without(r"[!?=@^~_{}\[\]\\]+"),
+            "n_upper": without(r"\p{Lu}+"),
         }
     ).drop("_t", "_w", "_l")
 
@@ -181,9 +185,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns.
 
-    Own columns are carried in a struct, so names can't clash. Texts are read twice and never shuffled.
+    Own columns are carried in a struct, so names can't clash. Texts are read and counted once: documents
+    and counts are checkpointed together (the size of the input), and never shuffled.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text", "lang", "source")
-    narrow = with_counts(packed.select("doc_id", "text", "lang", "source")).drop("text")
-    fences = thresholds(with_verdict_inputs(cut(narrow)))
-    return judge(with_verdict_inputs(with_counts(packed)), fences).where("kept").select("_doc.*")
+    stats = with_verdict_inputs(cut(with_counts(packed).drop("doc_id", "text")))
+    return judge(stats, thresholds(stats)).where("kept").select("_doc.*")
