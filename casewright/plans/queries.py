@@ -400,7 +400,7 @@ def _(spark, d):
 def _(spark, d):
     people = table(spark, d, "benchmark").select(F.initcap(F.element_at(F.split("text", r"\s+"), 1)).alias("a"), F.initcap(F.element_at(F.split("text", r"\s+"), 2)).alias("b"))
     names = people.select(F.concat("a", F.lit(" v. "), "b").alias("name")).distinct()
-    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.initcap(F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " v ")).alias("text"))
+    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(F.slice(F.split("text", r"\s+"), 1, 3), F.initcap), " v ").alias("text"))
     return resolve.resolve(texts, names)
 
 
