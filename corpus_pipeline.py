@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", by_language), ("quality", by_quality), ("near_copies", near_copies), ("personal_data", personal_data), ("packing", packed)]
 
-#: Trained models, MinHash and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
+#: Trained models, MinHash and a tokenizer are beyond SQL; tests/llm/test_operators.py tests the operators and stages.
 ORACLE_SQL = None
 
 
