@@ -31,6 +31,8 @@ from casewright.llm.common import WORD, cut, ship
 SHINGLE, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 400
 #: A block of a component: so many members and characters at most (one member may be longer).
 BLOCK_ROWS, BLOCK_CHARS = 1024, 12_000_000
+#: Words whose hashes a worker remembers.
+WORDS_KEPT = 1 << 16
 _WORD = re.compile(WORD)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,18 +56,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Signed 64-bit hashes of words; those of the last WORDS_KEPT different ones at most are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+
+_hash = _Hashes().__getitem__
+
+
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The sorted set of the text's n-word shingles as 64-bit values."""
     words = _WORD.findall(text or "")
     if not words:
         return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in words], np.uint64)
+    h = np.fromiter(map(_hash, words), np.int64, len(words)).view(np.uint64)
     n = min(n, len(h))
     v = np.zeros(len(h) - n + 1, np.uint64)
     for j in range(n):
         v = v * _MUL + h[j : len(h) - n + 1 + j]
-    return np.unique(_mix(v))
+    v = np.sort(_mix(v))
+    return v[np.concatenate(([True], v[1:] != v[:-1]))]
 
 
 def _signer(n_bands: int, rows: int):
