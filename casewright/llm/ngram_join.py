@@ -31,8 +31,6 @@ from casewright.llm.common import WORD, cut, ship
 SHINGLE, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 400
 #: A block of a component: so many members and characters at most (one member may be longer).
 BLOCK_ROWS, BLOCK_CHARS = 1024, 12_000_000
-#: Words whose hashes a worker remembers.
-WORDS_KEPT = 1 << 16
 _WORD = re.compile(WORD)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,26 +54,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Signed 64-bit hashes of words; those of the last WORDS_KEPT different ones at most are remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
-
-
-_hash = _Hashes().__getitem__
-
-
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The sorted set of the text's n-word shingles as 64-bit values."""
     words = _WORD.findall(text or "")
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash, words), np.int64, len(words)).view(np.uint64)
+    h = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
     n = min(n, len(h))
     v = np.zeros(len(h) - n + 1, np.uint64)
     for j in range(n):
@@ -119,27 +103,29 @@ def _signer(n_bands: int, rows: int):
     return run
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge to a lesser one has only that edge, and its end none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, by alternating large and small stars.
 
     Each round shuffles edges by one end; minima are pre-aggregated, and the joins can be split where a
-    node has very many edges. Rounds end when the edges no longer change.
+    node has very many edges. Rounds end when every component is a star around its least node.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(60):
+    while not _are_stars(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

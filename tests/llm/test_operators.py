@@ -276,6 +276,19 @@ def test_join_blocks_lose_nothing(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.classes(near).collect())) == whole
 
 
+def test_components_are_brute_force(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 140)] + rng.integers(200, 260, (40, 2)).tolist() + [(300, 300)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    got = ngram_join.components(spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want.items())
+    assert ngram_join.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_bands_reach_the_recall():
     b, r = ngram_join.bands()
     assert 1 - (1 - 0.8**r) ** b >= ngram_join.RECALL and b * r <= ngram_join.MAX_HASHES
