@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,18 @@ def ship(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir; a folder of its own where that is unset."""
-    spark = df.sparkSession
+    shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, which all executors see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder there."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1 +1,5 @@
-"""plans"""
+"""The registered queries: importing the package registers all of them."""
+
+from casewright.plans import queries, records
+
+__all__ = ["queries", "records"]
