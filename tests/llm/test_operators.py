@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.llm import fingerprints, html_extract, language_id, ngram_join, packing, pieces, pii, quality, sharding, url_filter
-from casewright.llm.queries import _sharding_sql
+from casewright.llm.queries import ORACLE, _sharding_sql
 
 SF = "/root/testdata/sf0.001"
 WORDS, PIECE = str(public_tokenizers.path("word_bpe_49k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -119,6 +119,17 @@ def test_quality_counts_are_brute_force(docs):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_is_its_sql(spark, docs, odd):
+    import duckdb
+
+    for df in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), docs, odd.where("length(text) < 50000 OR text IS NULL"), docs.limit(0)):
+        con = duckdb.connect()
+        con.register("documents", df.select("doc_id", "text", "lang", "source").toArrow())
+        want = con.execute(ORACLE["op4_quality"])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(tuple, quality.quality_report(df).select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_sharding(spark, docs):
     import duckdb
 
