@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from casewright.llm.common import let, whole_text
 
 _LOCAL = "A-Za-z0-9._%+-"
+_FOUR = r"(?:[\x20]?[A-Z0-9]{4})"
 #: Base kinds, in the order in which equal starts are listed. A match starts at the start of a run or where the last match ended.
 BASE = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -35,9 +36,10 @@ BASE = {
 }
 #: Kinds that the method may add.
 MORE = {
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?[A-Za-z0-9_/+-]{12,128}",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?[A-Za-z0-9_/+-]{12,}+",
     "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
+    # 15 to 34 characters in groups of four, the last one of one to four
+    "account": rf"(?<![0-9A-Za-z])[A-Z]{{2}}[0-9]{{2}}(?:{_FOUR}{{7}}(?:[\x20]?[A-Z0-9]{{1,2}})?|{_FOUR}{{3,6}}(?:[\x20]?[A-Z0-9]{{1,3}})?|{_FOUR}{{2}}[\x20]?[A-Z0-9]{{3}})(?![0-9A-Za-z])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?[\x20][A-Z][a-z]{1,30}(?:[\x20][A-Z][a-z]{1,30})?",
     "spelled": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[(\[][\x20]?at[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,64}[\x20]?(?:\.|[(\[][\x20]?dot[\x20]?[)\]])[\x20]?[A-Za-z]{2,24}",
 }

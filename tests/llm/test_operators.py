@@ -83,6 +83,20 @@ def test_pii_base_is_brute_force(spark, docs):
         assert {f[2] for f in found} <= set(r.spans.split(","))
 
 
+def test_pii_redacts_whole_accounts_and_keys(spark):
+    accounts = [
+        "DE89370400440532013000", "FR1420041010050500013M02606", "GB29NWBK60161331926819", "NL91ABNA0417164300", "IT60X0542811101000000123456", "CH9300762011623852957", "NO9386011117947",
+        "ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", "LC55HEMM000100010012001200023015", "MT84MALT011000012345MTLCAST001S",
+    ]
+    spaced = [" ".join(a[i : i + 4] for i in range(0, len(a), 4)) for a in accounts]
+    texts = [f"my bank account {a}, thanks" for a in accounts + spaced] + ["the login password=" + "a1B2c" * 100 + " and more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i in range(2 * len(accounts)):
+        assert got[i] == "my bank account [ACCOUNT], thanks", texts[i]
+    assert got[len(texts) - 1] == "the login [SECRET] and more"
+
+
 def test_fingerprints(docs):
     rows = docs.orderBy(F.desc("doc_id")).collect()
     got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs).collect()}
