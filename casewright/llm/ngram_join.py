@@ -1,18 +1,20 @@
 """N-gram Jaccard join: MinHash banding, then verification on full sets.
 
 1. Every text becomes its set of five-word shingles (64-bit values; a shorter text has one shingle of all
-   its words). Documents of equal sets form one class, whose least doc_id stands for it from here on.
-2. Band and row counts are the cheapest that reach the target recall at the threshold. The classes are
+   its words). Documents of equal sets form one group, which has a number of its own from here on; one
+   of its rows, known by the 128-bit hash of its doc_id and text, gives the text.
+2. Band and row counts are the cheapest that reach the target recall at the threshold. The groups are
    shuffled on their band hashes; the members of a bucket are linked to its least member only, so a bucket
    of any size costs its size. Connected components of these stars hold every pair that shares a bucket.
 3. Inside a component all pairs are compared on their full sets. A large component is dealt into blocks of
    bounded rows and bytes, one task's work being two blocks; similarities there are matrix products over the
    shingles that at least two members share, and only each member's number of links and a spanning forest
    of the links leave the task. No pair is left out, none is written out.
-4. Components of the verified links give class ids.
+4. Components of the verified links give the classes; the least doc_id in one is only its label.
 
-Documents with no words (null, empty, blank) have equal, empty sets. Rows that repeat a doc_id count as one
-document. Extra columns are ignored.
+Documents with no words (null, empty, blank) have equal, empty sets. Every row counts as a document: rows
+without a doc_id, and different texts under one doc_id, are compared like all others. A class none of whose
+rows has a doc_id has a null label. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WORD, cut, ship
+from casewright.llm.common import WORD, cut, ship, whole_text
 
 SHINGLE, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 400
 #: A block of a component: so many members and characters at most (one member may be longer).
@@ -97,8 +99,8 @@ def _signer(n_bands: int, rows: int):
             offsets = np.cumsum([0, *[0 if x is None else n_bands for x in signs]]).astype(np.int32)
             full = [x for x in signs if x is not None]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(full) if full else np.empty(0, np.int64)))
-            cols = [batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "size", "chars", "bands"])
+            cols = [batch.column(1), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "key", "size", "chars", "bands"])
 
     return run
 
@@ -188,9 +190,8 @@ def _forest(linked: np.ndarray, split: int) -> list[int]:
 
 def _verifier(similarity: float):
     def settle(members: list[tuple[int, int, int, str]], inner: bool) -> pa.RecordBatch:
-        """members: (block, doc_id, copies, text) of one pair of blocks, sorted."""
-        kept = {m[1]: m for m in members}
-        rows = sorted(kept.values(), key=lambda m: (m[0], m[1]))
+        """members: (block, node, copies, text) of one pair of blocks."""
+        rows = sorted(members, key=lambda m: (m[0], m[1]))
         ids = np.array([m[1] for m in rows], np.int64)
         weight = np.array([m[2] for m in rows], np.int64)
         blocks = [m[0] for m in rows]
@@ -224,46 +225,71 @@ def _verifier(similarity: float):
     return run
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_copies, n_links.
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of the row's doc_id and text; rows that agree in both are repeats of one row."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), whole_text(text)).cast("binary")))
 
-    class_id is the least doc_id among the documents reachable through links, n_copies the number of
-    documents with the same set, n_links the number of other documents at the similarity or more.
+
+def _grouped(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key), and one row per set: key, its first row's row_key, class_id, class_row, n_copies, n_links.
+
+    First is the least doc_id, rows without one last, then the least row_key; class_row is the first row of the class.
     """
     ship(docs.sparkSession)
     n_bands, rows = bands(similarity, recall)
-    signed = docs.select("text", "doc_id").mapInArrow(_signer(n_bands, rows), "doc_id long, key binary, size long, chars long, bands array<long>")
+    row_key = _row_key(F.col("doc_id"), F.col("text"))
+    signed = docs.select("text", "doc_id", row_key.alias("row_key")).mapInArrow(
+        _signer(n_bands, rows), "doc_id long, row_key binary, key binary, size long, chars long, bands array<long>"
+    )
     signed = cut(signed)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     groups = signed.groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.any_value("bands").alias("bands")
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.any_value("bands").alias("bands")
     )
-    groups = cut(groups)
-    buckets = groups.select("rep", F.posexplode("bands").alias("band", "hash"))
-    hubs = buckets.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = buckets.join(hubs, ["band", "hash"]).where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    # the checkpoint fixes the numbers
+    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))
+    buckets = groups.select("node", F.posexplode("bands").alias("band", "hash"))
+    hubs = buckets.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = buckets.join(hubs, ["band", "hash"]).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     candidates = components(stars)
-    inside = candidates.join(groups.select(F.col("rep").alias("node"), "copies", "chars"), "node")
+    inside = candidates.join(groups.select("node", "first.row_key", "copies", "chars"), "node")
     sizes = inside.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     )
-    dealt = inside.join(sizes, "root").select("root", "node", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
+    dealt = inside.join(sizes, "root").select("root", "node", "row_key", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    texts = docs.select(row_key.alias("row_key"), "text").join(dealt, "row_key").dropDuplicates(["row_key"])
     pairs = texts.select("root", "node", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "text")
     pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     found = cut(pairs.mapInArrow(_verifier(similarity), "node long, links long, least long"))
     joined = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left")
-    of_key = groups.select("key", "rep", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left")
+    members = joined.join(groups.select("node", "first"), "node")
+    heads = members.join(members.groupBy("root").agg(F.min("first").alias("head")), "root").select("node", "head")
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).join(heads, "node", "left")
+    of_key = groups.select("key", "node", "first", "copies").join(links, "node", "left").withColumn("head", F.coalesce("head", "first"))
     of_key = of_key.select(
-        "key", F.coalesce("root", "rep").alias("class_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    return signed.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "n_copies", "n_links")
+        "key", "first.row_key", F.col("head.doc_id").alias("class_id"), F.col("head.row_key").alias("class_row"), F.col("copies").alias("n_copies"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    return signed.select("doc_id", "key"), of_key
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_copies, n_links.
+
+    class_id is the least doc_id among the documents reachable through links, n_copies the number of
+    documents with the same set, n_links the number of other documents at the similarity or more.
+    """
+    signed, of_key = _grouped(docs, similarity, recall)
+    return signed.join(of_key, "key").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one whose doc_id is the class id (the first row of several with that id)."""
-    keep = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"))
-    kept = packed.join(keep, F.col("_id") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["_id"]).select("_doc.*")
+    """One document of each class: the one with the least doc_id, a row without one only where no row has one.
+
+    Of different texts under that doc_id the one of the least row key stays, of repeats of a row any one.
+    """
+    keep = _grouped(docs, SIMILARITY, RECALL)[1].where("row_key = class_row").select(F.col("row_key").alias("_keep"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _row_key(F.col("doc_id"), F.col("text")).alias("_row"))
+    kept = packed.join(keep, F.col("_row") == F.col("_keep"), "left_semi")
+    return kept.dropDuplicates(["_row"]).select("_doc.*")

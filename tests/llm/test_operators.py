@@ -292,6 +292,20 @@ def test_join_is_brute_force(docs, spark):
     assert sorted(r.doc_id for r in ngram_join.deduplicate(both).collect()) == sorted({find(i) for i in ids})
 
 
+def test_join_keeps_rows_without_id_and_texts_that_share_one(spark):
+    base = " ".join(f"term{i}" for i in range(80))
+    near = lambda k: base.replace(f"term{k} ", f"other{k} ")
+    rows = [
+        (None, "alone without an id"), (None, "second text without an id at all"), (None, "second text without an id at all"), (None, near(40)), (3, base), (5, near(20)),
+        (7, "one text under the id seven"), (7, "quite another text that has it too"), (7, "quite another text that has it too"), (8, "one text under the id seven"), (None, "one text under the id seven"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, rows[0][1]), (None, rows[1][1]), (3, base), (7, rows[6][1]), (7, rows[7][1])]
+    assert sorted(map(tuple, ngram_join.deduplicate(df).collect()), key=repr) == sorted(want, key=repr)
+    got = {(r.doc_id, r.class_id, r.n_copies) for r in ngram_join.classes(df).collect()}
+    assert got == {(None, None, 1), (None, None, 2), (None, 3, 1), (3, 3, 1), (5, 3, 1), (7, 7, 3), (7, 7, 2), (8, 7, 3), (None, 7, 3)}
+
+
 def test_join_blocks_lose_nothing(spark, monkeypatch):
     """A component dealt into many blocks has the links and classes of one block."""
     base = " ".join(f"term{i}" for i in range(60))
