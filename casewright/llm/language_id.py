@@ -173,12 +173,32 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(out, profiles, ["doc_id", "held_out"])
 
 
+def cutoffs(docs: DataFrame, profiles: dict[str, np.ndarray], low: float = 0.01, least: float = 0.05) -> dict[str, float]:
+    """The least score of each language, from the training documents whose own label is predicted.
+
+    A mergeable sketch, the counts of scores in steps of a thousandth, gives their low quantile; the cutoff is three quarters
+    of it, but at least ``least``. At most 1001 counts a language are held.
+    """
+    judged = predict(docs.where("lang IS NOT NULL AND text IS NOT NULL"), profiles, ["lang"]).where("lang_pred = lang")
+    sketch = judged.groupBy("lang_pred", F.floor(F.col("score") * 1000).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("lang_pred")
+    ranks = sketch.withColumns({"cum": F.sum("n").over(one.orderBy("b")), "total": F.sum("n").over(one)})
+    at = lambda q: F.min(F.when(F.col("cum") >= F.ceil(q * F.col("total")), F.col("b"))) / 1000
+    rows = ranks.groupBy("lang_pred").agg(at(low).alias("low")).collect()  # a row a language
+    return {r["lang_pred"]: max(least, 0.75 * r["low"]) for r in rows}
+
+
 def filter_language(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """Drop documents without letters and those whose best score is under ``least`` (like no learned language).
+    """Drop documents without letters and those under the cutoff of the language they are most like (like no learned language).
 
-    The documents' columns ride along in a struct, so names can't clash; the label in lang is not used.
+    A language that no training document was told for has the cutoff ``least``. The documents' columns ride along in a
+    struct, so names can't clash; the label in lang serves the training alone.
     """
-    profiles = fit(docs.where(in_training(F.col("doc_id"))))
+    train = docs.where(in_training(F.col("doc_id")))
+    profiles = fit(train)
+    known = cutoffs(train, profiles, least=least)
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     judged = predict(packed, profiles, ["_doc"])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_doc.*")
+    flat = [F.lit(x) for kv in known.items() for x in kv]
+    bar = F.coalesce(F.create_map(*flat)[F.col("lang_pred")], F.lit(least)) if flat else F.lit(least)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= bar)).select("_doc.*")

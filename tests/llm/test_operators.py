@@ -64,6 +64,19 @@ def test_language_held_out(docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_language_stage_drops_unlearned_languages_and_noise(spark, docs):
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 10)))) for _ in range(120))
+    blob = __import__("base64").b64encode(rng.bytes(1500)).decode()
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    odd = spark.createDataFrame([(9001 + i, x) for i, x in enumerate((noise, blob, finnish, polish))], "doc_id long, text string")
+    both = docs.unionByName(odd, allowMissingColumns=True)
+    kept = {r.doc_id for r in language_id.filter_language(both).collect()}
+    assert not kept & {9001, 9002, 9003, 9004}
+    assert kept == {r.doc_id for r in docs.collect() if re.search("[A-Za-z]", r.text)}
+
+
 def test_pii_base_is_brute_force(spark, docs):
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
