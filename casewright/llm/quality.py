@@ -2,12 +2,15 @@
 
 Each document's counts are turned into a few integer measures. Per language and source, a mergeable
 quantile sketch of each measure (relative-error buckets: the counts of equal powers of GAMMA, merged by
-plain addition) gives the median and quartiles, and the fences lie a fixed number of quartile distances
-beyond the median. Groups with few rows use the merged sketch of their language, then that of all rows.
+plain addition) gives the quartiles, and the fences lie REACH quartile distances beyond the median, a distance
+being one bucket at least. Of a measure that most rows have at 0, the sketch of the other rows gives the quartiles.
+No threshold is fixed beforehand. Where a group's quartiles rest on few rows, the merged sketch of its language
+gives the measure's fences, then that of all rows.
 
 Buckets and sums are exact integers, so thresholds are the same in every run and partitioning, and a hot
 source is pre-aggregated before its shuffle. Null text has no words and fails the base rules; a null
-language or source is a group of its own; repeated rows are judged alike; an empty table gives no rows.
+language or source is a group of its own; repeated rows are judged alike; an empty table gives no rows. Texts are
+counted whole whatever their length; extra columns are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql.window import Window
 from casewright.llm.common import WORD, cut, let, whole_text
 
 GAMMA = 1.02
-#: measure -> (slack above, slack below or None): the fence is at least this far from the median
-MEASURES = {"word_len": (300, 200), "symbols": (1500, None), "marks": (1500, None), "upper": (2500, None), "dup_lines": (2500, None), "repeats": (1500, None)}
+#: measure -> whether there is a fence below the median as well
+MEASURES = {"word_len": True, "others": False, "symbols": False, "marks": False, "upper": False, "dup_lines": False, "repeats": False}
+#: Rows behind a group's quartiles at least, and quartile distances from the median to a fence.
+MIN_ROWS, REACH = 200, 12.0
 NONE = "\x00"
 
 
@@ -83,6 +88,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             "n_repeat_words": repeated_words(F.col("_w")),
             "n_marks": without(r"[!?=@^~_{}\[\]\\]+"),
             "n_upper": without(r"\p{Lu}+"),
+            "n_letters": without(r"[\p{L}\p{M}]+"),
         }
     ).drop("_t", "_w", "_l")
 
@@ -92,6 +98,7 @@ def _measures() -> dict[str, Column]:
     per = lambda n, d, k: F.floor(F.col(n) * k / d).cast("long")
     return {
         "word_len": per("word_chars", words, 100),
+        "others": F.floor((F.col("word_chars") - F.col("n_letters")) * 10000 / F.greatest(F.col("word_chars"), F.lit(1))).cast("long"),
         "symbols": per("n_symbols", words, 10000),
         "marks": per("n_marks", words, 10000),
         "upper": per("n_upper", F.greatest(F.col("word_chars"), F.lit(1)), 10000),
@@ -111,11 +118,10 @@ def bucket(x: Column) -> Column:
     return F.when(x <= 0, F.lit(-1)).otherwise(F.ceil(F.log(x) / F.lit(math.log(GAMMA))).cast("int"))
 
 
-def thresholds(stats: DataFrame, min_rows: int = 200, reach: float = 6.0) -> DataFrame:
+def thresholds(stats: DataFrame, min_rows: int = MIN_ROWS, reach: float = REACH) -> DataFrame:
     """One row per (language, source) with the fences of every measure, from the rows that pass the base rules.
 
-    The sketch has at most about 1000 buckets a group and measure. A fence is the median plus ``reach``
-    quartile distances, but at least the measure's slack away.
+    The sketch has at most about 1000 buckets a group and measure.
     """
     names = list(MEASURES)
     cells = F.array(*[F.struct(F.lit(i).alias("m"), bucket(F.col(f"m_{k}")).alias("b")) for i, k in enumerate(names)])
@@ -130,29 +136,30 @@ def thresholds(stats: DataFrame, min_rows: int = 200, reach: float = 6.0) -> Dat
     )
     merged = sketch.select(F.explode(levels).alias("k"), "m", "b", "n").groupBy("k.level", "k.l", "k.s", "m", "b").agg(F.sum("n").alias("n"))
     cell = Window.partitionBy("level", "l", "s", "m")
-    ranked = merged.withColumns(
-        {"cum": F.sum("n").over(cell.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(cell)}
-    )
+    zeros = F.coalesce(F.sum(F.when(F.col("b") < 0, F.col("n"))).over(cell), F.lit(0))
+    merged = merged.withColumns({"all": F.sum("n").over(cell), "zeros": zeros}).where((F.col("b") >= 0) | (2 * F.col("zeros") < F.col("all")) | (F.col("zeros") == F.col("all")))
+    ranked = merged.withColumns({"cum": F.sum("n").over(cell.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(cell)})
     value = F.when(F.col("b") < 0, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("b")) / (GAMMA + 1))
     at = lambda q: F.min(F.when(F.col("cum") >= F.ceil(q * F.col("total")), value))
     quart = ranked.groupBy("level", "l", "s", "m").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("total").alias("total"))
-    up = F.array(*[F.lit(float(MEASURES[k][0])) for k in names])[F.col("m")]
-    down = F.array(*[F.lit(float(MEASURES[k][1] or 1e12)) for k in names])[F.col("m")]
+    width = F.greatest(F.col("q2") * (GAMMA - 1), F.lit(1.0))
+    low = F.array(*[F.lit(MEASURES[k]) for k in names])[F.col("m")]
     fences = quart.select(
         "level", "l", "s", "m", "total",
-        (F.col("q2") + F.greatest(reach * (F.col("q3") - F.col("q2")), up)).alias("hi"),
-        (F.col("q2") - F.greatest(reach * (F.col("q2") - F.col("q1")), down)).alias("lo"),
+        (F.col("q2") + reach * F.greatest(F.col("q3") - F.col("q2"), width)).alias("hi"),
+        F.when(low, F.col("q2") - reach * F.greatest(F.col("q2") - F.col("q1"), width)).otherwise(-1.0).alias("lo"),
     )
-    wide = fences.groupBy("level", "l", "s").agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("m") == i, F.col(c))).alias(f"{c}_{k}") for i, k in enumerate(names) for c in ("hi", "lo")],
-    )
-    cols = [f"{c}_{k}" for k in names for c in ("hi", "lo")]
+    cols = [f"{c}_{k}" for k in names for c in ("total", "hi", "lo")]
+    wide = fences.groupBy("level", "l", "s").agg(*[F.max(F.when(F.col("m") == i, F.col(c))).alias(f"{c}_{k}") for i, k in enumerate(names) for c in ("total", "hi", "lo")])
     group, lang, whole = (wide.where(F.col("level") == i) for i in range(3))
-    renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("l", "s", "total", *cols)])
+    renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("l", "s", *cols)])
     out = renamed(group, "g_").join(renamed(lang, "l_"), F.col("g_l") == F.col("l_l"), "left").join(F.broadcast(renamed(whole, "w_")), F.lit(True), "left")
-    pick = lambda c: F.when(F.col("g_total") >= min_rows, F.col(f"g_{c}")).when(F.col("l_total") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    return out.select(F.col("g_l").alias("_tl"), F.col("g_s").alias("_ts"), *[pick(c).alias(c) for c in cols])
+
+    def pick(c: str, k: str) -> Column:
+        enough = lambda p: F.col(f"{p}_total_{k}") >= min_rows
+        return F.when(enough("g"), F.col(f"g_{c}_{k}")).when(enough("l"), F.col(f"l_{c}_{k}")).otherwise(F.col(f"w_{c}_{k}"))
+
+    return out.select(F.col("g_l").alias("_tl"), F.col("g_s").alias("_ts"), *[pick(c, k).alias(f"{c}_{k}") for k in names for c in ("hi", "lo")])
 
 
 def judge(stats: DataFrame, fences: DataFrame, small: int = 200_000) -> DataFrame:

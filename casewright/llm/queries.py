@@ -80,17 +80,20 @@ SELECT page_id, host, path, split_part(r, ' ', 2) AS rule,
        coalesce(split_part(r, ' ', 1), CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM d"""
 
 
-def _quality_sql(min_rows: int = 200, reach: float = 6.0) -> str:
+def _quality_sql(min_rows: int = quality.MIN_ROWS, reach: float = quality.REACH) -> str:
     """The counts, the sketch, its merged levels and the fences in SQL."""
     names = list(quality.MEASURES)
-    symbols, marks, upper = "[#*$%&|<>]+", r"[!?=@^~_{}\[\]\\]+", r"\p{Lu}+"
+    symbols, marks, upper, letters = "[#*$%&|<>]+", r"[!?=@^~_{}\[\]\\]+", r"\p{Lu}+", r"[\p{L}\p{M}]+"
     space, word = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
-    slack = lambda i: "[" + ", ".join(f"{float(v[i] or 1e12)}::double" for v in quality.MEASURES.values()) + "][m]"
+    low = "[" + ", ".join(str(v).lower() for v in quality.MEASURES.values()) + "][m]"
+    width = f"greatest(q2 * {quality.GAMMA - 1!r}::double, 1.0::double)"
     without = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
     per = lambda n, d, k: f"({n} * {k}) // {d}"
+    chars = "greatest(word_chars, 1)"
     measures = {
-        "word_len": per("word_chars", "greatest(n_words, 1)", 100), "symbols": per("n_symbols", "greatest(n_words, 1)", 10000), "marks": per("n_marks", "greatest(n_words, 1)", 10000),
-        "upper": per("n_upper", "greatest(word_chars, 1)", 10000), "dup_lines": per("n_dup_lines", "greatest(n_lines, 1)", 10000), "repeats": per("n_repeat_words", "greatest(n_words, 1)", 10000),
+        "word_len": per("word_chars", "greatest(n_words, 1)", 100), "others": per("(word_chars - n_letters)", chars, 10000), "symbols": per("n_symbols", "greatest(n_words, 1)", 10000),
+        "marks": per("n_marks", "greatest(n_words, 1)", 10000), "upper": per("n_upper", chars, 10000), "dup_lines": per("n_dup_lines", "greatest(n_lines, 1)", 10000),
+        "repeats": per("n_repeat_words", "greatest(n_words, 1)", 10000),
     }
     values = ", ".join(measures[n] for n in names)
     at = lambda q: f"min(v) FILTER (cum >= ceil({q} * total))"
@@ -101,15 +104,16 @@ g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1
 h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 k AS (SELECT r, sum(least(5, i - p)) AS c FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -9) AS p FROM h) GROUP BY r),
 a AS (SELECT d.*, len(w)::bigint AS n_words, length(regexp_replace(t, '{space}+', '', 'g')) AS word_chars, {without(symbols)} AS n_symbols, len(n)::bigint AS n_lines,
-    (len(n) - len(list_distinct(n)))::bigint AS n_dup_lines, coalesce(c, 0)::bigint AS n_repeat_words, {without(marks)} AS n_marks, {without(upper)} AS n_upper
+    (len(n) - len(list_distinct(n)))::bigint AS n_dup_lines, coalesce(c, 0)::bigint AS n_repeat_words, {without(marks)} AS n_marks, {without(upper)} AS n_upper, {without(letters)} AS n_letters
     FROM d JOIN w USING (r) LEFT JOIN k USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{values}] AS ms FROM a),
 c AS (SELECT l, s, m, CASE WHEN ms[m] <= 0 THEN -1 ELSE ceil(ln(ms[m]) / {math.log(quality.GAMMA)!r})::integer END AS b, count(*) AS n FROM b, range(1, {len(names) + 1}) x(m) WHERE NOT base_failed GROUP BY ALL),
 e AS (SELECT 0 AS level, l, s, m, b, n FROM c UNION ALL SELECT 1, l, '', m, b, n FROM c UNION ALL SELECT 2, '', '', m, b, n FROM c),
-f AS (SELECT level, l, s, m, b, sum(n) AS n FROM e GROUP BY ALL),
+f AS (SELECT * FROM (SELECT level, l, s, m, b, sum(n) AS n FROM e GROUP BY ALL)
+    QUALIFY b >= 0 OR 2 * n < sum(n) OVER (PARTITION BY level, l, s, m) OR n = sum(n) OVER (PARTITION BY level, l, s, m)),
 q AS (SELECT level, l, s, m, total, {at(0.25)} AS q1, {at(0.5)} AS q2, {at(0.75)} AS q3 FROM (
     SELECT *, CASE WHEN b < 0 THEN 0.0::double ELSE 2 * pow({quality.GAMMA}::double, b) / {quality.GAMMA + 1}::double END AS v, sum(n) OVER (PARTITION BY level, l, s, m ORDER BY b) AS cum, sum(n) OVER (PARTITION BY level, l, s, m) AS total FROM f) GROUP BY ALL),
-z AS (SELECT *, q2 + greatest({reach} * (q3 - q2), {slack(0)}) AS hi, q2 - greatest({reach} * (q2 - q1), {slack(1)}) AS lo FROM q),
+z AS (SELECT *, q2 + {reach} * greatest(q3 - q2, {width}) AS hi, CASE WHEN {low} THEN q2 - {reach} * greatest(q2 - q1, {width}) ELSE -1 END AS lo FROM q),
 y AS (SELECT x.l, x.s, x.m, CASE WHEN x.total >= {min_rows} THEN [x.lo, x.hi] WHEN o.total >= {min_rows} THEN [o.lo, o.hi] ELSE [u.lo, u.hi] END AS fence
     FROM z x LEFT JOIN z o ON o.level = 1 AND o.l = x.l AND o.m = x.m LEFT JOIN z u ON u.level = 2 AND u.m = x.m WHERE x.level = 0),
 v AS (SELECT r, bool_and(ms[m] BETWEEN fence[1] AND fence[2]) AS inside FROM b JOIN y USING (l, s) GROUP BY r)
