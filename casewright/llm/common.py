@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -24,11 +25,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session names."""
+    """Cut the lineage with a reliable checkpoint in the shared folder that the session names.
+
+    Where ``spark.checkpoint.dir`` is unset, a local master gets a folder of its own; a cluster, whose machines
+    share no local folder, is an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -45,19 +53,50 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def id_blocks(df: DataFrame, key: str = "doc_id", rows: int = 8192, most: int = 4096) -> Column:
-    """An expression that deals rows into consecutive, ordered ranges of an integer key.
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array, given as one text so that the plan stays small; the optimizer folds it."""
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
+def _rank(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are at most ``value``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = _numbers(bounds, "double")
+    steps = _numbers([1 << i for i in reversed(range(len(bounds).bit_length()))], "int")
+    go = lambda at, step: at + F.when(F.coalesce(F.get(table, at + step - 1) <= value, F.lit(False)), step).otherwise(0)
+    return F.aggregate(steps, F.lit(0), go)
+
+
+def id_blocks(df: DataFrame, key: str, tie: Column, rows: int = 8192, most: int = 4096) -> Column:
+    """An expression that deals rows into consecutive ranges of (key, tie), null keys first.
 
-    The ranges have equal widths between the least and greatest key, about ``rows`` rows each and at
-    most ``most`` ranges, so what is later gathered per range (counts, edges) has a fixed bound. Null
-    keys get the range -1. Only the key column is read for this.
+    The bounds are quantiles of the key by a mergeable sketch, so outliers and gaps don't widen a range; a range has
+    about ``rows`` rows, and there are about ``most`` at most, so what is later gathered per range has a fixed
+    bound. A key with very many rows, null included, has ranges of its own, split evenly by ``tie``, a hash of the row
+    in [0, 1). Keys are compared as doubles: neighbours beyond 2^53 may share a range, but never change order.
+    Only the key column is read for this.
     """
-    n, low, high = df.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(-1).cast("long")
+    value = F.col(key).cast("double")
+    n = df.count()
     blocks = max(1, min(most, -(-n // rows)))
-    width = (high - low) // blocks + 1
-    return F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    bounds: list[float] = []
+    if blocks > 1:
+        shares = F.transform(F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: i / F.lit(float(blocks)))
+        found = df.agg(F.percentile_approx(value, shares, F.lit(max(10_000, 4 * blocks))).alias("q")).first()["q"] or []
+        # what fills a whole range by itself is parted from what follows it
+        bounds = sorted({*found, *(math.nextafter(b, math.inf) for a, b in zip(found, found[1:]) if a == b)})
+    index = F.when(value.isNull(), 0).otherwise(_rank(value, bounds) + 1)
+    held = df.groupBy(index.alias("b")).agg(F.count(F.lit(1)).alias("n"), (F.min(value).eqNullSafe(F.max(value))).alias("one"))
+    parts = [1] * (len(bounds) + 2)
+    share = max(rows, -(-n // most))
+    for r in held.where(F.col("one") & (F.col("n") > 2 * share)).collect():  # at most a row a range
+        parts[r["b"]] = -(-r["n"] // share)
+    first = [0]
+    for p in parts:
+        first.append(first[-1] + p)
+    inside = F.floor(tie * F.get(_numbers(parts, "int"), index)).cast("int")
+    return (F.get(_numbers(first, "int"), index) + inside).cast("long")
 
 
 def slots(df: DataFrame, group: str, block: str, order: list[Column], name: str = "slot") -> DataFrame:

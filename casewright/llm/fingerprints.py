@@ -7,7 +7,8 @@ window of w consecutive values the least is chosen, the rightmost of equal ones,
 position. Any run of k + w - 1 equal tokens in two texts therefore yields at least one common value.
 
 A text with fewer than k tokens has one gram of all of them; with fewer than w grams one window. Null text
-counts as empty: an empty fingerprint, equal to other empty ones. Equal texts have equal fingerprints.
+counts as empty: an empty fingerprint, equal to other empty ones. Equal texts have equal fingerprints. Repeated rows
+are neighbours like any others, a single row is its own neighbour, an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,36 +75,37 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, add, rows: int = 512, most: int = 65_536) -> DataFrame:
-    """Give each row the row before it in ascending (doc_id, text) order, the first row the last one.
+    """Give each row the row before it in ascending (doc_id, hash of the text) order, the first row the last one.
 
-    Rows are dealt once, by ranges of doc_id. The last row of each range is dealt to the following range
-    as well, so that the neighbour is always in the same range; a table of at most ``most`` ranges says
-    which range follows. ``add`` maps a DataFrame (doc_id, text) to one with more columns after the shuffle.
+    Rows are dealt once, by ranges of that order. The last row of each range is dealt to the following range
+    as well, so that the neighbour is always in the same range; a table of about ``most`` ranges at most says
+    which row that is and which range follows. ``add`` maps a DataFrame (doc_id, text) to one with more columns
+    after the shuffle.
     """
-    docs = docs.select("doc_id", whole_text().alias("text")).withColumn("_b", id_blocks(docs, rows=rows, most=most))
-    ends = docs.groupBy("_b").agg(F.max("doc_id").alias("_last"))
+    docs = docs.select("doc_id", whole_text().alias("text"), F.shiftrightunsigned(F.xxhash64(whole_text()), 11).alias("_h"))
+    block = id_blocks(docs, "doc_id", F.col("_h") / F.lit(float(1 << 53)), rows=rows, most=most)
+    docs = docs.withColumn("_b", block)
+    place = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id"), F.col("_h"))
+    ends = docs.groupBy("_b").agg(F.max(place).alias("_last"))
     everything = Window.partitionBy(F.lit(0))
     ends = ends.select(
         F.col("_b").alias("_eb"), "_last",
         F.coalesce(F.lead("_b").over(everything.orderBy("_b")), F.min("_b").over(everything)).alias("_to"),
     )
     dealt = docs.join(F.broadcast(ends), F.col("_b") == F.col("_eb"), "left")
-    ghost = F.col("doc_id").eqNullSafe(F.col("_last"))
-    dealt = dealt.select(
-        "doc_id", "text",
-        F.explode(F.when(ghost, F.array(F.struct(F.col("_b").alias("b"), F.lit(1).alias("own")), F.struct(F.col("_to").alias("b"), F.lit(0).alias("own")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(1).alias("own"))))).alias("_p"),
-    )
-    dealt = add(dealt.select("doc_id", "text", F.col("_p.b").alias("_b"), F.col("_p.own").alias("_own")).repartition("_b"))
-    order = Window.partitionBy("_b").orderBy("_own", F.col("doc_id").asc_nulls_first(), "text")
-    made = [c for c in dealt.columns if c not in ("doc_id", "_b", "_own")]
-    return dealt.withColumns({f"next_{c}": F.lag(c).over(order) for c in made}).where("_own = 1").drop("_b", "_own")
+    ghost = place.eqNullSafe(F.col("_last"))
+    here, there = F.struct(F.col("_b").alias("b"), F.lit(1).alias("own")), F.struct(F.col("_to").alias("b"), F.lit(0).alias("own"))
+    dealt = dealt.select("doc_id", "text", "_h", F.explode(F.when(ghost, F.array(here, there)).otherwise(F.array(here))).alias("_p"))
+    dealt = add(dealt.select("doc_id", "text", "_h", F.col("_p.b").alias("_b"), F.col("_p.own").alias("_own")).repartition("_b"))
+    order = Window.partitionBy("_b").orderBy("_own", F.col("doc_id").asc_nulls_first(), "_h", "text")
+    made = [c for c in dealt.columns if c not in ("doc_id", "_b", "_own", "_h")]
+    return dealt.withColumns({f"next_{c}": F.lag(c).over(order) for c in made}).where("_own = 1").drop("_b", "_own", "_h")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
-    Rows that share a doc_id are ordered by text. Where they share the greatest doc_id of a range, each is
-    a candidate neighbour of the next range's first row, which takes the last of them in order.
+    Rows that share a doc_id, or lack one, are ordered by the hash of their text; rows without one come before all others.
     """
     df = with_next(docs, lambda d: d.withColumn("prints", winnow(F.col("text"))))
     half = F.floor(F.col("n_chars") / 2).cast("int")

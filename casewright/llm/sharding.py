@@ -6,7 +6,8 @@ wins, so a child gets rows in proportion to its weight. A draw does not depend o
 when weights change below one child, rows only move into or out of that child's subtree. An added shard
 stands in a region of its own, so it takes rows only into itself.
 
-Null keys count as the empty key; equal keys always share a shard. An empty table gives an empty result.
+Null keys count as the empty key; equal keys always share a shard. An empty table gives an empty result. Texts of any
+length give two numbers each; null text has no bytes. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,15 +78,11 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     doc_id are ordered by their text's CRC and size; rows equal in all of these are alike.
     """
     t = tree(shards)
-    block = id_blocks(docs)
     text = whole_text()
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        block.alias("_block"),
-    )
+    crc = F.crc32(text.cast("binary")).cast("long")
+    block = id_blocks(docs, "doc_id", F.col("text_crc32") / F.lit(float(1 << 32)))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"))
+    rows = rows.withColumn("_block", block)
     rows = place(place(rows, F.col("doc_id"), t, "shard"), F.col("doc_id"), grown(t), "grown_shard")
     rows = slots(rows, "shard", "_block", [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")])
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
