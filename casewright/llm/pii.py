@@ -60,7 +60,7 @@ _GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", "ip": r"^(?:10|127|192\.168|172\.16)\.|^[1-9]", "card": "^(?:4|5[1-5]|3[47]|6011|62)", "phone": r"^\+(?:1|33|34|44|49|7|86|91)",
     "secret": "(?i)password|token|secret", "id": "^(?!000|666|9)", "account": "^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH)", "name": "(?i)john|mary|anna|peter|maria|james|david|marie|hans|jose", "spelled": r"(?:com|org|net|de|fr|es)$",
 }
-_SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -77,7 +77,7 @@ def _matches(text: Column, kind: str) -> Column:
         starts = F.aggregate(pairs, zero, step, lambda a: a["out"])
 
         def span(v: Column, s: Column) -> Column:
-            return F.struct(s.alias("start"), (s + F.length(v)).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), v.alias("value"))
+            return F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (s + F.length(v)).alias("end"), v.alias("value"))
 
         return F.zip_with(found, starts, span)
 
@@ -236,15 +236,15 @@ def _accepted(model: dict, spans: Column) -> Column:
     return F.filter(spans, keep)
 
 
-_BARE = "array<struct<start:int,end:int,kind:int>>"
+_BARE = "array<struct<start:int,kind:int,end:int>>"
 
 
 def with_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """Add ``base`` and ``spans`` (base ones and the added ones): arrays of (start, end, kind), by start, then kind."""
+    """Add ``base`` and ``spans`` (base ones and the added ones): arrays of (start, kind, end), in that order."""
     model = model or fit(docs)
     df = docs.withColumn("_t", whole_text())
     df = df.withColumns({"_b": base_spans(F.col("_t")), "_m": more_spans(F.col("_t"))})
-    bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).cast(_BARE)
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).cast(_BARE)
     extra = F.when(F.size("_m") == 0, F.array().cast(_BARE)).otherwise(bare(_accepted(model, described(F.col("_t"), F.col("_m")))))
     df = df.withColumns({"base": bare(F.col("_b")), "_x": extra}).withColumn("spans", F.array_sort(F.concat("base", "_x")))
     return df.drop("_t", "_b", "_m", "_x")
