@@ -82,7 +82,7 @@ def id_blocks(df: DataFrame, key: str, tie: Column, rows: int = 8192, most: int
     blocks = max(1, min(most, -(-n // rows)))
     bounds: list[float] = []
     if blocks > 1:
-        shares = F.transform(F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: i / F.lit(float(blocks)))
+        shares = _numbers([i / blocks for i in range(1, blocks)], "double")
         found = df.agg(F.percentile_approx(value, shares, F.lit(max(10_000, 4 * blocks))).alias("q")).first()["q"] or []
         # what fills a whole range by itself is parted from what follows it
         bounds = sorted({*found, *(math.nextafter(b, math.inf) for a, b in zip(found, found[1:]) if a == b)})
