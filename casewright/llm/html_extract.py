@@ -6,11 +6,17 @@ and between blocks of one parent element pay for labelling them apart. The minim
 paths, is the labelling of least total cost.
 
 The classifier is a logistic regression over features of the block and of its enclosing elements, trained
-here on the blocks of at most SAMPLE pages whose place says what they are (article and main against
+here on the blocks of about SAMPLE pages whose place says what they are (article and main against
 navigation, footers and the like). Pages without such places, or none at all, leave the prior weights.
 
+What an element's tag or names say weighs less with every level down to the block, and says nothing where the
+element holds most of the page's text together with its core (an article, or all of a page without one): a class
+on the body, a wrapper or a form around the whole page are no boilerplate. A header inside an article is part of it.
+
 Markup is read with one pass over its tags and never fails: open, unclosed and cut-off tags end where a
-parser would end them. Null html counts as empty; a page without content has the empty text.
+parser would end them. Scripts, styles, form controls, embedded players' fallbacks and the head have no text; formulas,
+drawings' text and hidden parts have. Null html counts as empty; a page without content has the empty text. Pages of
+any length are read whole; repeated rows give equal texts, an empty table none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +35,14 @@ from casewright.llm.common import ship
 
 SAMPLE = 1500
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|type)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WHITE = re.compile(r"\s+")
 #: Fixed values of HTML: what has no text of its own, what breaks blocks, what takes no end tag.
-SILENT = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "textarea", "title", "head"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+SILENT = {"script", "style", "template", "iframe", "object", "canvas", "audio", "video", "select", "datalist", "textarea", "title", "head", "button"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+CONTROLS = {"input", "select", "textarea", "button"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE_FORM = {"button", "input", "label", "option"}
 GOOD_TAGS = {"article", "main"}
 BAD_TAGS = {"nav", "footer", "aside", "header", "form", "menu", "dialog", "fieldset"}
 BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumb\w*|side-?bar\w*|foot\w*|masthead|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|share\w*|social|related|recommend\w*|comment\w*|reply|replies|disqus|login|signup|widget\w*|pager|pagination|legal|copyright)(?:$|[\s_-])", re.I)
@@ -44,15 +50,59 @@ GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story
 #: Weights before training: bias, then one a feature of ``features``.
 PRIOR = np.array([-0.5, 3.0, -5.0, -5.0, 1.0, 1.2, -3.0, 0.8, 0.5, -0.5])
 NEXT, NEAR, SCALE, CLOSE = 0.5, 0.35, 1000, 3
-
-
-def blocks(page: str) -> list[tuple[str, int, tuple[bool, bool, bool, bool], float, str]]:
+#: What is left of a name's weight a level further down.
+DECAY = 0.9
+
+
+class _Elements:
+    """The open and closed elements of a page: parent, tag, and what the tag and names of each say by themselves."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag = [0], [""]
+        self.good, self.bad, self.bad_name, self.good_name = [False], [False], [False], [False]
+        self.controls, self.chars = [0], [0]
+
+    def add(self, parent: int, tag: str, names: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.good.append(tag in GOOD_TAGS)
+        self.bad.append(tag in BAD_TAGS)
+        self.bad_name.append(bool(names) and bool(BAD_NAME.search(names)))
+        self.good_name.append(bool(names) and bool(GOOD_NAME.search(names)))
+        self.controls.append(0)
+        self.chars.append(0)
+        return len(self.tag) - 1
+
+    def flags(self) -> list[tuple[float, float, float, float]]:
+        """(in a good tag, in a bad one, bad name, good name) of the blocks of each element, by what encloses them."""
+        n = len(self.tag)
+        own_core = [(g or gn) and not bn for g, gn, bn in zip(self.good, self.good_name, self.bad_name, strict=True)]
+        core = own_core[:]
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            up = self.parent[i]
+            self.chars[up] += self.chars[i]
+            self.controls[up] += self.controls[i]
+            core[up] = core[up] or core[i]
+        out = [(0.0, 0.0, 0.0, 0.0)]
+        for i in range(1, n):
+            good, bad, bad_name, good_name = out[self.parent[i]]
+            tag = self.tag[i]
+            around = tag in ("html", "body") or (2 * self.chars[i] > self.chars[0] and (core[i] or not core[0]))
+            empty_form = tag in ("form", "fieldset") and not self.controls[i]
+            own_bad = self.bad[i] and not around and not empty_form and not (tag == "header" and good)
+            good_name = max(DECAY * good_name, float(self.good_name[i] and tag not in ("html", "body")))
+            out.append((max(good, float(self.good[i])), max(bad, float(own_bad)), max(DECAY * bad_name, float(self.bad_name[i] and not around)), good_name))
+        return out
+
+
+def blocks(page: str) -> list[tuple[str, int, tuple[float, float, float, float], float, str]]:
     """(text, parent element, (in a good tag, in a bad tag, bad name, good name), share of linked text, tag) of each block in page order."""
     out: list = []
-    stack: list[tuple[str, int, tuple[bool, bool, bool, bool], bool]] = [("", 0, (False,) * 4, False)]
+    made = _Elements()
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened: dict[str, int] = {}
     words: list[str] = []
-    linked = made = 0
-    links = silent = 0
+    linked = links = silent = 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -66,15 +116,17 @@ def blocks(page: str) -> list[tuple[str, int, tuple[bool, bool, bool, bool], flo
         if words:
             text = _WHITE.sub(" ", html.unescape("".join(words))).strip()
             if text:
-                tag, number, flags, _ = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
-                out.append((text, number, flags, min(1.0, linked / len(text)), tag))
+                tag, number, _ = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
+                made.chars[number] += len(text)
+                out.append((text, number, min(1.0, linked / len(text)), tag))
             words.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal links, silent
         while len(stack) > upto:
-            tag, _, _, mute = stack.pop()
+            tag, _, mute = stack.pop()
+            opened[tag] -= 1
             links -= tag == "a"
             silent -= mute
 
@@ -92,7 +144,7 @@ def blocks(page: str) -> list[tuple[str, int, tuple[bool, bool, bool, bool], flo
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if opened.get(tag) else 0
             # an inline end tag doesn't reach out of its block
             if depth and (tag in BLOCKS or tag in SILENT or not any(x[0] in BLOCKS for x in stack[depth + 1 :])):
                 close(depth)
@@ -103,38 +155,24 @@ def blocks(page: str) -> list[tuple[str, int, tuple[bool, bool, bool, bool], flo
             elif tag == "hr":
                 flush()
             continue
+        if tag in CONTROLS and not (tag == "input" and re.search(r"type\s*=\s*[\"']?hidden", m[3] or "", re.I)):
+            made.controls[stack[-1][1]] += 1
         if tag in VOID:
             continue
         if tag in BLOCKS:
             flush()
-            if tag != "p":
-                pass
             # a block ends an open paragraph; an item or cell ends its like
             for ended in {"li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}.get(tag, ("p",)):
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened.get(ended) else ():
                     if stack[i][0] == ended:
                         close(i)
                         break
                     if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "td", "th"):
                         break
-        g, b, bn, gn = stack[-1][2]
-        hidden = False
-        if m[3]:
-            names = []
-            for k, *v in _ATTR.findall(m[3]):
-                value = v[0] or v[1] or v[2]
-                k = k.lower()
-                if k in ("class", "id", "role"):
-                    names.append(value)
-                elif k == "hidden" or (k == "aria-hidden" and value == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                    hidden = True
-            if names:
-                joined = " ".join(names)
-                bn = bn or bool(BAD_NAME.search(joined))
-                gn = gn or bool(GOOD_NAME.search(joined))
-        mute = tag in SILENT or hidden or tag == "button"
-        made += 1
-        stack.append((tag, made, (g or tag in GOOD_TAGS, b or tag in BAD_TAGS, bn, gn), mute))
+        names = " ".join(v[0] or v[1] or v[2] for k, *v in _ATTR.findall(m[3]) if k.lower() != "type") if m[3] else ""
+        mute = tag in SILENT
+        stack.append((tag, made.add(stack[-1][1], tag, names), mute))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
         silent += mute
         if tag in RAW:
@@ -143,7 +181,8 @@ def blocks(page: str) -> list[tuple[str, int, tuple[bool, bool, bool, bool], flo
             if not end:
                 break
     flush()
-    return out
+    flags = made.flags()
+    return [(text, number, flags[number], share, tag) for text, number, share, tag in out]
 
 
 def features(found: list) -> np.ndarray:
@@ -246,20 +285,19 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = blocks(page or "")
             for x, b in zip(features(found), found, strict=True):
                 good, bad, bad_name, _ = b[2]
-                if good or bad or bad_name:
-                    xs.append(x.tolist())
-                    ys.append(int(good and not bad and not bad_name))
+                if good or bad or bad_name >= 0.5:
+                    xs.append(np.round(x, 3).tolist())
+                    ys.append(int(bool(good) and not bad and bad_name < 0.5))
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int64())], ["x", "y"])
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The classifier's weights, from at most about ``sample`` pages chosen by the hash of their id."""
+    """The classifier's weights, from about ``sample`` pages chosen by the hash of their html; copies of a page only add counts."""
     ship(pages.sparkSession)
-    n = pages.count()
-    share = int(min(1.0, sample / max(n, 1)) * (1 << 20)) + 1
-    chosen = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < share).select("html")
+    share = min(1.0, sample / max(pages.count(), 1))
+    chosen = pages.where(F.shiftrightunsigned(F.xxhash64("html"), 11) < F.lit(int(share * (1 << 53)))).select("html")
     cells = chosen.mapInArrow(_seeds, "x array<double>, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    got = sorted((r["x"], r["y"], r["n"]) for r in cells.collect())  # bounded by the sample's blocks
+    got = sorted((r["x"], r["y"], r["n"]) for r in cells.collect())  # bounded by the sampled pages' distinct blocks
     w = PRIOR.copy()
     if len({y for _, y, _ in got}) < 2:
         return w
