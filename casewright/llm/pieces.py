@@ -8,11 +8,14 @@ by the row's key: the same key and text give the same pieces in any task, and a
 
 Pieces hold their blank in front only, so the lattice falls apart at blanks into words. The distinct words of
 some hundred rows are filtered together, all of one length at a time, and all their occurrences sampled
-together. This model's scores are merge ranks; the probability of rank r is taken in proportion to
+together. Words of more than LONG characters (text without blanks, encoded data) go one by one in stretches of STRETCH
+positions: the forward pass keeps one number a position, and the backward pass finds the pieces of a stretch again,
+so memory is some twelve bytes a character beside the text and time is linear. This model's scores are merge ranks; the probability of rank r is taken in proportion to
 1 / (r + 2). A character without a piece is written as its UTF-8 bytes, and so is a literal lower
 one-eighth block, which the model writes for blanks; decoding therefore returns every text exactly.
 
-Null text has no pieces and decodes to null; the empty text has no pieces. Repeated rows get equal pieces.
+Null text has no pieces and decodes to null; the empty text has no pieces. Repeated rows get equal pieces; an empty
+table gives no rows. Extra columns are ignored unless they are asked for.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ MARK = "▁"
 _PART = re.compile(r" *[^ ]+| +")
 #: Rows and characters that are encoded together (one text may be longer).
 ROWS, CHARS = 512, 1_500_000
-#: Cells (words x positions x lengths) filtered at once; a longer word comes alone, in stretches of its positions.
+#: Cells (words x positions x lengths) filtered at once.
 CELLS = 1 << 22
+LONG, STRETCH = 48, 4096
 _MUL, _ADD = 0x9E3779B97F4A7C15, np.uint64(0x632BE59BD9B4E019)
 _MASK = (1 << 64) - 1
 
@@ -71,6 +75,13 @@ class Pieces:
                 shown[self.text[i]] = i
         self.longest = max(map(len, shown))
         self.power = np.array([pow(_MUL, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        back = pow(_MUL, -1, 1 << 64)
+        self.forth = np.array([pow(_MUL, k, 1 << 64) for k in range(STRETCH + self.longest)], np.uint64)
+        self.back = np.array([pow(back, k, 1 << 64) for k in range(STRETCH + self.longest)], np.uint64)
+        raw = [x if isinstance(x, bytes) else x.encode() for x in self.text]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in raw], np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         # weights by id; the last entry is that of no piece
         self.weight = np.zeros(n + 1)
         for x, i in shown.items():
@@ -137,9 +148,75 @@ class Pieces:
             alpha[end] = total
             low = max(0, end - most)
             if (total < 1e-150).any():  # ratios alone matter
-                alpha[low : end + 1] /= total
+                alpha[low : end + 1] = np.minimum(alpha[low : end + 1] / total, 1e290)
         return cdf, ids
 
+    def stretch(self, codes: np.ndarray, low: int, high: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """The pieces of a word that end at its positions low + 1 to high, in order of their ends, then sizes.
+
+        Returns where each end's pieces begin, and the pieces' sizes, weights and ids.
+        """
+        first = max(0, low + 1 - self.longest)
+        part = codes[first:high].astype(np.uint64)
+        n, at = len(part), low - first
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * self.back[:n], dtype=np.uint64)))
+        ends = np.arange(at + 1, n + 1)
+        ids = np.full((len(ends), self.longest), self.none, np.int32)
+        for size in range(1, min(self.longest, n) + 1):
+            e = ends[ends >= size]
+            ids[len(ends) - len(e) :, size - 1] = self.find((sums[e] - sums[e - size]) * self.forth[e - 1])
+        weight = self.weight[ids]
+        lone = np.flatnonzero(ids[:, 0] == self.none)
+        c = part[at + lone]
+        width = 1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)
+        weight[lone, 0] = self.rare**width
+        row, col = np.nonzero(weight)
+        begins = np.searchsorted(row, np.arange(len(ends) + 1))
+        return begins.tolist(), (col + 1).tolist(), weight[row, col].tolist(), ids[row, col].tolist()
+
+    def sample_long(self, codes: np.ndarray, keys: list[int], offsets: list[int]) -> list[tuple[list[int], list[int]]]:
+        """(ends, ids) of a sampled segmentation of one long word for each occurrence: its row's key and its offset in the text."""
+        n = len(codes)
+        value, shift = np.ones(n + 1), np.zeros(n + 1, np.int64)  # the chance of all paths to a position is value * 2**shift
+        near, exponent = [1.0], 0
+        for low in range(0, n, STRETCH):
+            begins, sizes, weights, _ = self.stretch(codes, low, min(n, low + STRETCH))
+            for r in range(len(begins) - 1):
+                total = 0.0
+                for x in range(begins[r], begins[r + 1]):
+                    total += near[-sizes[x]] * weights[x]
+                if total < 1e-100:
+                    near, total, exponent = [min(v * 2.0**300, 1e300) for v in near], total * 2.0**300, exponent - 300
+                value[low + r + 1], shift[low + r + 1] = total, exponent
+                near.append(total)
+                if len(near) > 4 * self.longest:
+                    del near[: -self.longest]
+        out: list[tuple[list[int], list[int]]] = [([], []) for _ in keys]
+        left = [n] * len(keys)
+        for low in reversed(range(0, n, STRETCH)):
+            high = min(n, low + STRETCH)
+            begins, sizes, weights, ids = self.stretch(codes, low, high)
+            first = max(0, low + 1 - self.longest)
+            val, sh = value[first : high + 1].tolist(), shift[first : high + 1].tolist()
+            for i, (key, offset) in enumerate(zip(keys, offsets, strict=True)):
+                chance = _uniform(np.full(high - low, key & _MASK, np.uint64), np.arange(low + 1, high + 1) + offset).tolist()
+                end = left[i]
+                while end > low:
+                    b, e = begins[end - low - 1], begins[end - low]
+                    here = sh[end - first]
+                    parts = [weights[x] * val[end - sizes[x] - first] * 2.0 ** (sh[end - sizes[x] - first] - here) for x in range(b, e)]
+                    left_over, pick = chance[end - low - 1] * sum(parts), b
+                    for x, p in zip(range(b, e), parts, strict=True):
+                        pick = x
+                        left_over -= p
+                        if left_over < 0:
+                            break
+                    out[i][0].append(end)
+                    out[i][1].append(ids[pick])
+                    end -= sizes[pick]
+                left[i] = end
+        return out
+
     def encode(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of all texts, one after the other, and how many each text has."""
         words: dict[str, int] = {}
@@ -163,6 +240,18 @@ class Pieces:
         by_size = np.argsort(length, kind="stable")
         for n in np.unique(length):
             mine = by_size[np.searchsorted(length[by_size], n) : np.searchsorted(length[by_size], n, side="right")]
+            if n > LONG:
+                for kind in np.unique(occ[mine]):
+                    some = mine[occ[mine] == kind]
+                    codes = np.frombuffer(listed[kind].encode("utf-32-le"), np.uint32)
+                    starts = begin[some]
+                    found = self.sample_long(codes, key[row[some]].tolist(), (starts - base[row[some]]).tolist())
+                    for start, (ends, ids) in zip(starts.tolist(), found, strict=True):
+                        at = np.array(ends, np.int64)
+                        at_all.append(start + at)
+                        id_all.append(np.array(ids, np.int32))
+                        char_all.append(codes[at - 1])
+                continue
             kinds, at_kind = np.unique(occ[mine], return_inverse=True)
             step = max(1, CELLS // int(n * min(n, self.longest)))
             for lo in range(0, len(kinds), step):
@@ -197,10 +286,13 @@ class Pieces:
                 ids[p : p + len(x)] = x
         return ids.astype(np.int32), np.bincount(owner.astype(np.int64), minlength=len(texts))
 
-    def decode(self, ids: list[int]) -> str:
-        """The text: bytes joined, then the blank before it taken off."""
-        raw = b"".join(x if isinstance(x, bytes) else x.encode() for x in (self.text[i] for i in ids))
-        return raw.decode()[1:]
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of lists of ids put one after the other: all bytes gathered, then the blank before each text taken off."""
+        size = self.raw_size[ids]
+        ends = np.cumsum(size)
+        flat = self.raw[np.repeat(self.raw_at[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [flat[a:b].decode()[1:] for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
@@ -241,8 +333,12 @@ def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            found = [None if x is None else model.decode(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], [*batch.schema.names[1:], "decoded"])
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                lists = part.column(0)
+                counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                found = model.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                texts = pa.array([x if ok else None for x, ok in zip(found, lists.is_valid().to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists, texts], [*part.schema.names[1:], "ids", "decoded"])
 
     return run
 
@@ -259,8 +355,19 @@ def encode(docs: DataFrame, path: str, keep: list[str], alpha: float = ALPHA, se
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The other columns and ``decoded``, the text that the ids stand for."""
+    """All columns and ``decoded``, the text that the ids stand for."""
     ship(encoded.sparkSession)
     rest = [c for c in encoded.columns if c != "ids"]
     rows = encoded.select("ids", *[F.col(f"`{c}`") for c in rest])
-    return rows.mapInArrow(_decoder(path), f"{_schema(rows.drop('ids'))}, decoded string")
+    return rows.mapInArrow(_decoder(path), f"{_schema(rows.drop('ids'))}, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_pieces, the digest of the text decoded from the ids, and whether it is the text's own.
+
+    Null text has null ids and digests, and is lossless by definition.
+    """
+    named = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    back = decode(encode(named, path, ["doc_id", "text_sha256"]), path)
+    digest = F.sha2("decoded", 256)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), digest.alias("decoded_sha256"), digest.eqNullSafe(F.col("text_sha256")).alias("lossless"))

@@ -22,7 +22,7 @@ QUERIES = {
     "op3_fingerprints": lambda spark, d: fingerprints.fingerprint_documents(documents(spark, d)),
     "op4_quality": lambda spark, d: quality.quality_report(documents(spark, d)),
     "op5_sharding": lambda spark, d: sharding.shard_documents(documents(spark, d)),
-    "op6_pieces": lambda spark, d: pieces.encode(documents(spark, d), tokenizer_path(PIECE_BPE), ["doc_id"]),
+    "op6_pieces": lambda spark, d: pieces.round_trip(documents(spark, d), tokenizer_path(PIECE_BPE)),
     "op7_html": lambda spark, d: html_extract.extract_pages(pages(spark, d)),
     "op8_packing": lambda spark, d: packing.digest(documents(spark, d), tokenizer_path(WORD_BPE)),
     "op9_ngram_join": lambda spark, d: ngram_join.classes(documents(spark, d)),
