@@ -6,10 +6,12 @@
 2. Band and row counts are the cheapest that reach the target recall at the threshold. The groups are
    shuffled on their band hashes; the members of a bucket are linked to its least member only, so a bucket
    of any size costs its size. Connected components of these stars hold every pair that shares a bucket.
-3. Inside a component all pairs are compared on their full sets. A large component is dealt into blocks of
-   bounded rows and bytes, one task's work being two blocks; similarities there are matrix products over the
-   shingles that at least two members share, and only each member's number of links and a spanning forest
-   of the links leave the task. No pair is left out, none is written out.
+3. Inside a component all pairs that can be alike are compared on their full sets. A component of more than one block
+   of bounded rows and bytes is parted by the size of the sets, into classes so wide that sets of more than
+   neighbouring classes can't reach the similarity, and its classes into blocks; one task's work is two blocks.
+   Similarities there are matrix products over the shingles that at least two members share, and only each
+   member's number of links and a spanning forest of the links leave the task. No link is left out, none is
+   written out.
 4. Components of the verified links give the classes; the least doc_id in one is only its label.
 
 Documents with no words (null, empty, blank) have equal, empty sets. Every row counts as a document: rows
@@ -27,12 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewright.llm.common import WORD, cut, ship, whole_text
 
 SHINGLE, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 400
 #: A block of a component: so many members and characters at most (one member may be longer).
-BLOCK_ROWS, BLOCK_CHARS = 1024, 12_000_000
+BLOCK_ROWS, BLOCK_CHARS = 2048, 12_000_000
 _WORD = re.compile(WORD)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,21 +116,37 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.where("up > 1 or (up = 1 and down = 1)").count() == 0
 
 
+def _spread(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key; ``_n``: how many rows have the key; ``n``: rows in all).
+
+    Keys with very many rows, of which there are at most 4096 by their number, are joined by broadcast where
+    their rows lie; all others by a shuffle, in which no key is heavy then.
+    """
+    many = max(1024, n // 4096)
+    rest = [c for c in table.columns if c not in (*keys, "_n")]
+    heavy = table.where(F.col("_n") > many).select(F.struct(*keys).alias("_key"), F.struct(*rest).alias("_got"))
+    tagged = rows.join(F.broadcast(heavy), F.struct(*keys) == F.col("_key"), "left")
+    here = tagged.where("_key IS NOT NULL").select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in rest])
+    others = tagged.where("_key IS NULL").select(*rows.columns).join(table.where(F.col("_n") <= many).drop("_n"), keys)
+    return here.unionByName(others.select(*rows.columns, *rest))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, by alternating large and small stars.
 
-    Each round shuffles edges by one end; minima are pre-aggregated, and the joins can be split where a
-    node has very many edges. Rounds end when every component is a star around its least node.
+    Each round shuffles edges by one end; minima are pre-aggregated, and hubs of very many edges are joined by
+    broadcast. Rounds end when every component is a star around its least node.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    count = F.count(F.lit(1)).alias("_n")
     while not _are_stars(edges):
+        n = 2 * edges.count()
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("u", "m").alias("m"), "_n")
+        large = _spread(both.where("v > u"), low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), count)
+        small = _spread(large, low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -189,42 +208,70 @@ def _forest(linked: np.ndarray, split: int) -> list[int]:
 
 
 def _verifier(similarity: float):
-    def settle(members: list[tuple[int, int, int, str]], inner: bool) -> pa.RecordBatch:
-        """members: (block, node, copies, text) of one pair of blocks."""
-        rows = sorted(members, key=lambda m: (m[0], m[1]))
+    def settle(members: list[tuple[int, int, int, str]], inner: bool) -> pa.RecordBatch | None:
+        """members: (side, node, copies, text) of one pair of blocks, or of one block."""
+        rows = sorted(members, key=lambda m: m[:2])
+        split = 0 if inner else sum(m[0] == 0 for m in rows)
+        if not inner and split in (0, len(rows)):
+            return None
         ids = np.array([m[1] for m in rows], np.int64)
         weight = np.array([m[2] for m in rows], np.int64)
-        blocks = [m[0] for m in rows]
-        split = 0 if inner else blocks.count(blocks[0])
-        if not inner and split == len(rows):
-            links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        else:
-            linked = _links([shingles(m[3]) for m in rows], split, similarity)
-            if inner:
-                links = linked @ weight
-            else:
-                links = np.concatenate((linked @ weight[split:], linked.T @ weight[:split]))
-            root = _forest(linked, split)
+        linked = _links([shingles(m[3]) for m in rows], split, similarity)
+        links = linked @ weight if inner else np.concatenate((linked @ weight[split:], linked.T @ weight[:split]))
         least = np.full(len(rows), np.iinfo(np.int64).max)
+        root = _forest(linked, split)
         np.minimum.at(least, root, ids)
-        cols = [pa.array(ids), pa.array(links.astype(np.int64)), pa.array(least[root])]
+        some = links > 0
+        cols = [pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(least[root][some])]
         return pa.RecordBatch.from_arrays(cols, ["node", "links", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, []
         for batch in batches:
-            for comp, i, j, block, node, copies, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (comp, i, j) != now and members:
-                    yield settle(members, now[1] == now[2])
+            for *task, inner, side, node, copies, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now and (*task, inner) != now:
+                    if (found := settle(members, now[-1])) is not None:
+                        yield found
                     members = []
-                now = (comp, i, j)
-                members.append((block, node, copies, text))
-        if members:
-            yield settle(members, now[1] == now[2])
+                now = (*task, inner)
+                members.append((side, node, copies, text))
+        if members and (found := settle(members, now[-1])) is not None:
+            yield found
 
     return run
 
 
+def _tasks(inside: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(task, inner, side, node, row_key, copies): which pairs of blocks each member of a component goes to.
+
+    ``inside``, of ``n`` rows: root, node, row_key, copies, chars, size. A member goes to its own block, to the other blocks of its class of
+    sizes, and to those of the next and the last class; a class that has a member alone has no task of its own.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    whole = inside.groupBy("root").agg(blocks.alias("parts"), F.count(F.lit(1)).alias("_n"))
+    # a bit wider than the similarity asks for, against rounding
+    level = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(1.0001 / similarity))).cast("int")
+    classed = _spread(inside, whole, ["root"], n).withColumn("level", F.when(F.col("parts") == 1, 0).otherwise(level)).drop("parts")
+    sizes = classed.groupBy("root", "level").agg(blocks, F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("root").orderBy("level")
+    beside = lambda f, d: F.when(f("level").over(order) == F.col("level") + d, f("blocks").over(order)).otherwise(0)
+    sizes = sizes.withColumns({"after": beside(F.lead, 1), "before": beside(F.lag, -1), "alone": F.col("_n") == 1})
+    dealt = _spread(classed, sizes, ["root", "level"], n).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+
+    def numbers(count: Column) -> Column:
+        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+    def pair(low: Column, i: Column, high: Column, j: Column, inner: Column, side: Column) -> Column:
+        task = F.struct("root", low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+        return F.struct(task.alias("task"), inner.alias("inner"), side.cast("int").alias("side"))
+
+    at, own = F.col("level"), F.col("block")
+    same = F.transform(numbers(F.when(F.col("alone"), 0).otherwise(F.col("blocks"))), lambda o: pair(at, F.least(own, o), at, F.greatest(own, o), own == o, own > o))
+    later = F.transform(numbers(F.col("after")), lambda o: pair(at, own, at + 1, o, F.lit(False), F.lit(0)))
+    earlier = F.transform(numbers(F.col("before")), lambda o: pair(at - 1, o, at, own, F.lit(False), F.lit(1)))
+    return dealt.select("node", "row_key", "copies", F.explode(F.concat(same, later, earlier)).alias("t")).select("t.*", "node", "row_key", "copies")
+
+
 def _row_key(doc_id: Column, text: Column) -> Column:
     """128 bits of the row's doc_id and text; rows that agree in both are repeats of one row."""
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), whole_text(text)).cast("binary")))
@@ -244,27 +291,24 @@ def _grouped(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFra
     signed = cut(signed)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     groups = signed.groupBy("key").agg(
-        F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.any_value("bands").alias("bands")
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.max("size").alias("size"), F.any_value("bands").alias("bands")
     )
     # the checkpoint fixes the numbers
     groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))
-    buckets = groups.select("node", F.posexplode("bands").alias("band", "hash"))
-    hubs = buckets.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = buckets.join(hubs, ["band", "hash"]).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    buckets = groups.select("node", F.explode("bands").alias("hash"))  # a band's hash differs from another's
+    hubs = buckets.groupBy("hash").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n"))
+    stars = _spread(buckets, hubs.where("_n > 1"), ["hash"], n_bands * groups.count()).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     candidates = components(stars)
-    inside = candidates.join(groups.select("node", "first.row_key", "copies", "chars"), "node")
-    sizes = inside.groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    )
-    dealt = inside.join(sizes, "root").select("root", "node", "row_key", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    texts = docs.select(row_key.alias("row_key"), "text").join(dealt, "row_key").dropDuplicates(["row_key"])
-    pairs = texts.select("root", "node", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "text")
-    pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    inside = cut(candidates.join(groups.select("node", "first.row_key", "copies", "chars", "size"), "node"))
+    n = inside.count()
+    dealt = _tasks(inside, n, similarity)
+    texts = docs.select(row_key.alias("row_key"), "text").join(inside.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    pairs = texts.join(dealt, "row_key").select("task", "inner", "side", "node", "copies", "text")
+    pairs = pairs.repartition("task").sortWithinPartitions("task").select("task.*", "inner", "side", "node", "copies", "text")
     found = cut(pairs.mapInArrow(_verifier(similarity), "node long, links long, least long"))
     joined = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
     members = joined.join(groups.select("node", "first"), "node")
-    heads = members.join(members.groupBy("root").agg(F.min("first").alias("head")), "root").select("node", "head")
+    heads = _spread(members, members.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("_n")), ["root"], n).select("node", "head")
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(heads, "node", "left")
     of_key = groups.select("key", "node", "first", "copies").join(links, "node", "left").withColumn("head", F.coalesce("head", "first"))
     of_key = of_key.select(
@@ -281,7 +325,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     documents with the same set, n_links the number of other documents at the similarity or more.
     """
     signed, of_key = _grouped(docs, similarity, recall)
-    return signed.join(of_key, "key").select("doc_id", "class_id", "n_copies", "n_links")
+    of_key = of_key.withColumn("_n", F.col("n_copies"))
+    return _spread(signed, of_key, ["key"], signed.count()).select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
