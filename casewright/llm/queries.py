@@ -63,21 +63,31 @@ def _sharding_sql(shards: int = 40) -> str:
 
 
 def _url_sql() -> str:
-    like = lambda p: "u LIKE '" + p.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_") + "' ESCAPE '\\'"
+    def like(p: str) -> str:
+        shape = p.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+        return f"(u LIKE '{shape}' ESCAPE '\\' OR uq LIKE '{shape}' ESCAPE '\\')"
+
     allow = " OR ".join(like(p) for p in url_filter.ALLOW)
     block = " ".join(f"WHEN {like(p)} THEN '{p}'" for p in url_filter.BLOCK)
     ruled = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
         for v, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1]) - len(r[2]))
     )
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    plain = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in url_filter.UNRESERVED.items()) + "}"
+    decoded = lambda x: f"string_split({x}, '%')[1] || list_aggregate(list_prepend('', list_transform(string_split({x}, '%')[2:], lambda p: coalesce({plain}[p[1:2]] || p[3:], '%' || p))), 'string_agg', '')"
+    default = " ".join(f"WHEN scheme = '{k}' AND ends_with(h, ':{v}') THEN h[:-{len(v) + 2}]" for k, v in url_filter.PORTS.items())
     return f"""
-WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END AS u FROM b),
-d AS (SELECT page_id, host, path, CASE WHEN {allow} THEN NULL ELSE CASE {block} END END AS pattern, CASE {ruled} END AS r FROM c)
-SELECT page_id, host, path, split_part(r, ' ', 2) AS rule,
-       coalesce(split_part(r, ' ', 1), CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM d"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, {lower("split_part(url, '://', 1)")} AS scheme, coalesce(strpos(url, '://') > 0, false) AS ok FROM pages),
+b AS (SELECT page_id, {lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {lower("regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1)")} AS query, scheme, ok FROM a),
+c AS (SELECT *, regexp_replace(host, '^.*@', '') AS h, {decoded(lower("path"))} AS p, {decoded("query")} AS q FROM b),
+d AS (SELECT *, CASE {default} WHEN ends_with(h, ':') THEN h[:-2] ELSE h END AS name, string_split(p, '/')[2:] AS parts FROM c),
+e AS (SELECT *, CASE WHEN contains(p, '/.') THEN list_reduce(list_transform(parts, lambda x: [x]), lambda k, x: CASE x[1] WHEN '.' THEN k WHEN '..' THEN k[:-2] ELSE k || x END, []::VARCHAR[]) || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END ELSE parts END AS kept FROM d),
+f AS (SELECT *, CASE WHEN ok THEN name || '/' || coalesce(array_to_string(kept, '/'), '') ELSE '/' END AS u FROM e),
+g AS (SELECT *, CASE WHEN q = '' THEN u ELSE u || '?' || q END AS uq FROM f),
+i AS (SELECT page_id, host, path, CASE WHEN {allow} THEN NULL ELSE CASE {block} END END AS pattern, CASE {ruled} END AS r FROM g)
+SELECT page_id, host, path, nullif(split_part(r, ' ', 2), '') AS rule,
+       coalesce(split_part(r, ' ', 1), CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM i"""
 
 
 def _quality_sql(min_rows: int = quality.MIN_ROWS, reach: float = quality.REACH) -> str:

@@ -3,15 +3,20 @@
 Glob patterns (``*`` any run, ``?`` any one character, all else itself) are packed one after the other into
 64-bit words, a bit a character. One Shift-And step per character advances all patterns at once, over all
 urls of a batch; a bit whose pattern goes on with ``*`` keeps itself set. A pattern matches a whole
-canonical url, host/path. Patterns that allow win over patterns that block; no match is allowed.
+canonical url, host/path or host/path?query: without user part, default port and fragment, ASCII letters in lower
+case, escapes of unreserved characters decoded, dot segments resolved. Patterns that allow win over patterns that
+block; no match is allowed.
 
 Before the patterns, explicit (host, path) rules: a rule fits its host and all subdomains if the url's path
 starts with its path, and the longest rule wins. Null urls and urls without ``://`` have an empty host and
-path, which fit no rule. Repeated rows are judged alike. No shuffle, and whole urls of any length.
+path, which fit no rule, and the canonical url ``/``. Repeated rows are judged alike; an empty table gives no rows;
+extra columns are ignored. No shuffle, and whole urls of any length.
 """
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,12 +116,53 @@ class Automaton:
                 hit[rows, p] = (done[:, end // 64] >> np.uint64(end % 64)) & one == 1
 
 
+#: Characters whose escapes mean the same as themselves, by the lower-cased two digits of the escape.
+UNRESERVED = {f"{ord(c):02x}": c.lower() for c in string.ascii_letters + string.digits + "-._~"}
+#: The port that each scheme has by itself.
+PORTS = {"http": "80", "https": "443"}
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def _decoded(text: str) -> str:
+    head, *parts = text.split("%")
+    return head + "".join(UNRESERVED[p[:2]] + p[2:] if p[:2] in UNRESERVED else f"%{p}" for p in parts)
+
+
+def canonical(url: str | None) -> tuple[str, str]:
+    """The url as host/path, and with its query, if it has one, as host/path?query; / for what is no url."""
+    scheme, mark, rest = (url or "").translate(_LOWER).partition("://")
+    if not mark:
+        return "/", "/"
+    rest = rest.partition("#")[0]
+    cut = re.search(r"[/?]|\Z", rest).start()
+    host, rest = rest[:cut].rpartition("@")[2], rest[cut:]
+    name, colon, port = host.rpartition(":")
+    if colon and port in ("", PORTS.get(scheme)):
+        host = name
+    path, asked, query = rest.partition("?")
+    path = _decoded(path) if "%" in path else path
+    if "/." in path:
+        kept: list[str] = []
+        parts = path.split("/")[1:]
+        for part in parts:
+            if part == "..":
+                del kept[-1:]
+            elif part != ".":
+                kept.append(part)
+        path = "/" + "/".join([*kept, ""] if parts[-1] in (".", "..") else kept)
+    whole = host + (path or "/")
+    return whole, f"{whole}?{_decoded(query)}" if asked and query else whole
+
+
 def _judge(block: list[str], allow: list[str]):
     machine = Automaton([*allow, *block])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = machine.matches(batch.column(0).to_pylist())
+            forms = [canonical(u) for u in batch.column(0).to_pylist()]
+            hit = machine.matches([f[0] for f in forms])
+            asked = [i for i, f in enumerate(forms) if f[0] != f[1]]
+            hit[asked] |= machine.matches([forms[i][1] for i in asked])
             good, bad = hit[:, : len(allow)], hit[:, len(allow) :]
             which = np.where(bad.any(axis=1) & ~good.any(axis=1), bad.argmax(axis=1) if bad.shape[1] else 0, -1)
             names = [block[i] if i >= 0 else None for i in which]
@@ -141,8 +187,7 @@ def judge_urls(urls: DataFrame, rules=RULES, block=BLOCK, allow=ALLOW) -> DataFr
     rest = F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*+)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*+([^?#]*+)", 1)
-    df = urls.select("page_id", host.alias("host"), path.alias("path"))
-    df = df.select(F.concat("host", F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path"))).alias("_u"), *df.columns)
+    df = urls.select(F.col("url").alias("_u"), "page_id", host.alias("host"), path.alias("path"))
     df = df.mapInArrow(_judge(block, allow), "page_id long, host string, path string, pattern string")
     df = df.withColumn("_r", _rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("pattern").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
