@@ -10,7 +10,9 @@ packed into one 64-bit number each. Counts cover all training documents: tasks e
 are summed by (lang, gram); only the ranked profiles, languages x TOP rows, reach the driver and the tasks.
 
 Null texts and texts without a letter get ``und`` with score 0. Equal counts rank by the n-gram, equal
-distances go to the language first in the alphabet. Without training documents every text is ``und``.
+distances go to the language first in the alphabet. Without training documents every text is ``und``. Very long texts
+are counted whole, in parts; repeated rows count as often in the profiles and are judged alike; an empty table gives no
+rows; extra columns are ignored, by the filter kept.
 """
 
 from __future__ import annotations

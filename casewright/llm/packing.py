@@ -1,16 +1,18 @@
 """Packing along a space-filling curve.
 
 Each document's token ids are hashed into BUCKETS counts, projected by a fixed random matrix to DIMS numbers
-and, scaled by the median and spread of a sample, placed on a Hilbert curve. Documents are range-sorted by (curve key, doc_id) and concatenated, so each
+and, scaled by the median and spread of a sample, placed on a Hilbert curve. Documents are range-sorted by (curve key, doc_id)
+and concatenated, so each
 sequence of LENGTH tokens holds neighbours on the curve. Documents are cut where a sequence ends; only the
 last sequence of a range is not full, and it is cut into sequences of powers of two, which need no padding.
 
 Token ids travel in one shuffle as 16-bit numbers, tokenized once. Ranges come from the keys of a bounded
-sample of documents (about SAMPLE a range, at most RANGES ranges) with the doc_id's hash in the key's low
-bits, so that a group of equal documents of any size is dealt over many ranges.
+sample of documents (about SAMPLE a range, at most RANGES ranges), so that each range holds about as many tokens, with
+the doc_id's hash in the key's low bits, so that a group of equal documents of any size is dealt over many ranges.
 
-Null text counts as empty and yields the end token alone. Rows that repeat a doc_id are packed one after the
-other, by their text's hash. An empty table gives no pieces.
+Null text counts as empty and yields the end token alone. Rows that repeat a doc_id, or lack one, are packed one after
+the other, by their text's hash. An empty table gives no pieces. Very long texts are cut into as many pieces as they
+need; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,13 +155,25 @@ def curve_keys(vectors: np.ndarray, tie: np.ndarray, centre: np.ndarray, scale:
     return (hilbert(cells) << 23) | (tie & ((1 << 23) - 1))
 
 
+_AXES = [f"v{i}" for i in range(DIMS)]
+
+
+def _bounds(keys: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
+    """Keys that part the sampled documents into ranges of about equal numbers of tokens."""
+    order = np.argsort(keys, kind="stable")
+    before = np.cumsum(sizes[order]) - sizes[order]
+    at = np.searchsorted(before, np.arange(1, ranges) * (sizes.sum() / ranges))
+    return np.unique(keys[order][np.minimum(at, len(keys) - 1)])
+
+
 def _vectors(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vector(np.frombuffer(x, "<u2")) for x in tokenize(batch.column(0).to_pylist(), path)]
-            if found:
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(found)), DIMS).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["v", "tie"])
+            ids = [np.frombuffer(x, "<u2") for x in tokenize(batch.column(0).to_pylist(), path)]
+            if ids:
+                v = np.array([vector(x) for x in ids])
+                sizes = pa.array([len(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in v.T.copy()], batch.column(1), sizes], [*_AXES, "tie", "n"])
 
     return run
 
@@ -228,13 +242,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
     share = min(1.0, max(2000, ranges * SAMPLE) / max(n, 1))
     chosen = rows.where(F.pmod(F.xxhash64("tie", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    got = chosen.select("text", "tie").mapInArrow(_vectors(path), "v array<double>, tie long").collect()  # bounded by the share
+    got = chosen.select("text", "tie").mapInArrow(_vectors(path), ", ".join(f"{c} double" for c in _AXES) + ", tie long, n long").toArrow()  # bounded by the share
     centre, scale, bounds = np.zeros(DIMS), np.ones(DIMS), np.empty(0, np.int64)
-    if got:
-        v, tie = np.array([r["v"] for r in got]), np.array([r["tie"] for r in got], np.int64)
+    if got.num_rows:
+        v = np.stack([got[c].to_numpy() for c in _AXES], axis=1)
         centre, scale = np.median(v, axis=0), np.maximum(v.std(axis=0), 1e-6)
-        keys = np.sort(curve_keys(v, tie, centre, scale))
-        bounds = np.unique(keys[np.linspace(0, len(keys), ranges + 1)[1:-1].astype(int)])
+        bounds = _bounds(curve_keys(v, got["tie"].to_numpy(), centre, scale), got["n"].to_numpy(), ranges)
     keyed = rows.mapInArrow(_keyed(path, centre, scale, bounds), "doc_id long, text_hash long, key long, range long, n long, ids binary")
     whole = Window.partitionBy("range")
     order = whole.orderBy("key", F.col("doc_id").asc_nulls_first(), "text_hash").rowsBetween(Window.unboundedPreceding, 0)
