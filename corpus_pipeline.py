@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", by_language), ("quality", by_quality), ("near_copies", near_copies), ("personal_data", personal_data), ("packing", packed)]
 
-#: Trained models, MinHash and a tokenizer are beyond SQL; tests/llm/test_operators.py tests the operators and stages.
+#: Trained models, MinHash and a tokenizer are beyond SQL; tests/llm/test_operators.py holds the whole pipeline against plain stages.
 ORACLE_SQL = None
 
 
@@ -49,4 +49,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
-    return docs.drop("ids")
+    return docs
