@@ -107,15 +107,20 @@ def first_match(text: Column, pattern: str) -> Column:
 
 
 def all_matches(text: Column, pattern: str) -> Column:
-    """Array of (at, found) of all matches."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: F.struct(F.length(f).alias("f"), F.length(g).alias("g")))
-    step = lambda a, x: F.struct((a["at"] + x["g"] + x["f"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out"))
-    starts = F.aggregate(pairs, zero, step, lambda a: a["out"])
+    """Array of (at, found) of all matches; where there is none, the text is not split."""
     none = F.array().cast("array<struct<at:int,found:string>>")
-    return F.when(F.size(found) == 0, none).otherwise(F.zip_with(starts, found, lambda s, f: F.struct(s.alias("at"), f.alias("found"))))
+
+    def located(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda f, g: F.struct(F.length(f).alias("f"), F.length(g).alias("g"), f.alias("found")))
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            at = a["at"] + x["g"]
+            return F.struct((at + x["f"]).alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("at"), x["found"].alias("found")))).alias("out"))
+
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, zero, step, lambda a: a["out"]))
+
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)), located)[0]
 
 
 def title_of(kind: Column, id_: Column, *names: Column) -> Column:

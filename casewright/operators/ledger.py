@@ -134,5 +134,6 @@ def estimate(requests: DataFrame) -> DataFrame:
     known = exp.isNotNull()
     money = lambda c, d: F.when(known, four(c)).otherwise(F.lit(Decimal(d))).cast("decimal(20,4)")
     out = requests.withColumns({"low": money(exp * (1 - pct), "0.10"), "expected": money(exp, "1.00"), "high": money(exp * (1 + pct), "10.00")})
-    label = F.concat(F.lit("~$"), F.bround("expected", 2).cast("decimal(20,2)").cast("string"), F.lit(" (±"), (F.coalesce(pct, F.lit(Decimal("0.90"))) * 100).cast("int").cast("string"), F.lit("%)"))
-    return out.withColumn("label", label)
+    label = F.concat(F.lit("~$"), F.bround("expected", 2).cast("decimal(20,2)").cast("string"), F.lit(" (±"), (F.coalesce(pct, F.lit(Decimal("9.00"))) * 100).cast("int").cast("string"), F.lit("%)"))
+    unknown = F.concat(F.lit("unknown feature '"), F.coalesce("feature", F.lit("")), F.lit("': "))
+    return out.withColumn("label", F.concat(F.when(known, "").otherwise(unknown), label))

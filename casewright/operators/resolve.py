@@ -89,15 +89,27 @@ def similarity(a: str, b: str) -> float:
     return (partial_ratio(a, b) + token_set_ratio(a, b) + weighted_ratio(a, b)) / 3.0
 
 
+def _trigrams(text: str) -> set[str]:
+    """Runs of three characters of each word, words padded; the separator's are left out."""
+    return {w[i : i + 3] for t in text.lower().split() if t not in ("v.", "v") for w in (f" {t} ",) for i in range(len(w) - 2)}
+
+
 def _best(names: list[tuple[str, str]]):
     known: dict[str, tuple[str | None, str | None, float]] = {}
+    index: dict[str, list[int]] = {}
 
     def best(text: str) -> tuple[str | None, str | None, float]:
         if text not in known:
             if len(known) > 200_000:
                 known.clear()
+            if not index:
+                for i, (_, normal) in enumerate(names):
+                    for g in _trigrams(normal):
+                        index.setdefault(g, []).append(i)
             top: tuple[str | None, str | None, float] = (None, None, 0.0)
-            for name, normal in names:
+            # strings alike by the threshold share a run of three characters of a word
+            for i in sorted({i for g in _trigrams(text) for i in index.get(g, ())}):
+                name, normal = names[i]
                 s = similarity(text, normal)
                 if s > top[2]:
                     top = (name, normal, s)
@@ -123,14 +135,20 @@ def resolve(texts: DataFrame, names: DataFrame, threshold: float = 82.0, key: st
     """(key, position, raw, canonical, score, method) of every mention; unresolved ones have a null canonical.
 
     One mention stays per key and canonical name: exact before normalized before fuzzy, then the higher
-    score, then the earlier. Each distinct mention is scored once, whatever the number of texts that have it.
+    score, then the earlier. Mentions equal to a name after normalising are found by a join; each other distinct mention
+    is scored once, whatever the number of texts that have it, against the names that share a run of three characters.
     """
     ship(texts.sparkSession)
-    listed = names.select("name", fuzzy_name(F.col("name")).alias("norm")).distinct().orderBy("name").limit(MOST_NAMES + 1).collect()
+    named = names.where("name IS NOT NULL").select("name", fuzzy_name(F.col("name")).alias("norm")).distinct()
+    listed = named.orderBy("name").limit(MOST_NAMES + 1).collect()
     if len(listed) > MOST_NAMES:
         raise ValueError(f"over {MOST_NAMES} canonical names: resolve by corpus")
     found = candidates(texts, key, text)
-    scored = found.select("norm").distinct().mapInArrow(_best([(r["name"], r["norm"]) for r in listed]), "norm string, canonical string, canonical_norm string, score double")
+    first = named.groupBy("norm").agg(F.min("name").alias("canonical"))
+    mentioned = found.select("norm").distinct()
+    equal = mentioned.join(first, "norm").select("norm", "canonical", F.col("norm").alias("canonical_norm"), F.lit(100.0).alias("score"))
+    others = mentioned.join(first, "norm", "left_anti")
+    scored = equal.unionByName(others.mapInArrow(_best([(r["name"], r["norm"]) for r in listed]), "norm string, canonical string, canonical_norm string, score double"))
     df = found.join(scored, "norm").withColumn("hit", F.col("canonical").isNotNull() & (F.col("score") >= threshold))
     rank = F.when(F.col("raw") == F.col("canonical"), 3).when(F.col("norm") == F.col("canonical_norm"), 2).otherwise(1)
     df = df.withColumn("rank", F.when(F.col("hit"), rank))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.functions.session import ship
 from casewright.functions.text import equal_name
 
 READING = ["source_page", "order_index"]
@@ -114,13 +117,18 @@ def in_order(ids: DataFrame, blocks: DataFrame, key: str, array: str) -> DataFra
 
 
 def case_rows(blocks: DataFrame, start: int | None = None, end: int | None = None, seed: int | None = None) -> DataFrame:
-    """Opinions as a listing: name, year or null, excerpt of 220 characters; one at random if a seed is given."""
+    """Opinions as a listing: name, year, excerpt of 220 characters; one at random if a seed is given.
+
+    The year is the metadata's (JSON text) if it is a whole number, else null, as without metadata.
+    """
     df = blocks.where(F.col("type") == "case_opinion")
     df = df if start is None else df.where(F.col("source_page") >= start)
     df = df if end is None else df.where(F.col("source_page") <= end)
     flat = F.trim(F.translate("markdown", "\n", " "))
     excerpt = F.when(F.length(flat) > 220, F.concat(F.left(flat, F.lit(220)), F.lit("…"))).otherwise(flat)
-    df = df.select("id", "book_id", *READING, F.coalesce(F.nullif(F.trim("case_name"), F.lit("")), F.lit("Untitled case")).alias("case_name"), excerpt.alias("excerpt"))
+    year = F.get_json_object("metadata", "$.year") if "metadata" in blocks.columns else F.lit(None).cast("string")
+    year = F.when(year.rlike("^-?[0-9]{1,9}$"), year.cast("int"))
+    df = df.select("id", "book_id", *READING, F.coalesce(F.nullif(F.trim("case_name"), F.lit("")), F.lit("Untitled case")).alias("case_name"), year.alias("year"), excerpt.alias("excerpt"))
     return df if seed is None else df.orderBy(F.rand(seed)).limit(1)
 
 
@@ -133,12 +141,42 @@ def page_offsets(starts: Column, offset: Column) -> Column:
     return F.greatest(F.size(F.filter(starts, lambda s: s <= offset)), F.lit(1))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """An extension: the k vectors of greatest cosine to each query vector. Queries are a stated, small set in blocks;
-    each task keeps its best k a query before the shuffle."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df, p: df.select(F.col("vec_id").alias(f"{p}id"), F.col("embedding").alias(f"{p}v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(f"{p}n"))
-    pairs = unit(vectors, "").join(F.broadcast(unit(query, "q")), F.col("id") != F.col("qid"))
-    scored = pairs.select("qid", "id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("n") * F.col("qn")), 6).alias("cosine"))
+def _closest(k: int):
+    def find(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        """The k rows of one block of vectors that are nearest to each query of one block; ties by id."""
+        kinds = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())])
+        if not queries.num_rows or not vectors.num_rows:
+            return kinds.empty_table()
+        wide = lambda t: np.stack(t["embedding"].to_pylist()).astype(float)
+        q, v = wide(queries), wide(vectors)
+        qid, vid = queries["vec_id"].to_numpy(), vectors["vec_id"].to_numpy()
+        order = np.argsort(vid, kind="stable")
+        v, vid = v[order], vid[order]
+        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = np.round(q @ v.T / size, 6)
+        score[(qid[:, None] == vid[None, :]) | np.isnan(score)] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(score, best, axis=1)
+        rows, cols = np.nonzero(np.isfinite(found))
+        return pa.table([pa.array(qid[rows]), pa.array(vid[best[rows, cols]]), pa.array(found[rows, cols])], schema=kinds)
+
+    return find
+
+
+def nearest(vectors: DataFrame, query: DataFrame, k: int = 10, rows: int = 4096) -> DataFrame:
+    """An extension: (qid, id, cosine, rank), the k vectors of greatest cosine to each query vector, itself apart.
+
+    Both sides are dealt into blocks of about ``rows`` rows. A task multiplies one block of queries with one of vectors and
+    keeps k rows a query, so no side is broadcast or gathered whole. Vectors of length 0 are near to none.
+    """
+    ship(vectors.sparkSession)
+    blocks = lambda df: max(1, -(-df.count() // rows))
+    n_q, n_v = blocks(query), blocks(vectors)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    q = query.where("embedding IS NOT NULL").select("vec_id", "embedding", own(n_q).alias("qb"), every(n_v).alias("vb"))
+    v = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", own(n_v).alias("vb"), every(n_q).alias("qb"))
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(_closest(k), "qid long, id long, cosine double")
     best = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

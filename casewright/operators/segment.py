@@ -67,25 +67,25 @@ def _chains(max_gap: int, max_start: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row in batch.column(1).to_pylist():
+            for row in batch.column(2).to_pylist():
                 chain = longest_chain([(c["line_index"], c["value"]) for c in row or []], max_gap, max_start)
                 found.append([{"line_index": i, "value": v} for i, v in chain])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["book_id", "markers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["book_id", "markdown", "markers"])
 
     return run
 
 
 def page_markers(books: DataFrame, max_gap: int = 2, max_start: int = 3) -> DataFrame:
-    """(book_id, markers) of books (book_id, markdown)."""
+    """(book_id, markdown, markers) of books (book_id, markdown); the text passes through, so nothing is joined back."""
     ship(books.sparkSession)
-    rows = books.select("book_id", numeric_lines(F.col("markdown")).alias("c"))
+    rows = books.select("book_id", "markdown", numeric_lines(F.col("markdown")).alias("c"))
     kind = dict(rows.dtypes)["book_id"]
-    return rows.mapInArrow(_chains(max_gap, max_start), f"book_id {kind}, markers array<struct<line_index:int,value:int>>")
+    return rows.mapInArrow(_chains(max_gap, max_start), f"book_id {kind}, markdown string, markers array<struct<line_index:int,value:int>>")
 
 
-def page_slices(books: DataFrame, markers: DataFrame) -> DataFrame:
-    """(book_id, source_page, markdown, raw_text): the lines after each marker up to the next; text before the first is dropped."""
-    df = books.join(markers, "book_id").select("book_id", lines(F.col("markdown")).alias("l"), "markers")
+def page_slices(marked: DataFrame) -> DataFrame:
+    """(book_id, source_page, markdown, raw_text) of books with their markers: the lines after each up to the next; text before the first is dropped."""
+    df = marked.select("book_id", lines(F.col("markdown")).alias("l"), "markers")
     df = df.select("book_id", "l", "markers", F.posexplode("markers").alias("i", "m"))
     following = F.get("markers", F.col("i") + 1)["line_index"]
     count = F.coalesce(following, F.size("l")) - F.col("m.line_index") - 1
@@ -221,18 +221,19 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 # -- table of contents ----------------------------------------------------------------------------------
 
+# The shapes of a contents block's title and rows, and of a heading.
 CONTENTS = r"(?i)^\s*(?:#{1,6}\s*)?(?:\*{1,3}\s*)?(?:Table\s+of\s+)?Contents\s*(?:\*{1,3})?\s*$"
 ROW = r"^\s*(\S.*?\S)\s*[\.\s_]{2,}\s*(\d+)\s*$"
 PIPE = r"^\s*(\S.*?)\s*\|\s*(\d+)\s*$"
 HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 
 
-def toc(books: DataFrame, markers: DataFrame) -> DataFrame:
+def toc(marked: DataFrame) -> DataFrame:
     """(book_id, order_index, level, title, source_page, parent_index) from a contents block, else from headings.
 
     A heading takes the page of the last marker at or before its line, the first marker's before all, 0 without any.
     """
-    df = books.join(markers, "book_id", "left").select("book_id", "markers", F.posexplode(lines(F.col("markdown"))).alias("line", "text"))
+    df = marked.select("book_id", "markers", F.posexplode(lines(F.col("markdown"))).alias("line", "text"))
     in_book = Window.partitionBy("book_id")
     df = df.withColumn("start", F.min(F.when(F.col("text").rlike(CONTENTS), F.col("line"))).over(in_book))
     hashes = F.length(F.regexp_extract("text", HEAD, 1))

@@ -54,9 +54,9 @@ CAPS = {"minutes_on": 20.0, "return_count": 8.0, "hypotheticals_run": 5.0, "enga
 
 
 def subject_features(segments: DataFrame) -> DataFrame:
-    """Signals per (transcript, kind, label) from the segments' three mention lists; a label counts once a segment."""
+    """Signals per (transcript, kind, label) from the segments' three mention lists; a label counts once a segment, an empty or null one never."""
     tagged = F.flatten(F.array(*[
-        F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("label")))  # noqa: B023
+        F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("label")))  # noqa: B023
         for k, c in (("case", F.col("mentioned_cases")), ("rule", F.col("mentioned_rules")), ("concept", F.col("mentioned_concepts")))
     ]))
     has = lambda f: F.coalesce(F.array_contains("sentiment_flags", f), F.lit(False))
@@ -95,16 +95,20 @@ def reconciled(returned: DataFrame, features: DataFrame) -> tuple[DataFrame, Dat
 # -- lineage --------------------------------------------------------------------------------------------
 
 
-def chains(artifacts: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor, depth) of every artifact, itself at depth 0, by pointer doubling.
+def _parents(artifacts: DataFrame) -> DataFrame:
+    """(id, to): each artifact's parent, if there is one."""
+    edges = artifacts.where("parent_id IS NOT NULL AND parent_id <> id").select("id", "parent_id")
+    return edges.join(artifacts.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("id", F.col("parent_id").alias("to"))
+
+
+def chains(artifacts: DataFrame, max_depth: int = 64, start: DataFrame | None = None) -> DataFrame:
+    """(id, ancestor, depth) of every artifact (or those in ``start``), itself at depth 0, by pointer doubling.
 
     Each round joins the paths with themselves, so 64 steps take six joins. A walk stops at a root, at a
     missing parent, at the depth, and where it would meet an artifact again.
     """
-    edges = artifacts.where("parent_id IS NOT NULL AND parent_id <> id").select("id", "parent_id")
-    edges = cut(edges.join(artifacts.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("id", "parent_id"))
-    out = artifacts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    step, length = edges.select("id", F.col("parent_id").alias("to")), 1
+    step, length = cut(_parents(artifacts)), 1
+    out = (artifacts if start is None else start).select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     while length < max_depth:
         longer = out.join(step.select(F.col("id").alias("ancestor"), F.col("to")), "ancestor")
         out = cut(out.unionByName(longer.select("id", F.col("to").alias("ancestor"), (F.col("depth") + length).alias("depth"))))
@@ -115,11 +119,29 @@ def chains(artifacts: DataFrame, max_depth: int = 64) -> DataFrame:
     return out.where(F.col("depth") < max_depth).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def lineage_cost(artifacts: DataFrame, events: DataFrame) -> DataFrame:
-    """(id, length, total): artifacts on the walk to the root and the ledger's cost of all of them."""
-    spent = events.groupBy(F.col("artifact_id").alias("ancestor")).agg(F.sum("total_cost_usd").alias("cost"))
-    walk = chains(artifacts).join(spent, "ancestor", "left")
-    return walk.groupBy("id").agg(F.count(F.lit(1)).alias("length"), F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(30,10)").alias("total"))
+def lineage_cost(artifacts: DataFrame, events: DataFrame, rounds: int = 6) -> DataFrame:
+    """(id, length, total): artifacts on the walk to the root, 2**rounds at most, and the ledger's cost of all of them.
+
+    One row an artifact: each round adds the length and cost of the walk that starts where the row's own ends, which
+    doubles both. Only walks that go on after the last round may hold a cycle; these are walked one by one.
+    """
+    spent = events.groupBy(F.col("artifact_id").alias("id")).agg(F.sum("total_cost_usd").cast("decimal(30,10)").alias("cost"))
+    money = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(30,10)")
+    own = artifacts.select("id").join(spent, "id", "left").join(_parents(artifacts), "id", "left")
+    rows = cut(own.select("id", F.lit(1).cast("long").alias("length"), money(F.col("cost")).alias("total"), "to"))
+    for _ in range(rounds):
+        if rows.where("to IS NOT NULL").isEmpty():
+            break
+        further = rows.select(F.col("id").alias("to"), F.col("length").alias("_l"), F.col("total").alias("_t"), F.col("to").alias("_to"))
+        both = rows.where("to IS NOT NULL").join(further, "to")
+        longer = both.select("id", (F.col("length") + F.col("_l")).alias("length"), money(F.col("total") + F.col("_t")).alias("total"), F.col("_to").alias("to"))
+        rows = cut(rows.where("to IS NULL").unionByName(longer))
+    done = rows.where("to IS NULL").drop("to")
+    left = rows.where("to IS NOT NULL").select("id")
+    if left.isEmpty():
+        return done
+    walk = chains(artifacts, 1 << rounds, left).join(spent.withColumnRenamed("id", "ancestor"), "ancestor", "left")
+    return done.unionByName(walk.groupBy("id").agg(F.count(F.lit(1)).alias("length"), money(F.sum("cost")).alias("total")))
 
 
 def source_summary(sources: DataFrame, blocks: DataFrame, segments: DataFrame) -> DataFrame:

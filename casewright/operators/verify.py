@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +24,24 @@ def grounding(declared: DataFrame, cited: DataFrame, blocks: DataFrame) -> DataF
     return gone.unionByName(undeclared).withColumn("severity", F.lit("error"))
 
 
-def coverage(rules: DataFrame, sources: DataFrame) -> DataFrame:
+def coverage(rules: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, n, present, coverage) of rule texts: the share of their words, with repeats, that their sources hold.
 
-    ``rules``: id, text; ``sources``: id, text, several a rule. Words are compared by a semi join on
-    (id, word), so neither side is gathered.
+    ``rules``: id, text; ``links``: id, source, several a rule; ``sources``: source, text. A source is one array of its
+    distinct words, a rule is counted in its own row; a rule without a source has no word present.
     """
-    words = lambda df: df.select("id", F.explode(tokens(F.col("text"), FIDELITY_STOPWORDS)).alias("word"))
-    own = words(rules).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    held = words(sources).distinct().withColumn("hit", F.lit(1))
-    df = own.join(held, ["id", "word"], "left").groupBy("id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("present"))
+    held = sources.select("source", F.array_distinct(tokens(F.col("text"), FIDELITY_STOPWORDS)).alias("w"))
+    known = links.join(held, "source").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("known"))
+    own = rules.select("id", tokens(F.col("text"), FIDELITY_STOPWORDS).alias("w")).join(known, "id", "left")
+    present = F.size(F.filter("w", lambda x: F.array_contains(F.coalesce("known", F.array().cast("array<string>")), x)))
+    df = own.where(F.size("w") > 0).select("id", F.size("w").cast("long").alias("n"), present.cast("long").alias("present"))
     return df.withColumn("coverage", F.round(F.col("present") / F.col("n"), 6))
 
 
-def fidelity(rules: DataFrame, sources: DataFrame, threshold: float = FIDELITY) -> DataFrame:
+def fidelity(rules: DataFrame, links: DataFrame, sources: DataFrame, threshold: float = FIDELITY) -> DataFrame:
     """(id, severity): error without a source, warning without a word or under the threshold; "(paraphrase)" passes."""
-    found = rules.join(coverage(rules, sources).select("id", "coverage"), "id", "left")
-    found = found.join(sources.select("id").distinct().withColumn("_s", F.lit(1)), "id", "left")
+    found = rules.join(coverage(rules, links, sources).select("id", "coverage"), "id", "left")
+    found = found.join(links.join(sources.select("source"), "source", "left_semi").select("id").distinct().withColumn("_s", F.lit(1)), "id", "left")
     severity = (
         F.when(F.col("_s").isNull(), "error").when(F.lower("text").contains("(paraphrase)"), None)
         .when(F.col("coverage").isNull() | (F.col("coverage") < threshold), "warning")
@@ -68,13 +70,44 @@ def passed(issues: DataFrame) -> DataFrame:
     return issues.groupBy("artifact_id").agg((~F.bool_or(F.col("severity") == "error")).alias("passed"))
 
 
-def cited_ids(content: Column) -> Column:
-    """All strings in arrays under "source_block_ids" anywhere in a JSON text, in order, each once.
-
-    Such arrays hold strings only, so they can be cut out of the text at any depth.
+def _harvest(node: object, keys: tuple[str, ...], kind: str | None, out: dict[str, None]) -> None:
+    """Collect the strings of the lists under ``keys``, and the ids of this kind in lists of ``sources``, in order."""
+    nodes = [node]
+    while nodes:
+        x = nodes.pop()
+        if isinstance(x, dict):
+            for k in keys:
+                for s in x[k] if isinstance(x.get(k), list) else ():
+                    if isinstance(s, str):
+                        out[s] = None
+            for s in x["sources"] if kind and isinstance(x.get("sources"), list) else ():
+                if isinstance(s, dict) and s.get("kind") == kind and isinstance(s.get("id"), str):
+                    out[s["id"]] = None
+            nodes.extend(reversed(list(x.values())))
+        elif isinstance(x, list):
+            nodes.extend(reversed(x))
+
+
+def cited_ids(content: Column, keys: tuple[str, ...] = ("source_block_ids",), kind: str | None = "block") -> Column:
+    """All ids that a JSON text cites at any depth, in order, each once: strings in lists under ``keys`` and
+    ``sources`` entries of ``kind``. Text that is no JSON cites nothing. JSON is walked in Arrow batches, as no expression recurses.
     """
-    arrays = F.regexp_extract_all(content, F.lit(r'"source_block_ids"\s*:\s*(\[[^\]]*\])'), 1)
-    return F.array_distinct(F.flatten(F.transform(arrays, lambda x: F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>")))))
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        import json
+
+        def one(text: str | None) -> list[str]:
+            out: dict[str, None] = {}
+            try:
+                _harvest(json.loads(text or "null"), keys, kind, out)
+            except ValueError:
+                pass
+            return list(out)
+
+        return texts.map(one)
+
+    return walk(content)
 
 
 def sources(refs: Column) -> Column:

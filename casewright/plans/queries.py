@@ -91,9 +91,11 @@ def _(spark, d):
     return retrieve.as_of(view(spark, d, "block").select("id", "book_id", "source_page"), view(spark, d, "section"), ["book_id"], "source_page", "title", ["level"]).select("id", "title")
 
 
-@query("case_rows", with_views("block") + "SELECT id, book_id, source_page, order_index, case_name, markdown AS excerpt FROM block WHERE type = 'case_opinion' AND source_page BETWEEN 2 AND 5")
+@query("case_rows", with_views("block") + "SELECT id, book_id, source_page, order_index, case_name, CASE WHEN l_partkey % 3 > 0 THEN CAST(1900 + l_partkey % 100 AS INTEGER) END AS year, CASE WHEN length(long) > 220 THEN concat(left(long, 220), '…') ELSE long END AS excerpt FROM (SELECT *, trim(repeat(concat(markdown, ' '), 1 + l_partkey % 5)) AS long FROM block) WHERE type = 'case_opinion' AND source_page BETWEEN 2 AND 5")
 def _(spark, d):
-    return retrieve.case_rows(view(spark, d, "block"), 2, 5)
+    year = F.when(F.col("l_partkey") % 3 > 0, F.to_json(F.struct((F.lit(1900) + F.col("l_partkey") % 100).alias("year")))).otherwise('{"year": "unknown"}')
+    long = F.repeat(F.concat("markdown", F.lit("\n")), (F.lit(1) + F.col("l_partkey") % 5).cast("int"))
+    return retrieve.case_rows(view(spark, d, "block").withColumns({"metadata": year, "markdown": long}), 2, 5)
 
 
 @query(
@@ -116,11 +118,11 @@ def _(spark, d):
     "nearest_vectors",
     """SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) AS cosine,
     CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) DESC, v.vec_id) AS INTEGER) AS rank
-    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (0, 1, 2) QUALIFY rank <= 10""",
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""",
 )
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return retrieve.nearest(e, e.where("vec_id IN (0, 1, 2)")).select("qid", "id", "cosine", "rank")
+    return retrieve.nearest(e, e.where("vec_id % 50 = 0"))
 
 
 # -- ledger ---------------------------------------------------------------------------------------------
@@ -181,11 +183,30 @@ def _(spark, d):
     return ledger.recent(view(spark, d, "cost_event"), 50, "click").select("id", "feature", "ts")
 
 
-@query("estimates")
+_ESTIMATES = {
+    "book_ingestion": ("n * 0.10 * 0.021", 0.50), "case_brief": ("0.1125", 0.30), "bulk_brief_generation": ("n * 0.1125", 0.30), "outline_regeneration": ("n * 0.0075 + 0.6", 0.30), "rubric_from_memo": ("0.21", 0.30),
+}
+
+
+def _estimates_sql() -> str:
+    expected = " ".join(f"WHEN '{k}' THEN {v}" for k, (v, _) in _ESTIMATES.items())
+    band = " ".join(f"WHEN '{k}' THEN {p}" for k, (_, p) in _ESTIMATES.items())
+    names = ", ".join(f"'{k}'" for k in [*_ESTIMATES, "unlisted"])
+    even = lambda n, k: f"({n} // {k} + CASE WHEN {n} % {k} * 2 > {k} OR ({n} % {k} * 2 = {k} AND {n} // {k} % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"""WITH r AS (SELECT event_type, unnest([{names}]) AS feature, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)),
+    e AS (SELECT *, CAST(CASE feature {expected} END AS DECIMAL(18,6)) AS x, CAST(CASE feature {band} END AS DECIMAL(4,2)) AS p FROM r),
+    w AS (SELECT *, CAST(coalesce(x * (1 - p), 0.10) * 100000000 AS BIGINT) AS l, CAST(coalesce(x, 1.00) * 100000000 AS BIGINT) AS m, CAST(coalesce(x * (1 + p), 10.00) * 100000000 AS BIGINT) AS h FROM e),
+    f AS (SELECT *, {even("l", 10000)} AS l4, {even("m", 10000)} AS m4, {even("h", 10000)} AS h4 FROM w)
+    SELECT event_type, feature, round(l4 / 10000.0::double, 4) AS low, round(m4 / 10000.0::double, 4) AS expected, round(h4 / 10000.0::double, 4) AS high,
+    CASE WHEN x IS NULL THEN concat('unknown feature ', chr(39), feature, chr(39), ': ~$1.00 (±900%)') ELSE concat('~$', CAST(CAST({even("m4", 100)} AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2))::VARCHAR, ' (±', CAST(CAST(p * 100 AS INTEGER) AS VARCHAR), '%)') END AS label FROM f"""
+
+
+@query("estimates", _estimates_sql())
 def _(spark, d):
     rows = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     features = F.array(*[F.lit(x) for x in (*ledger.ESTIMATES, "unlisted")])
-    return ledger.estimate(rows.select("event_type", F.explode(features).alias("feature"), F.col("n").alias("units")))
+    out = ledger.estimate(rows.select("event_type", F.explode(features).alias("feature"), F.col("n").alias("units"))).drop("units")
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("low", "expected", "high")})
 
 
 # -- study ----------------------------------------------------------------------------------------------
@@ -255,14 +276,25 @@ def _(spark, d):
     return out.withColumn("total", F.round(F.col("total").cast("double"), 4))
 
 
+_CITED = """SELECT artifact_id, CAST(ref AS VARCHAR(40)) AS ref, 'block' AS kind FROM reference
+    UNION ALL SELECT conv_id, concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(CASE WHEN turn % 3 = 0 THEN turn + 1000 ELSE turn END AS VARCHAR(20))), 'transcript_segment' FROM conversations
+    UNION ALL SELECT o_orderkey, 'a', 'artifact' FROM orders"""
+
+
 @query(
     "source_summary",
-    with_views("block", "reference") + "SELECT artifact_id, ref, block.id IS NOT NULL AS found FROM reference LEFT JOIN block ON block.id = ref",
+    with_views("block", "reference") + f""", cited AS ({_CITED}), known AS (SELECT 'block' AS kind, CAST(id AS VARCHAR) AS ref FROM block UNION SELECT 'transcript_segment', concat(CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR)) FROM conversations)
+    SELECT artifact_id, cited.kind AS kind, cited.ref AS ref, CASE WHEN cited.kind <> 'artifact' THEN known.ref IS NOT NULL END AS found FROM cited LEFT JOIN known ON known.kind = cited.kind AND known.ref = cited.ref""",
 )
 def _(spark, d):
-    refs = view(spark, d, "reference").select("artifact_id", "ref", F.lit("block").alias("kind"))
-    blocks = view(spark, d, "block").select("id")
-    return study.source_summary(refs, blocks, blocks.where("id < 0")).select("artifact_id", "ref", "found")
+    text = lambda c: F.col(c).cast("string")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat(text("conv_id"), F.lit(":"), text("turn")).alias("id"))
+    turn = F.when(F.col("turn") % 3 == 0, F.col("turn") + 1000).otherwise(F.col("turn"))
+    refs = view(spark, d, "reference").select("artifact_id", text("ref").alias("ref"), F.lit("block").alias("kind"))
+    refs = refs.unionByName(turns.select(F.col("conv_id").alias("artifact_id"), F.concat(text("conv_id"), F.lit(":"), turn.cast("string")).alias("ref"), F.lit("transcript_segment").alias("kind")))
+    refs = refs.unionByName(table(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), F.lit("a").alias("ref"), F.lit("artifact").alias("kind")))
+    blocks = view(spark, d, "block").select(text("id").alias("id"))
+    return study.source_summary(refs, blocks, turns).select("artifact_id", "kind", "ref", "found")
 
 
 _SM2 = "WITH RECURSIVE r AS (SELECT concat(CAST(user_id AS VARCHAR), ':', event_type) AS card, ts, event_id, CAST(event_id % 6 AS INTEGER) AS g, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), s AS (SELECT card, CAST(0 AS BIGINT) AS n, CAST(2.5 AS DOUBLE) AS ease, 0 AS itv, 0 AS reps, CAST(NULL AS TIMESTAMP) AS seen FROM (SELECT DISTINCT card FROM r) UNION ALL SELECT s.card, r.n, CASE WHEN g < 3 THEN ease ELSE greatest(1.3, ease + (0.1::double - (5 - g) * (0.08::double + (5 - g) * 0.02::double))) END, CASE WHEN g < 3 THEN 1 WHEN reps = 0 THEN 1 WHEN reps = 1 THEN 6 ELSE greatest(1, CAST(round_even(itv * greatest(1.3, ease + (0.1::double - (5 - g) * (0.08::double + (5 - g) * 0.02::double))), 0) AS INTEGER)) END, CASE WHEN g < 3 THEN 0 ELSE reps + 1 END, r.ts FROM s JOIN r ON r.card = s.card AND r.n = s.n + 1), z AS (SELECT card, round(ease, 6) AS ease, itv AS \"interval\", reps, seen AS last_at, n, row_number() OVER (PARTITION BY card ORDER BY n DESC) AS k FROM s) "
@@ -348,11 +380,24 @@ def _(spark, d):
     SELECT id, count(*) AS n, count(src.word) AS present, round(count(src.word) / count(*), 6) AS coverage FROM own CROSS JOIN n LEFT JOIN src ON src.word = own.word AND src.item_id = own.id % n.c GROUP BY 1""",
 )
 def _(spark, d):
-    items = table(spark, d, "benchmark")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    n = items.count()
-    sources = docs.select("id", (F.col("id") % n).alias("item_id")).join(F.broadcast(items), "item_id").select("id", "text")
-    return verify.coverage(docs, sources)
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    links = spark.sql("SELECT doc_id AS id, doc_id % (SELECT count(*) FROM {items}) AS source FROM {docs}", items=items, docs=table(spark, d, "documents"))
+    return verify.coverage(docs, links, items.select(F.col("item_id").alias("source"), "text"))
+
+
+@query(
+    "fidelity_issues",
+    f"""WITH st AS (SELECT unnest([{', '.join(repr(w) for w in X.FIDELITY_STOPWORDS)}]) AS word), r AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN concat(text, ' (Paraphrase)') WHEN doc_id % 9 = 1 THEN 'the court' ELSE text END AS text FROM documents),
+    w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM r), own AS (SELECT id, word FROM w WHERE word NOT IN (SELECT word FROM st)), n AS (SELECT count(*) AS c FROM benchmark),
+    src AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word, item_id FROM benchmark),
+    c AS (SELECT id, round(count(src.word) / count(*), 6) AS coverage FROM own CROSS JOIN n LEFT JOIN src ON src.word = own.word AND src.item_id = own.id % n.c AND own.id % 7 <> 0 GROUP BY 1)
+    SELECT id, severity, coverage FROM (SELECT r.id, coverage, CASE WHEN r.id % 7 = 0 THEN 'error' WHEN contains(lower(text), '(paraphrase)') THEN NULL WHEN coverage IS NULL OR coverage < 0.6 THEN 'warning' END AS severity FROM r LEFT JOIN c USING (id)) WHERE severity IS NOT NULL""",
+)
+def _(spark, d):
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" (Paraphrase)"))).when(F.col("doc_id") % 9 == 1, "the court").otherwise(F.col("text"))
+    links = spark.sql("SELECT doc_id AS id, doc_id % (SELECT count(*) FROM {items}) AS source FROM {docs} WHERE doc_id % 7 <> 0", items=items, docs=docs)
+    return verify.fidelity(docs.select(F.col("doc_id").alias("id"), text.alias("text")), links, items.select(F.col("item_id").alias("source"), "text"))
 
 
 @query(
@@ -380,7 +425,7 @@ def _books(spark, d) -> DataFrame:
 @query("page_slices", "SELECT doc_id AS book_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS source_page, trim(unnest(string_split(text, chr(10)))) AS markdown FROM documents")
 def _(spark, d):
     books = _books(spark, d)
-    return segment.page_slices(books, segment.page_markers(books)).drop("raw_text")
+    return segment.page_slices(segment.page_markers(books)).drop("raw_text")
 
 
 @query("page_blocks")
@@ -393,15 +438,27 @@ def _(spark, d):
 def _(spark, d):
     marked = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "), x))
     books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.array_join(marked, "\n").alias("markdown"))
-    return segment.toc(books, segment.page_markers(books)).select("book_id", "order_index", "level", "title", "source_page", "parent_index")
+    return segment.toc(segment.page_markers(books)).select("book_id", "order_index", "level", "title", "source_page", "parent_index")
+
 
+# Pairs of these parties are the known cases; each document cites one after its text: as it is listed, after an opener with
+# another separator, or with a letter missing.
+_PARTIES = ["Abernathy", "Blackwell", "Carrington", "Dunsmore", "Eastwick", "Fairbanks", "Goldsmith", "Hawthorne", "Ingersoll", "Jefferson", "Kirkwood", "Lancaster"]
 
-@query("resolved_mentions")
+
+@query(
+    "resolved_mentions",
+    f"""WITH p AS (SELECT {_PARTIES} AS p), m AS (SELECT doc_id AS id, p[doc_id % 12 + 1] AS a, p[(doc_id // 7 + doc_id + 1) % 12 + 1] AS b FROM documents, p)
+    SELECT id, concat(a, ' v. ', b) AS canonical, CASE id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'fuzzy' END AS method FROM m WHERE a <> b""",
+)
 def _(spark, d):
-    people = table(spark, d, "benchmark").select(F.initcap(F.element_at(F.split("text", r"\s+"), 1)).alias("a"), F.initcap(F.element_at(F.split("text", r"\s+"), 2)).alias("b"))
-    names = people.select(F.concat("a", F.lit(" v. "), "b").alias("name")).distinct()
-    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(F.slice(F.split("text", r"\s+"), 1, 3), F.initcap), " v ").alias("text"))
-    return resolve.resolve(texts, names)
+    names = spark.createDataFrame([(f"{a} v. {b}",) for a in _PARTIES for b in _PARTIES if a != b], "name string")
+    parties = F.array(*[F.lit(p) for p in _PARTIES])
+    docs = table(spark, d, "documents").select("doc_id", "text", F.get(parties, F.expr("int(doc_id % 12)")).alias("a"), F.get(parties, F.expr("int((doc_id div 7 + doc_id + 1) % 12)")).alias("b"))
+    short = F.concat(F.left("a", F.lit(2)), F.substring("a", 4, 30))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("a", F.lit(" v. "), "b")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("See "), "a", F.lit(" versus "), "b")).otherwise(F.concat(short, F.lit(" vs. "), "b"))
+    texts = docs.where("a <> b").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" as in ("), said, F.lit(") today")).alias("text"))
+    return resolve.resolve(texts, names).where("canonical IS NOT NULL").select(F.col("key").alias("id"), "canonical", "method")
 
 
 _ANSWER = "concat(CASE WHEN l_quantity > 25 THEN 'Clearly, the lease ends. ' ELSE 'The lease ends. ' END, 'One might argue that it does. ', CASE WHEN l_linenumber % 2 = 0 THEN 'However, it may not. ' ELSE '' END, CASE WHEN l_discount > 0.05 THEN 'my client wins.' ELSE 'It is open.' END)"
