@@ -35,12 +35,11 @@ from casewright.llm.common import ship
 
 SAMPLE = 1500
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|type)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WHITE = re.compile(r"\s+")
 #: Fixed values of HTML: what has no text of its own, what breaks blocks, what takes no end tag.
 SILENT = {"script", "style", "template", "iframe", "object", "canvas", "audio", "video", "select", "datalist", "textarea", "title", "head", "button"}
 RAW = {"script", "style", "textarea", "title", "iframe"}
-CONTROLS = {"input", "select", "textarea", "button"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 GOOD_TAGS = {"article", "main"}
@@ -60,7 +59,7 @@ class _Elements:
     def __init__(self) -> None:
         self.parent, self.tag = [0], [""]
         self.good, self.bad, self.bad_name, self.good_name = [False], [False], [False], [False]
-        self.controls, self.chars = [0], [0]
+        self.chars = [0]
 
     def add(self, parent: int, tag: str, names: str) -> int:
         self.parent.append(parent)
@@ -69,7 +68,6 @@ class _Elements:
         self.bad.append(tag in BAD_TAGS)
         self.bad_name.append(bool(names) and bool(BAD_NAME.search(names)))
         self.good_name.append(bool(names) and bool(GOOD_NAME.search(names)))
-        self.controls.append(0)
         self.chars.append(0)
         return len(self.tag) - 1
 
@@ -81,15 +79,13 @@ class _Elements:
         for i in range(n - 1, 0, -1):  # children come after their parents
             up = self.parent[i]
             self.chars[up] += self.chars[i]
-            self.controls[up] += self.controls[i]
             core[up] = core[up] or core[i]
         out = [(0.0, 0.0, 0.0, 0.0)]
         for i in range(1, n):
             good, bad, bad_name, good_name = out[self.parent[i]]
             tag = self.tag[i]
             around = tag in ("html", "body") or (2 * self.chars[i] > self.chars[0] and (core[i] or not core[0]))
-            empty_form = tag in ("form", "fieldset") and not self.controls[i]
-            own_bad = self.bad[i] and not around and not empty_form and not (tag == "header" and good)
+            own_bad = self.bad[i] and not around and not (tag == "header" and good)
             good_name = max(DECAY * good_name, float(self.good_name[i] and tag not in ("html", "body")))
             out.append((max(good, float(self.good[i])), max(bad, float(own_bad)), max(DECAY * bad_name, float(self.bad_name[i] and not around)), good_name))
         return out
@@ -155,8 +151,6 @@ def blocks(page: str) -> list[tuple[str, int, tuple[float, float, float, float],
             elif tag == "hr":
                 flush()
             continue
-        if tag in CONTROLS and not (tag == "input" and re.search(r"type\s*=\s*[\"']?hidden", m[3] or "", re.I)):
-            made.controls[stack[-1][1]] += 1
         if tag in VOID:
             continue
         if tag in BLOCKS:
@@ -169,7 +163,7 @@ def blocks(page: str) -> list[tuple[str, int, tuple[float, float, float, float],
                         break
                     if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "td", "th"):
                         break
-        names = " ".join(v[0] or v[1] or v[2] for k, *v in _ATTR.findall(m[3]) if k.lower() != "type") if m[3] else ""
+        names = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else ""
         mute = tag in SILENT
         stack.append((tag, made.add(stack[-1][1], tag, names), mute))
         opened[tag] = opened.get(tag, 0) + 1

@@ -247,7 +247,9 @@ def _tasks(inside: DataFrame, n: int, similarity: float) -> DataFrame:
     ``inside``, of ``n`` rows: root, node, row_key, copies, chars, size. A member goes to its own block, to the other blocks of its class of
     sizes, and to those of the next and the last class; a class that has a member alone has no task of its own.
     """
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    rows = F.count(F.lit(1)) / BLOCK_ROWS
+    # up to four blocks are made already for a quarter of the rows each
+    blocks = F.greatest(F.ceil(rows), F.least(F.ceil(4 * rows), F.lit(4)), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     whole = inside.groupBy("root").agg(blocks.alias("parts"), F.count(F.lit(1)).alias("_n"))
     # a bit wider than the similarity asks for, against rounding
     level = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(1.0001 / similarity))).cast("int")
