@@ -1,5 +1,5 @@
 """The registered queries: importing the package registers all of them."""
 
-from casewright.plans import queries, records
+from casewright.plans import queries, records, replies
 
-__all__ = ["queries", "records"]
+__all__ = ["queries", "records", "replies"]
