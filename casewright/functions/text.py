@@ -72,9 +72,9 @@ def mentions(text: Column) -> Column:
 
 def raw_text(markdown: Column) -> Column:
     """Markdown without heading marks, stars and comments."""
-    out = F.regexp_replace(markdown, r"(?m)^#{1,6}\s*", "")
+    out = F.regexp_replace(markdown, r"(?md)^\s*#{1,6}\s*", "")
     out = F.regexp_replace(out, r"\*{1,3}", "")
-    return F.trim(F.regexp_replace(out, r"(?s)<!--.*?-->", ""))
+    return F.btrim(F.regexp_replace(out, r"(?s)<!--.*?-->", ""), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def word_count(text: Column) -> Column:

@@ -6,6 +6,7 @@ run in Python on Arrow batches, one book or page a row: the longest marker chain
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -61,36 +62,41 @@ def longest_chain(candidates: list[tuple[int, int]], max_gap: int = 2, max_start
     return out[::-1]
 
 
+MARKER = "array<struct<line_index:int,value:int,start:int,end:int>>"
+
+
 def _chains(max_gap: int, max_start: int):
-    kind = pa.list_(pa.struct([("line_index", pa.int32()), ("value", pa.int32())]))
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("line_index", "value", "start", "end")]))
+
+    def marked(text: str, candidates: list[dict]) -> list[dict]:
+        """The chain, each marker with the code points of its page: after its line, up to the next marker's."""
+        chain = longest_chain([(c["line_index"], c["value"]) for c in candidates], max_gap, max_start)
+        starts = [0, *itertools.accumulate(map(len, text.splitlines(keepends=True)))] if chain else []
+        ends = [starts[i] for i, _ in chain[1:]] + starts[-1:]
+        return [{"line_index": i, "value": v, "start": min(starts[i + 1], e), "end": e} for (i, v), e in zip(chain, ends, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in batch.column(2).to_pylist():
-                chain = longest_chain([(c["line_index"], c["value"]) for c in row or []], max_gap, max_start)
-                found.append([{"line_index": i, "value": v} for i, v in chain])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["book_id", "markdown", "markers"])
+            found = [marked(t or "", c or []) for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            names = ["markdown", *batch.schema.names[2:], "markers"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, kind)], names)
 
     return run
 
 
-def page_markers(books: DataFrame, max_gap: int = 2, max_start: int = 3) -> DataFrame:
-    """(book_id, markdown, markers) of books (book_id, markdown); the text passes through, so nothing is joined back."""
+def page_markers(books: DataFrame, max_gap: int = 2, max_start: int = 3, keep: tuple[str, ...] = ("book_id",)) -> DataFrame:
+    """markdown, ``keep`` columns and markers of books; the text passes through, so nothing is joined back."""
     ship(books.sparkSession)
-    rows = books.select("book_id", "markdown", numeric_lines(F.col("markdown")).alias("c"))
-    kind = dict(rows.dtypes)["book_id"]
-    return rows.mapInArrow(_chains(max_gap, max_start), f"book_id {kind}, markdown string, markers array<struct<line_index:int,value:int>>")
-
-
-def page_slices(marked: DataFrame) -> DataFrame:
-    """(book_id, source_page, markdown, raw_text) of books with their markers: the lines after each up to the next; text before the first is dropped."""
-    df = marked.select("book_id", lines(F.col("markdown")).alias("l"), "markers")
-    df = df.select("book_id", "l", "markers", F.posexplode("markers").alias("i", "m"))
-    following = F.get("markers", F.col("i") + 1)["line_index"]
-    count = F.coalesce(following, F.size("l")) - F.col("m.line_index") - 1
-    body = F.trim(F.array_join(F.slice("l", F.col("m.line_index") + 2, count), "\n"))
-    df = df.select("book_id", F.col("m.value").alias("source_page"), F.when(count > 0, body).otherwise("").alias("markdown"))
+    rows = books.select("markdown", numeric_lines(F.col("markdown")).alias("c"), *keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(_chains(max_gap, max_start), f"markdown string, {kinds}, markers {MARKER}")
+
+
+def page_slices(marked: DataFrame, keep: tuple[str, ...] = ("book_id",)) -> DataFrame:
+    """``keep``, source_page, start, end, markdown, raw_text of every marked page, without line ends around; text before the first is dropped."""
+    df = marked.select("markdown", *keep, F.explode("markers").alias("m"))
+    body = F.btrim(F.substring(F.col("markdown"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")), F.lit("\n"))
+    df = df.select(*keep, F.col("m.value").alias("source_page"), "m.start", "m.end", body.alias("markdown"))
     return df.withColumn("raw_text", raw_text(F.col("markdown")))
 
 

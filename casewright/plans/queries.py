@@ -422,16 +422,10 @@ def _books(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.array_join(numbered, "\n").alias("markdown"))
 
 
-@query("page_slices", "SELECT doc_id AS book_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS source_page, trim(unnest(string_split(text, chr(10)))) AS markdown FROM documents")
+@query("page_slices", "SELECT doc_id AS book_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS source_page, unnest(string_split(text, chr(10))) AS markdown FROM documents")
 def _(spark, d):
     books = _books(spark, d)
-    return segment.page_slices(segment.page_markers(books)).drop("raw_text")
-
-
-@query("page_blocks")
-def _(spark, d):
-    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.lit(1).alias("source_page"), F.regexp_replace("text", "\n", "\n\n").alias("markdown"))
-    return segment.blocks(books).select("book_id", "source_page", "order_index", "type", "markdown")
+    return segment.page_slices(segment.page_markers(books)).select("book_id", "source_page", "markdown")
 
 
 @query("toc_headings", "SELECT doc_id AS book_id, CAST(i - 1 AS INTEGER) AS order_index, CAST(1 + (i - 1) % 3 AS INTEGER) AS level, l AS title, CAST(0 AS INTEGER) AS source_page, CAST(CASE WHEN (i - 1) % 3 = 0 THEN NULL ELSE i - 2 END AS INTEGER) AS parent_index FROM (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS l FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x), '[ #]+$', '')) AS s FROM documents))")
