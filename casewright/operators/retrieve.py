@@ -180,3 +180,28 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int = 10, rows: int = 4096)
     found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(_closest(k), "qid long, id long, cosine double")
     best = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def case_of(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(asked, block_id, problem): the opinion of each asked id and what trails it; a problem if the id is no opinion's."""
+    kinds = asked.join(blocks.select(F.col("id").alias("asked"), "type"), "asked", "left")
+    problem = F.when(F.col("type").isNull(), "missing").when(F.col("type") != "case_opinion", F.concat(F.lit("type is "), "type"))
+    trails = case_trails(blocks).select(F.col("opinion_id").alias("asked"), F.col("id").alias("block_id"))
+    return kinds.withColumn("problem", problem).drop("type").join(trails, "asked", "left")
+
+
+@dataclass(frozen=True)
+class CaseReference:
+    book_id: object
+    name: str
+
+
+def retrieved(query: PageRange | CaseReference, blocks: DataFrame) -> DataFrame:
+    """The blocks that a typed query asks for, in reading order; another type of query is an error."""
+    if isinstance(query, PageRange):
+        found = page_range(blocks, query)
+    elif isinstance(query, CaseReference):
+        found = case_reference(blocks, query.book_id, query.name)
+    else:
+        raise TypeError(f"unknown query: {type(query).__name__}")
+    return found.orderBy(*READING, "id")

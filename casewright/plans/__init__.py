@@ -1,5 +1,5 @@
 """The registered queries: importing the package registers all of them."""
 
-from casewright.plans import queries, records, replies, texts
+from casewright.plans import desk, queries, records, replies, texts
 
-__all__ = ["queries", "records", "replies", "texts"]
+__all__ = ["desk", "queries", "records", "replies", "texts"]
