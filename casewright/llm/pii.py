@@ -235,7 +235,9 @@ def _em(cells: list[tuple[int, tuple, tuple, int]], rounds: int = 50) -> dict[tu
 def fit(docs: DataFrame) -> dict:
     """The span classifier: per kind a prior log-odds, per feature value a log-odds, from a histogram of all candidates."""
     text = whole_text()
-    spans = docs.select(text.alias("_t")).select(F.explode(described(F.col("_t"), F.concat(base_spans(F.col("_t")), more_spans(F.col("_t"))))).alias("c"))
+    # an inner explode would have the optimizer find all spans again in a filter before it
+    found = described(F.col("_t"), F.concat(base_spans(F.col("_t")), more_spans(F.col("_t"))))
+    spans = docs.select(text.alias("_t")).select(F.explode_outer(found).alias("c")).where("c IS NOT NULL")
     rows = spans.groupBy("c.kind", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded: see the module's text
     cells = sorted((r["kind"], tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in rows)
     post = _em(cells)
