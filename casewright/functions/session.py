@@ -19,16 +19,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir; a folder of its own where that is unset."""
+    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder of this session's checkpoints, which all executors see."""
+    """The folder of this session's checkpoints, which all executors see; only a local session gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 

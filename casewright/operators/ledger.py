@@ -22,9 +22,15 @@ def rates(path: str | None = None) -> tuple[list[tuple[str, str, str, str]], tup
         with open(path or "", "rb") as f:
             doc = tomllib.load(f)
         fall = doc.pop("conservative_default", {})
-        cell = lambda m, k: str(Decimal(str(m[k])))
-        rows = [(p, m, cell(v, "input_per_mtok"), cell(v, "output_per_mtok")) for p, models in doc.items() for m, v in models.items()]
-        return rows, (str(fall.get("input_per_mtok", UNKNOWN[0])), str(fall.get("output_per_mtok", UNKNOWN[1])))
+
+        def cell(table: dict, key: str) -> str:
+            if isinstance(table[key], bool):
+                raise TypeError(key)
+            return str(Decimal(str(table[key])))
+
+        tables = [(p, m, v) for p, models in doc.items() if isinstance(models, dict) for m, v in models.items() if isinstance(v, dict)]
+        rows = [(p.lower(), m.lower(), cell(v, "input_per_mtok"), cell(v, "output_per_mtok")) for p, m, v in tables]
+        return rows, (cell(fall, "input_per_mtok"), cell(fall, "output_per_mtok")) if fall else UNKNOWN
     except (OSError, tomllib.TOMLDecodeError, KeyError, AttributeError, TypeError, ArithmeticError):
         return RATES, UNKNOWN
 

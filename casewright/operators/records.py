@@ -76,7 +76,10 @@ def ordered_union(rows: DataFrame, key: str, order: str, array: str) -> DataFram
 
 
 def cited_text(refs: DataFrame, blocks: DataFrame, key: str = "artifact_id") -> DataFrame:
-    """(key, text): the markdown of the cited blocks in reading order, a blank line between; unknown ids add nothing."""
+    """(key, text): the markdown of the cited blocks in reading order, a blank line between; unknown ids add nothing.
+
+    The text is what a prompt of the artifact holds, so its blocks are gathered in one row.
+    """
     found = refs.select(key, F.col("ref").alias("id")).distinct().join(blocks.select("id", "book_id", "source_page", "order_index", "markdown"), "id")
     rows = F.array_sort(F.collect_list(F.struct("book_id", "source_page", "order_index", "id", "markdown")))
     return found.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["markdown"]), "\n\n").alias("text"))

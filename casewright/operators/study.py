@@ -86,6 +86,44 @@ def provisional_score(weights: dict | None = None, caps: dict | None = None, pen
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+def weights(path: str | None = None) -> tuple[dict[str, float], dict[str, float], float]:
+    """(weights, caps, penalty) of the scores from a TOML file; the fixed ones where a value lacks or is no number."""
+    import tomllib
+
+    def number(table: object, key: str) -> float:
+        if not isinstance(table, dict) or isinstance(table[key], bool) or not isinstance(table[key], int | float):
+            raise TypeError(key)
+        return float(table[key])
+
+    try:
+        with open(path or "", "rb") as f:
+            doc = tomllib.load(f)
+        w = {k: number(doc.get("weights"), k) for k in WEIGHTS}
+        return w, {k: number(doc.get("normalization"), f"{k}_cap") for k in CAPS}, number(doc.get("penalties"), "disclaimed")
+    except (OSError, ValueError, KeyError, TypeError):
+        return WEIGHTS, CAPS, PENALTY
+
+
+def emphasis_map(features: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items of transcripts whose replies (transcript_id, content) score their subjects, and warnings on the rest of the replies.
+
+    An item keeps the subject's own signals; its score is brought within 0 and 1, one that is no number is 0. Subjects of another
+    kind, or that the features don't know, are passed over.
+    """
+    item = "array<struct<subject_kind:string,subject_label:string,exam_signal_score:string,justification:string>>"
+    rows = replies.select("transcript_id", F.explode(F.from_json(F.get_json_object("content", "$.items"), item)).alias("i")).select(
+        "transcript_id", F.col("i.subject_kind").alias("kind"), F.coalesce("i.subject_label", F.lit("")).alias("label"), F.col("i.exam_signal_score").alias("_s"), F.trim(F.coalesce("i.justification", F.lit(""))).alias("justification")
+    )
+    known = F.col("kind").isin("case", "rule", "concept")
+    number = F.expr("try_cast(_s AS double)")
+    scored = rows.where(known).withColumns({"_n": number, "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0))))})
+    kept, unknown = reconciled(scored, features)
+    odd = kept.where("_n IS NULL AND _s IS NOT NULL").select("transcript_id", "kind", "label", F.lit("score is no number").alias("warning"))
+    warned = odd.unionByName(unknown.select("transcript_id", "kind", "label", F.lit("subject is not in the input").alias("warning")))
+    warned = warned.unionByName(rows.where(~F.coalesce(known, F.lit(False))).select("transcript_id", "kind", "label", F.lit("unknown kind").alias("warning")))
+    return kept.drop("_s", "_n"), warned
+
+
 def reconciled(returned: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returned subjects that the features know, with them; and those that they don't."""
     keys = ["transcript_id", "kind", "label"]
@@ -168,7 +206,10 @@ def sm2(state: Column, grade: Column) -> Column:
 
 
 def review_states(log: DataFrame) -> DataFrame:
-    """The state of each card after its reviews (card, at, seq, grade) in order, and when it is due."""
+    """The state of each card after its reviews (card, at, seq, grade) in order, and when it is due.
+
+    A card's reviews are folded in one row: a card is one learner's, with some hundred reviews in its life.
+    """
     zero = F.struct(F.lit(START["ease"]).alias("ease"), F.lit(START["interval"]).alias("interval"), F.lit(START["reps"]).alias("reps"))
     kept = log.groupBy("card").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "grade"))).alias("r"), F.max("at").alias("last_at"))
     df = kept.withColumn("s", F.aggregate("r", zero, lambda s, x: sm2(s, x["grade"])))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from functools import reduce
@@ -105,6 +104,3 @@ def replayed(calls: DataFrame, replay: DataFrame) -> tuple[DataFrame, DataFrame]
     """Calls with their recorded reply, and calls that have none. Nothing is ever requested."""
     return calls.join(replay, "cache_key"), calls.join(replay.select("cache_key"), "cache_key", "left_anti")
 
-
-def compact(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"))

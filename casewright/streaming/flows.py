@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from casewright.functions.session import scratch
 from casewright.operators.study import START
 
-STATE = "ease double, interval int, reps int"
+STATE = "ease double, interval int, reps int, last long"
 
 
 def follow(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -45,16 +45,21 @@ def review_step(ease: float, interval: int, reps: int, grade: int) -> tuple[floa
 
 
 def _reviewed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else (START["ease"], START["interval"], START["reps"])
+    *now, last = tuple(state.get) if state.exists else (START["ease"], START["interval"], START["reps"], None)
     rows = pd.concat([f[["at", "seq", "grade"]] for f in frames]).sort_values(["at", "seq"])
+    if last is not None and rows["at"].iloc[0].value // 1000 < last:
+        raise ValueError(f"a review of card {key[0]} is earlier than one already counted")
     for grade in rows["grade"]:
         now = review_step(*now, int(grade))
-    state.update(now)
+    state.update((*now, rows["at"].iloc[-1].value // 1000))
     yield pd.DataFrame({"card": [key[0]], "ease": [round(now[0], 6)], "interval": [now[1]], "reps": [now[2]], "last_at": [rows["at"].iloc[-1]]})
 
 
 def review_states(log: DataFrame) -> DataFrame:
-    """The state of each card that a batch of reviews (card, at, seq, grade) changes. Batches come in order of time."""
+    """The state of each card that a batch of reviews (card, at, seq, grade) changes.
+
+    A card's reviews come in order of time; one that is earlier than those counted is an error, as its effect can't be undone.
+    """
     kind = log.schema["at"].dataType.simpleString()
     return log.groupBy("card").applyInPandasWithState(_reviewed, f"card string, {STATE}, last_at {kind}", STATE, "update", GroupStateTimeout.NoTimeout)
 
