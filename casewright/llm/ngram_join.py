@@ -122,7 +122,7 @@ def _spread(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataF
     Keys with very many rows, of which there are at most 4096 by their number, are joined by broadcast where
     their rows lie; all others by a shuffle, in which no key is heavy then.
     """
-    many = max(1024, n // 4096)
+    many = max(256, n // 4096)
     rest = [c for c in table.columns if c not in (*keys, "_n")]
     heavy = table.where(F.col("_n") > many).select(F.struct(*keys).alias("_key"), F.struct(*rest).alias("_got"))
     tagged = rows.join(F.broadcast(heavy), F.struct(*keys) == F.col("_key"), "left")
