@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.functions.session import ship
 from casewright.operators.retrieve import as_of
 
 # Where a title may stand, the label keys of a search hit, the fields of a profile that may be edited, providers.
@@ -32,6 +33,7 @@ def title(payload: Column, kind: Column, id_: Column) -> Column:
 
 def flat_text(content: Column) -> Column:
     """All texts inside a JSON text, at any depth, in order, one a line; empty where it is no JSON. Walked in Arrow batches."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def walk(texts: pd.Series) -> pd.Series:

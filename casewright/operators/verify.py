@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.functions.session import ship
 from casewright.functions.text import FIDELITY_STOPWORDS, tokens
 
 FIDELITY = 0.60
@@ -92,6 +93,7 @@ def cited_ids(content: Column, keys: tuple[str, ...] = ("source_block_ids",), ki
     """All ids that a JSON text cites at any depth, in order, each once: strings in lists under ``keys`` and
     ``sources`` entries of ``kind``. Text that is no JSON cites nothing. JSON is walked in Arrow batches, as no expression recurses.
     """
+    ship(SparkSession.active())
 
     @F.pandas_udf("array<string>")
     def walk(texts: pd.Series) -> pd.Series:

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from casewright.functions.session import scratch
+from casewright.functions.session import scratch, ship
 from casewright.operators.study import START
 
-STATE = "ease double, interval int, reps int, last long"
+STATE = "ease double, interval int, reps int"
 
 
 def follow(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -60,8 +60,9 @@ def review_states(log: DataFrame) -> DataFrame:
 
     A card's reviews come in order of time; one that is earlier than those counted is an error, as its effect can't be undone.
     """
+    ship(log.sparkSession)
     kind = log.schema["at"].dataType.simpleString()
-    return log.groupBy("card").applyInPandasWithState(_reviewed, f"card string, {STATE}, last_at {kind}", STATE, "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("card").applyInPandasWithState(_reviewed, f"card string, {STATE}, last_at {kind}", f"{STATE}, last long", "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str = "update", path: str | None = None) -> str:

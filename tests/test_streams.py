@@ -29,6 +29,14 @@ def test_reviews_over_batches(spark, split):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_reviews_out_of_order_are_refused(spark, split, tmp_path):
+    events = spark.read.parquet(split).selectExpr("concat(user_id, ':', event_type) AS card", "ts AS at", "event_id AS seq", "CAST(event_id % 6 AS INT) AS grade")
+    for name, where in (("b", "at > '2024-01-20'"), ("c", "at <= '2024-01-20'")):
+        events.where(where).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    with pytest.raises(Exception, match="earlier"):
+        flows.drained(flows.review_states(flows.follow(spark, f"{tmp_path}/t", 1)))
+
+
 def test_costs_over_batches(spark, split):
     columns = ["CAST(ts AS TIMESTAMP) AS ts", "event_type AS feature", "CAST(value AS DECIMAL(20,10)) AS total_cost_usd"]
     got = flows.latest(spark, flows.drained(flows.daily_costs(flows.follow(spark, split, 1).selectExpr(*columns))), ["day", "feature"])
