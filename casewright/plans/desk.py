@@ -126,7 +126,7 @@ def _(spark, d):
     with_views("artifact", "block") + """, s AS (SELECT l_orderkey AS artifact_id, 'block' AS kind, CASE WHEN l_partkey % 11 = 0 THEN -l_linenumber ELSE (l_orderkey * 10 + l_linenumber) * 1000 END AS ref FROM lineitem WHERE l_linenumber % 2 = 1),
     g AS (SELECT DISTINCT artifact_id, ref FROM s WHERE ref NOT IN (SELECT id FROM block)), own AS (SELECT artifact_id, count(*) AS n FROM s GROUP BY 1),
     m AS (SELECT a.id, list_sort(list_distinct(list(g.ref))) AS missing FROM artifact a JOIN g ON g.artifact_id = a.id OR g.artifact_id = a.parent_id GROUP BY 1)
-    SELECT artifact.id, coalesce(n, 0) AS cited_blocks, 0 AS cited_segments, coalesce(array_to_string(missing, ','), '') AS missing FROM artifact LEFT JOIN own ON artifact_id = artifact.id LEFT JOIN m ON m.id = artifact.id""",
+    SELECT artifact.id, coalesce(n, 0) AS cited_blocks, CAST(0 AS BIGINT) AS cited_segments, coalesce(array_to_string(missing, ','), '') AS missing FROM artifact LEFT JOIN own ON artifact_id = artifact.id LEFT JOIN m ON m.id = artifact.id""",
 )
 def _(spark, d):
     artifacts = view(spark, d, "artifact")
@@ -232,7 +232,7 @@ def _(spark, d):
     "verified_artifacts",
     with_views("block", "reference") + """, m AS (SELECT artifact_id, count(*) AS n FROM (SELECT DISTINCT artifact_id, ref FROM reference WHERE ref NOT IN (SELECT id FROM block)) GROUP BY 1), s AS (SELECT l_orderkey AS id, count(*) < 3 AS few FROM lineitem GROUP BY 1)
     SELECT o_orderkey AS artifact_id, profile, errors, warnings, errors = 0 AS passed FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'citation_grounding' WHEN 1 THEN 'rubric_shape' ELSE 'odd' END AS profile,
-    CASE o_orderkey % 3 WHEN 0 THEN coalesce(n, 0) WHEN 1 THEN 0 ELSE 1 END AS errors, CASE WHEN o_orderkey % 3 = 1 AND few THEN 1 ELSE 0 END AS warnings FROM orders LEFT JOIN m ON artifact_id = o_orderkey LEFT JOIN s ON s.id = o_orderkey)""",
+    CASE o_orderkey % 3 WHEN 0 THEN coalesce(n, 0) WHEN 1 THEN 0 ELSE 1 END AS errors, CAST(CASE WHEN o_orderkey % 3 = 1 AND few THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM orders LEFT JOIN m ON artifact_id = o_orderkey LEFT JOIN s ON s.id = o_orderkey)""",
 )
 def _(spark, d):
     refs = view(spark, d, "reference").select("artifact_id", "ref")

@@ -195,7 +195,7 @@ def _estimates_sql() -> str:
     even = lambda n, k: f"({n} // {k} + CASE WHEN {n} % {k} * 2 > {k} OR ({n} % {k} * 2 = {k} AND {n} // {k} % 2 = 1) THEN 1 ELSE 0 END)"
     return f"""WITH r AS (SELECT event_type, unnest([{names}]) AS feature, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)),
     e AS (SELECT *, CAST(CASE feature {expected} END AS DECIMAL(18,6)) AS x, CAST(CASE feature {band} END AS DECIMAL(4,2)) AS p FROM r),
-    w AS (SELECT *, CAST(coalesce(x * (1 - p), 0.10) * 100000000 AS BIGINT) AS l, CAST(coalesce(x, 1.00) * 100000000 AS BIGINT) AS m, CAST(coalesce(x * (1 + p), 10.00) * 100000000 AS BIGINT) AS h FROM e),
+    w AS (SELECT *, CAST(CAST(coalesce(x * (1 - p), 0.10) AS DECIMAL(24,8)) * 100000000 AS BIGINT) AS l, CAST(CAST(coalesce(x, 1.00) AS DECIMAL(24,8)) * 100000000 AS BIGINT) AS m, CAST(CAST(coalesce(x * (1 + p), 10.00) AS DECIMAL(24,8)) * 100000000 AS BIGINT) AS h FROM e),
     f AS (SELECT *, {even("l", 10000)} AS l4, {even("m", 10000)} AS m4, {even("h", 10000)} AS h4 FROM w)
     SELECT event_type, feature, round(l4 / 10000.0::double, 4) AS low, round(m4 / 10000.0::double, 4) AS expected, round(h4 / 10000.0::double, 4) AS high,
     CASE WHEN x IS NULL THEN concat('unknown feature ', chr(39), feature, chr(39), ': ~$1.00 (±900%)') ELSE concat('~$', CAST(CAST({even("m4", 100)} AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2))::VARCHAR, ' (±', CAST(CAST(p * 100 AS INTEGER) AS VARCHAR), '%)') END AS label FROM f"""
