@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.text import all_matches
-from casewright.operators import resolve, segment
+from casewright.operators import resolve, retrieve, segment
 from casewright.sources.archive import book_id
 
 # The comment that a converter leaves at a page's start, the mark between two stitched files, the speakers.
@@ -98,3 +98,23 @@ def transcripts(cleaned: DataFrame, known: DataFrame, names: DataFrame) -> tuple
     cases = found.groupBy(F.col("key").alias("_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "canonical"))), lambda x: x["canonical"]).alias("mentioned_cases"))
     segments = parts.join(cases, "_key", "left").withColumn("mentioned_cases", F.coalesce("mentioned_cases", F.array().cast("array<string>"))).drop("_key")
     return rows.select("id", "corpus_id", F.length("raw").alias("n_chars")), segments
+
+
+def syllabi(replies: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(syllabus, syllabus_entry, discrepancy) rows of valid replies (id, corpus_id, book_id, content).
+
+    Page ranges without two ends are passed over, dates that don't parse are null; ranges that leave the pages of the book, where one
+    is named, are reported and kept.
+    """
+    entry = "array<struct<code:string,title:string,assignment_date:string,page_ranges:array<array<int>>,cases_assigned:array<string>,topic_tags:array<string>>>"
+    at = lambda k: F.get_json_object("content", f"$.{k}")
+    syllabus = replies.select("id", "corpus_id", F.coalesce(at("title"), F.lit("Syllabus")).alias("title"))
+    rows = replies.select(F.col("id").alias("syllabus_id"), "book_id", F.posexplode(F.from_json(at("entries"), entry)).alias("position", "e"))
+    empty = F.array().cast("array<string>")
+    pairs = F.filter(F.coalesce("e.page_ranges", F.array().cast("array<array<int>>")), lambda r: F.size(r) == 2)
+    entries = rows.select(
+        "syllabus_id", "book_id", "position", "e.code", "e.title", F.to_date(F.try_to_timestamp("e.assignment_date")).alias("assignment_date"),
+        F.transform(pairs, lambda r: F.struct(r[0].alias("start"), r[1].alias("end"))).alias("ranges"), F.coalesce("e.cases_assigned", empty).alias("cases_assigned"), F.coalesce("e.topic_tags", empty).alias("topic_tags"),
+    )
+    wrong = retrieve.bad_ranges(entries.where("book_id IS NOT NULL").select("book_id", F.struct("syllabus_id", "code").alias("code"), "ranges"), books)
+    return syllabus, entries.drop("book_id"), wrong.select("code.syllabus_id", "code.code", "book_id", "start", "end")

@@ -261,3 +261,19 @@ def _(spark, d):
     names = spark.createDataFrame([("Alpha v. Beta",), ("Gamma v. Delta",)], "name string")
     _, segments = ingest.transcripts(orders.select("raw", F.lit(1).alias("corpus_id"), parts.alias("segments")), known, names)
     return segments.select("transcript_id", "order_index", "speaker", F.array_join("mentioned_cases", ",").alias("cases"))
+
+
+@query(
+    "ingested_syllabi",
+    with_views("book") + """, s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS book_id FROM orders)
+    SELECT s.id AS syllabus_id, code, CASE WHEN code = 'A' AND s.id % 3 = 0 THEN DATE '2024-02-03' END AS assignment_date, CASE code WHEN 'A' THEN '1-2,0-99' ELSE '' END AS ranges,
+    CASE WHEN code = 'A' AND book.id IS NOT NULL THEN CASE WHEN 1 < page_min OR 2 > page_max THEN 2 ELSE 1 END ELSE 0 END::BIGINT AS wrong FROM s CROSS JOIN (VALUES ('A'), ('B')) c(code) LEFT JOIN book ON book.id = s.book_id""",
+)
+def _(spark, d):
+    date = F.when(F.col("o_orderkey") % 3 == 0, '"2024-02-03"').when(F.col("o_orderkey") % 3 == 1, '"soon"').otherwise("null")
+    content = F.concat(F.lit('{"entries": [{"code": "A", "title": "t", "assignment_date": '), date, F.lit(', "page_ranges": [[1, 2], [3], [0, 99]]}, {"code": "B", "title": "u"}]}'))
+    replies = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("corpus_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("book_id"), content.alias("content"))
+    _, entries, wrong = ingest.syllabi(replies, view(spark, d, "book"))
+    n = wrong.groupBy("syllabus_id", "code").agg(F.count(F.lit(1)).alias("wrong"))
+    ranges = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return entries.select("syllabus_id", "code", "assignment_date", ranges.alias("ranges")).join(n, ["syllabus_id", "code"], "left").fillna(0, ["wrong"])
