@@ -6,7 +6,7 @@ import math
 
 import public_tokenizers
 
-from casewright.llm import fingerprints, html_extract, language_id, ngram_join, packing, pieces, pii, quality, sharding, url_filter
+from casewright.llm import fingerprints, html_extract, language_id, manifest, ngram_join, packing, pieces, pii, quality, sharding, url_filter
 from casewright.llm.common import documents, pages
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -27,6 +27,7 @@ QUERIES = {
     "op8_packing": lambda spark, d: packing.digest(documents(spark, d), tokenizer_path(WORD_BPE)),
     "op9_ngram_join": lambda spark, d: ngram_join.classes(documents(spark, d)),
     "op10_url_filter": lambda spark, d: url_filter.judge_urls(pages(spark, d)),
+    "op12_manifest": lambda spark, d: manifest.build(documents(spark, d)),
 }
 
 
@@ -130,4 +131,45 @@ v AS (SELECT r, bool_and(ms[m] BETWEEN fence[1] AND fence[2]) AS inside FROM b J
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept FROM b LEFT JOIN v USING (r)"""
 
 
-ORACLE = {"op4_quality": _quality_sql(), "op10_url_filter": _url_sql()}
+#: CRC-32 of a text, with the table ``crc(t)`` of CRC_TABLE at hand.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _crc_sql(text_bytes: str, table: str = "(SELECT t FROM crc)") -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {text_bytes}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _manifest_sql(levels: int = 8, top: int = 2, arity: int = manifest.ARITY) -> str:
+    """The tree level by level, and every leaf's way up, for languages of at most arity ** levels leaves."""
+
+    def leaf(text: str) -> str:
+        part = lambda x: f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+        return "sha256(" + " || ".join(part(text if c == "text" else c) for c in manifest.COLUMNS) + ")"
+
+    digits = "list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)"
+    lower = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+    parts = [
+        CRC_TABLE,
+        f"d AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf('text')} AS leaf, CASE WHEN {_crc_sql(digits, 't')} % 3 = 0 THEN {leaf(lower)} END AS bad FROM documents, crc)",
+        "p0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, coalesce(bad, leaf) AS f, '' AS proof FROM d)",
+        "n0 AS (SELECT tree, rank, leaf AS d FROM p0)",
+    ]
+    for k in range(levels + top):
+        if k == levels:
+            parts += [
+                f"s AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM n{k})",
+                f"n{k}x AS (SELECT '' AS tree, place AS rank, subroot AS d FROM s)",
+                f"p{k}x AS (SELECT p.doc_id, '' AS tree, p.leaf, s.place AS rank, p.f, p.proof, s.subroot FROM p{k} p JOIN s USING (tree))",
+            ]
+        x = "x" if k == levels else ""
+        parts += [
+            f"r{k} AS (SELECT tree, rank // {arity} AS run, list(d ORDER BY rank) AS ds, sum(count(*)) OVER (PARTITION BY tree) > 1 AS more FROM n{k}{x} GROUP BY 1, 2)",
+            f"n{k + 1} AS (SELECT tree, run AS rank, CASE WHEN more THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM r{k})",
+            f"p{k + 1} AS (SELECT p.* EXCLUDE (rank, f, proof), rank // {arity} AS rank, CASE WHEN more THEN sha256(array_to_string(ds[:rank % {arity}], '') || f || array_to_string(ds[rank % {arity} + 2:], '')) ELSE f END AS f, "
+            f"CASE WHEN more THEN proof || array_to_string(ds[:rank % {arity}], '') || array_to_string(ds[rank % {arity} + 2:], '') ELSE proof END AS proof FROM p{k}{x} p JOIN r{k} r ON p.tree = r.tree AND p.rank // {arity} = r.run)",
+        ]
+    end = levels + top
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM p{end} JOIN n{end} USING (tree)"
+
+
+ORACLE = {"op4_quality": _quality_sql(), "op10_url_filter": _url_sql(), "op12_manifest": _manifest_sql()}
