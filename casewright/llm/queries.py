@@ -6,7 +6,7 @@ import math
 
 import public_tokenizers
 
-from casewright.llm import fingerprints, html_extract, language_id, manifest, ngram_join, packing, pieces, pii, quality, sharding, url_filter
+from casewright.llm import fingerprints, html_extract, language_id, manifest, minhash, ngram_join, packing, pieces, pii, quality, search, sharding, url_filter
 from casewright.llm.common import documents, pages
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -27,7 +27,9 @@ QUERIES = {
     "op8_packing": lambda spark, d: packing.digest(documents(spark, d), tokenizer_path(WORD_BPE)),
     "op9_ngram_join": lambda spark, d: ngram_join.classes(documents(spark, d)),
     "op10_url_filter": lambda spark, d: url_filter.judge_urls(pages(spark, d)),
+    "op11_search": lambda spark, d: search.search(search.build_index(documents(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet")),
     "op12_manifest": lambda spark, d: manifest.build(documents(spark, d)),
+    "op13_minhash": lambda spark, d: minhash.near_duplicates(documents(spark, d)),
 }
 
 
@@ -172,4 +174,18 @@ def _manifest_sql(levels: int = 8, top: int = 2, arity: int = manifest.ARITY) ->
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM p{end} JOIN n{end} USING (tree)"
 
 
-ORACLE = {"op4_quality": _quality_sql(), "op10_url_filter": _url_sql(), "op12_manifest": _manifest_sql()}
+def _search_sql(top: int = search.TOP) -> str:
+    of = lambda name, key: f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{manifest.UPPER}', '{manifest.LOWER}'), '{search.TERM}')) AS term FROM {name}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), t AS ({of("d", "r")}),
+tf AS (SELECT r, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT r, sum(tf)::bigint AS n FROM tf GROUP BY r),
+c AS (SELECT count(*)::bigint AS N, sum(n)::bigint AS L FROM n), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, text, term FROM ({of("benchmark", "item_id, text")})),
+w AS (SELECT term, floor(1000 * ln((2 * N + 2) / (2 * df + 1)))::bigint AS w FROM df, c),
+m AS (SELECT r, 50 + (50 * n.n * c.N) // c.L AS m FROM n, c),
+s AS (SELECT item_id, text, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, s.text ORDER BY score DESC, doc_id NULLS FIRST)::integer AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id, s.text ORDER BY score DESC, doc_id NULLS FIRST) <= {top}"""
+
+
+ORACLE = {"op4_quality": _quality_sql(), "op10_url_filter": _url_sql(), "op11_search": _search_sql(), "op12_manifest": _manifest_sql()}
