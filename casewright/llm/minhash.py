@@ -2,7 +2,7 @@
 
 1. A text becomes its set of two-word shingles (A-Z in lower case, 64-bit values; a single word is one shingle).
    One permutation of the values deals them over bins, of which each keeps its least; an empty bin takes the value
-   of the first filled one in a fixed random sequence of its own (optimal densification). Documents of equal sets
+   of the first filled one in a fixed random order of its own (optimal densification). Documents of equal sets
    form one group, which is compared once.
 2. Groups are shuffled on the hashes of their bands; of buckets with the same members one is kept. A bucket proposes
    stars only: edges from a hub to those of its members that aren't in the hub's component yet and may be alike by
@@ -22,7 +22,7 @@ table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WORD, cut, ship
+from casewright.llm.common import drop, ship, stored
 from casewright.llm.ngram_join import _row_key, _spread, components
 
 SHINGLE, SIMILARITY = 2, 80
@@ -42,8 +42,8 @@ RECALL = 1 - (1 - (SIMILARITY / 100) ** ROWS) ** BANDS
 STAR = 512
 #: Rounds in which each group proposes one edge only.
 QUICK = 3
-_WORD = re.compile(WORD)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bins of a sequence that are looked at before the whole.
+FIRST = 12
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,8 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The sorted set of the text's n-word shingles; of all its words as one where it has fewer."""
-    text = text or ""
-    words = _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+    words = (text or "").encode().lower().split()  # bytes know ASCII's case and white space only
     if not words:
         return np.empty(0, np.uint64)
     h = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
@@ -68,18 +67,24 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(v))
 
 
+@functools.cache
+def _sequences(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each bin's random order of all bins, and the place of each in it."""
+    order = np.argsort(np.random.Generator(np.random.PCG64(13)).random((bins, bins)), axis=1)
+    return order[:, :FIRST].copy(), np.argsort(order, axis=1).astype(np.uint16)
+
+
 def densified(least: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Give each empty bin the value of a filled one: the first in the bin's own sequence of random bins."""
-    bins = len(least)
-    out, empty, attempt = least.copy(), np.flatnonzero(~filled), 0
-    if not filled.any():
-        return out
-    while len(empty):
-        attempt += 1
-        at = (mix(empty.astype(np.uint64) * _MUL + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
-        hit = filled[at]
-        out[empty[hit]] = least[at[hit]]
-        empty = empty[~hit]
+    """Give each empty bin the value of a filled one: the first in the bin's own random order of the bins."""
+    order, places = _sequences(len(least))
+    out, empty = least.copy(), np.flatnonzero(~filled)
+    hits = filled[order[empty]]
+    first = hits.argmax(axis=1)
+    soon = hits[np.arange(len(empty)), first] if len(empty) else np.empty(0, bool)
+    out[empty[soon]] = least[order[empty[soon], first[soon]]]
+    late, full = empty[~soon], np.flatnonzero(filled)
+    if len(late):
+        out[late] = least[full[places[np.ix_(late, full)].argmin(axis=1)]]
     return out
 
 
@@ -95,11 +100,9 @@ def signature(values: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
 
 
 def band_hashes(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    s = signature(values, bands * rows).reshape(bands, rows)
-    h = np.arange(bands, dtype=np.uint64) * _MUL
-    for j in range(rows):
-        h = mix(h * np.uint64(3) + s[:, j])
-    return h.view(np.int64)
+    s = mix(signature(values, bands * rows).reshape(bands, rows) + np.arange(rows, dtype=np.uint64))
+    powers = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
+    return mix((s * powers).sum(axis=1) + np.arange(bands, dtype=np.uint64) * _MUL).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +152,10 @@ def _one_edge_each(alive: DataFrame, seed: int, n: int, similarity: int) -> tupl
     parts = alive.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("pick"))
     hubs = parts.groupBy("bucket").agg(F.max(F.struct("n", "pick")).alias("top"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     hubs = hubs.select("bucket", "_n", F.col("top.pick.node").alias("hub"), F.col("top.pick.size").alias("hub_size"), F.col("top.pick.label").alias("hub_label"))
-    rows = cut(_spread(alive, hubs, ["bucket"], n))
+    rows = stored(_spread(alive, hubs, ["bucket"], n))
     away = rows.where((F.col("label") != F.col("hub_label")) & _may_link(F.col("size"), F.col("hub_size"), similarity))
     one = away.groupBy("node").agg(F.min(F.struct("hub", "hub_label", "label")).alias("e"))
-    return rows.select("bucket", "node", "size", "label"), one.select("e.hub", "e.hub_label", "node", "e.label")
+    return rows, one.select("e.hub", "e.hub_label", "node", "e.label")
 
 
 def _stars(alive: DataFrame, hubs: int, n: int, similarity: int) -> tuple[DataFrame, DataFrame]:
@@ -161,11 +164,11 @@ def _stars(alive: DataFrame, hubs: int, n: int, similarity: int) -> tuple[DataFr
     parts = alive.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "label")).alias("pick"))
     spread = parts.groupBy("bucket", slot).agg(F.min(F.struct("n", "pick")).alias("low"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
     table = spread.groupBy("bucket").agg(F.collect_list("low.pick").alias("hubs"), F.sum("n").alias("_n"), F.sum("labels").alias("labels")).where("labels > 1")  # a hub a slot
-    rows = cut(_spread(alive, table.drop("labels"), ["bucket"], n))
+    rows = stored(_spread(alive, table.drop("labels"), ["bucket"], n))
     each = rows.select("node", "size", "label", F.explode("hubs").alias("h")).where((F.col("label") != F.col("h.label")) & _may_link(F.col("size"), F.col("h.size"), similarity))
     edges = each.select(F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"), "node", "label")
     edges = edges.withColumns({"_u": F.greatest("hub", "node"), "_v": F.least("hub", "node")}).dropDuplicates(["_u", "_v"]).drop("_u", "_v")
-    return rows.where(~F.array_contains(F.transform("hubs", lambda h: h["node"]), F.col("node"))).select("bucket", "node", "size", "label"), edges
+    return rows.where(~F.array_contains(F.transform("hubs", lambda h: h["node"]), F.col("node"))), edges
 
 
 def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame | None:
@@ -173,19 +176,27 @@ def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
     alive, links, failed, step = alive.withColumn("label", F.col("node")), None, None, 0
     while n := alive.count():
         if step < QUICK:
-            alive, edges = _one_edge_each(alive, step, n, similarity)
+            rows, edges = _one_edge_each(alive, step, n, similarity)
         else:
-            alive, edges = _stars(alive, 1 << (step - QUICK), n, similarity)
+            rows, edges = _stars(alive, 1 << (step - QUICK), n, similarity)
             if failed is not None:  # pairs known to be unlike
                 pair = lambda: [F.greatest("hub", "node").alias("_u"), F.least("hub", "node").alias("_v")]
                 edges = edges.select("*", *pair()).join(failed.select(*pair()), ["_u", "_v"], "left_anti").drop("_u", "_v")
         step += 1
-        found = cut(linked(cut(edges), sets, similarity))
-        missed, found = found.where("NOT linked").select("hub", "node"), found.where("linked")
+        edges = stored(edges)
+        if edges.isEmpty():
+            left = stored(rows.select("bucket", "node", "size", "label"))
+            drop(edges, alive, rows)
+            alive = left
+            continue
+        found = stored(linked(edges, sets, similarity))
+        missed, met = found.where("NOT linked").select("hub", "node"), found.where("linked")
         failed = missed if failed is None else failed.unionByName(missed)
-        links = found.select("hub", "node") if links is None else links.unionByName(found.select("hub", "node"))
-        roots = components(found.select(F.col("hub_label").alias("u"), F.col("label").alias("v"))).withColumnRenamed("node", "label")
-        alive = cut(alive.join(roots, "label", "left").select("bucket", "node", "size", F.coalesce("root", "label").alias("label")))
+        links = met.select("hub", "node") if links is None else links.unionByName(met.select("hub", "node"))
+        roots = components(met.select(F.col("hub_label").alias("u"), F.col("label").alias("v"))).withColumnRenamed("node", "label")
+        left = stored(rows.join(roots, "label", "left").select("bucket", "node", "size", F.coalesce("root", "label").alias("label")))
+        drop(edges, alive, rows)
+        alive = left
     return links
 
 
@@ -194,19 +205,19 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     ship(docs.sparkSession)
     row_key = _row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key.alias("row_key"))
-    signed = cut(keyed.mapInArrow(_signed, "doc_id long, row_key binary, key binary, n_shingles long, bands array<long>"))
+    signed = stored(keyed.mapInArrow(_signed, "doc_id long, row_key binary, key binary, n_shingles long, bands array<long>"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     count = F.count(F.lit(1))
     groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first"), F.max("n_shingles").alias("size"), count.alias("_n"), F.any_value("bands").alias("bands"))
-    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
+    groups = stored(groups.withColumn("node", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
     buckets = groups.select("node", "size", F.explode("bands").alias("bucket"))
     print_of = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     held = buckets.groupBy("bucket").agg(count.alias("_n"), F.min("node").alias("low"), F.max("node").alias("high"), *print_of).where("_n > 1")
     held = held.groupBy("_n", "low", "high", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "_n")
-    alive = cut(_spread(buckets, held, ["bucket"], BANDS * groups.count()))
+    alive = stored(_spread(buckets, held, ["bucket"], BANDS * groups.count()))
     wanted = groups.select("node", "first.row_key").join(alive.select("node").distinct(), "node")
     texts = keyed.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text")
-    sets = cut(texts.mapInArrow(_sets, "node long, members array<long>"))
+    sets = stored(texts.mapInArrow(_sets, "node long, members array<long>"))
     links = united(alive, sets, similarity)
     own = groups.select("key", "node", "first", "_n")
     if links is None:

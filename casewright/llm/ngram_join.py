@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewright.llm.common import WORD, cut, ship, whole_text
+from casewright.llm.common import WORD, cut, drop, ship, stored, whole_text
 
 SHINGLE, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 400
 #: A block of a component: so many members and characters at most (one member may be longer).
@@ -137,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round shuffles edges by one end; minima are pre-aggregated, and hubs of very many edges are joined by
     broadcast. Rounds end when every component is a star around its least node.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     count = F.count(F.lit(1)).alias("_n")
     while not _are_stars(edges):
         n = 2 * edges.count()
@@ -146,7 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = _spread(both.where("v > u"), low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), count)
         small = _spread(large, low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        fewer = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        drop(edges)
+        edges = fewer
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
