@@ -9,9 +9,12 @@ The classifier is a logistic regression over features of the block and of its en
 here on the blocks of about SAMPLE pages whose place says what they are (article and main against
 navigation, footers and the like). Pages without such places, or none at all, leave the prior weights.
 
-What an element's tag or names say weighs less with every level down to the block, and says nothing where the
-element holds most of the page's text together with its core (an article, or all of a page without one): a class
-on the body, a wrapper or a form around the whole page are no boilerplate. A header inside an article is part of it.
+The page's core is one element: the article or main with the most text of its own, outside comments and other
+articles where there is such a one; else the element of a content name. Names and tags on the core and around it (a
+class on the body, a wrapper or a form around the page) say nothing. Anywhere else a menu's, advert's, notice's, form's
+or comment's name or tag holds for all that is below it, at any depth, inside the core too; so does an article inside
+an article that has paragraphs of its own, which is how HTML writes reader comments. A header inside an article is part of
+it. Without a core, an element with most of the page's text is no boilerplate, unless it is named for comments and has no h1.
 
 Markup is read with one pass over its tags and never fails: open, unclosed and cut-off tags end where a
 parser would end them. Scripts, styles, form controls, embedded players' fallbacks and the head have no text; formulas,
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from casewright.llm.common import ship
 
 SAMPLE = 1500
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
+#: A comment, a tag (which ends at the next tag at the latest, a quote without its like being a character), a declaration.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>?|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WHITE = re.compile(r"\s+")
 #: Fixed values of HTML: what has no text of its own, what breaks blocks, what takes no end tag.
@@ -44,12 +48,18 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 GOOD_TAGS = {"article", "main"}
 BAD_TAGS = {"nav", "footer", "aside", "header", "form", "menu", "dialog", "fieldset"}
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumb\w*|side-?bar\w*|foot\w*|masthead|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|share\w*|social|related|recommend\w*|comment\w*|reply|replies|disqus|login|signup|widget\w*|pager|pagination|legal|copyright)(?:$|[\s_-])", re.I)
+#: Names of boilerplate: parts of a name that say so anywhere in it, then those that do so only as its beginning or as all of it.
+BAD_NAME = re.compile(
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|sense|block)\w*|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumb\w*|side-?bar\w*|foot|footer\w*|masthead|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|toast|popup|modal|dialog|newsletter\w*|subscribe|subscription|social|recommend\w*|comment\w*|reply|replies|respond|disqus|login|signup|sign-up|widget\w*|pager|pagination|contentinfo|complementary|taboola|outbrain)(?=$|[\s_-])"
+    r"|(?:^|\s)(?:shar(?:e|es|ing)(?:[_-]?(?:this|bar|box|links?|list|icons?|tools?|buttons?|widgets?))?|(?:post|article|entry|page)[_-]share|related(?:[_-]\w+)*|legal|copyright|search|search[_-]?(?:form|bar|box))(?=$|\s)",
+    re.I,
+)
+COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|respond|disqus)(?=$|[\s_-])", re.I)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body-?text|text)(?:$|[\s_-])", re.I)
 #: Weights before training: bias, then one a feature of ``features``.
 PRIOR = np.array([-0.5, 3.0, -5.0, -5.0, 1.0, 1.2, -3.0, 0.8, 0.5, -0.5])
 NEXT, NEAR, SCALE, CLOSE = 0.5, 0.35, 1000, 3
-#: What is left of a name's weight a level further down.
+#: What is left of a good name's weight a level further down.
 DECAY = 0.9
 
 
@@ -58,36 +68,69 @@ class _Elements:
 
     def __init__(self) -> None:
         self.parent, self.tag = [0], [""]
-        self.good, self.bad, self.bad_name, self.good_name = [False], [False], [False], [False]
+        self.bad, self.bad_name, self.good_name, self.comment = [False], [False], [False], [False]
         self.chars = [0]
 
     def add(self, parent: int, tag: str, names: str) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
-        self.good.append(tag in GOOD_TAGS)
         self.bad.append(tag in BAD_TAGS)
         self.bad_name.append(bool(names) and bool(BAD_NAME.search(names)))
         self.good_name.append(bool(names) and bool(GOOD_NAME.search(names)))
+        self.comment.append(bool(names) and bool(COMMENT_NAME.search(names)))
         self.chars.append(0)
         return len(self.tag) - 1
 
+    def _core(self, plain: list[int], told: list[bool]) -> int:
+        """The page's core, 0 if it has none. ``plain``: characters of an element outside articles and boilerplate in it."""
+        n = len(self.tag)
+        comments, bad, inside = [0] * n, [0] * n, [0] * n
+        best = {True: (1, 0, 0.0, 0), False: (1, 0, 0.0, 0)}
+        for i in range(1, n):
+            up = self.parent[i]
+            comments[i] = comments[up] + self.comment[i]
+            bad[i] = bad[up] + (self.bad[i] or self.bad_name[i])
+            inside[i] = inside[up] + (self.tag[up] == "article" and told[up])
+            tagged = self.tag[i] in GOOD_TAGS
+            if plain[i] and (tagged or (self.good_name[i] and not self.bad_name[i] and self.tag[i] not in ("html", "body"))):
+                # fewest comment lists and articles around it, then the most text, then the innermost
+                key = (-comments[i], -inside[i], plain[i] * 0.2 ** min(bad[i], 20), i)
+                best[tagged] = key if best[tagged][0] > 0 else max(best[tagged], key)
+        return next((best[k][3] for k in (True, False) if best[k][0] <= 0), 0)
+
     def flags(self) -> list[tuple[float, float, float, float]]:
         """(in a good tag, in a bad one, bad name, good name) of the blocks of each element, by what encloses them."""
         n = len(self.tag)
-        own_core = [(g or gn) and not bn for g, gn, bn in zip(self.good, self.good_name, self.bad_name, strict=True)]
-        core = own_core[:]
+        plain, headed = self.chars[:], [tag == "h1" for tag in self.tag]
+        told = [tag == "p" and c > 0 for tag, c in zip(self.tag, self.chars, strict=True)]  # has a paragraph of its own
         for i in range(n - 1, 0, -1):  # children come after their parents
             up = self.parent[i]
             self.chars[up] += self.chars[i]
-            core[up] = core[up] or core[i]
+            headed[up] = headed[up] or headed[i]
+            if not (self.bad[i] or self.bad_name[i] or self.tag[i] == "article") or self.tag[i] == "header":
+                plain[up] += plain[i]
+                told[up] = told[up] or told[i]
+        core = self._core(plain, told)
+        around = [tag in ("html", "body") for tag in self.tag]
+        if not core:
+            around = [a or (2 * c > self.chars[0] and (h or not m)) for a, c, h, m in zip(around, self.chars, headed, self.comment, strict=True)]
+        at = core
+        while at:
+            around[at] = True
+            at = self.parent[at]
         out = [(0.0, 0.0, 0.0, 0.0)]
+        inside = [False] * n  # an article with paragraphs of its own
         for i in range(1, n):
-            good, bad, bad_name, good_name = out[self.parent[i]]
-            tag = self.tag[i]
-            around = tag in ("html", "body") or (2 * self.chars[i] > self.chars[0] and (core[i] or not core[0]))
-            own_bad = self.bad[i] and not around and not (tag == "header" and good)
-            good_name = max(DECAY * good_name, float(self.good_name[i] and tag not in ("html", "body")))
-            out.append((max(good, float(self.good[i])), max(bad, float(own_bad)), max(DECAY * bad_name, float(self.bad_name[i] and not around)), good_name))
+            up, tag = self.parent[i], self.tag[i]
+            good, bad, bad_name, good_name = out[up]
+            inside[i] = inside[up] or (tag == "article" and told[i])
+            if not (bad or bad_name):
+                nested = tag == "article" and inside[up] and not around[i]
+                bad = float(nested or (self.bad[i] and not around[i] and not (tag == "header" and good)))
+                bad_name = float(self.bad_name[i] and not around[i])
+                good = max(good, float(tag in GOOD_TAGS))
+                good_name = max(DECAY * good_name, float(self.good_name[i] and tag not in ("html", "body")))
+            out.append((0.0, bad, bad_name, 0.0) if bad or bad_name else (good, 0.0, 0.0, good_name))
         return out
 
 
@@ -140,9 +183,11 @@ def blocks(page: str) -> list[tuple[str, int, tuple[float, float, float, float],
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if opened.get(tag) else 0
-            # an inline end tag doesn't reach out of its block
-            if depth and (tag in BLOCKS or tag in SILENT or not any(x[0] in BLOCKS for x in stack[depth + 1 :])):
+            depth = len(stack) - 1 if opened.get(tag) else 0
+            while depth and stack[depth][0] != tag:
+                # an inline end tag doesn't reach out of its block
+                depth = 0 if stack[depth][0] in BLOCKS and tag not in BLOCKS and tag not in SILENT else depth - 1
+            if depth:
                 close(depth)
             continue
         if tag in ("br", "hr", "wbr"):

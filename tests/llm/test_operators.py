@@ -482,6 +482,49 @@ def test_html_names_and_wrappers(spark):
     assert html_extract.extract(inside, weights) == "Let x be a number of y things.\n\nHidden words are here as well."
 
 
+def _put_inside(page: str, part: str, depth: int) -> str:
+    """The part before the article's end, in so many wrappers of its own."""
+    return page.replace("</article>", "<div>" * depth + part + "</div>" * depth + "</article>")
+
+
+def test_html_named_parts_inside_and_after_the_article(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    weights = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    want = [html_extract.extract(h, weights) for h in pages]
+    words = "A reader says something rather long about it here, and then says some more of it."
+    names = ["ad", "ad-slot", "cookie-notice", "newsletter", "comments", "related", "share-buttons", "social"]
+    parts = [f"<div class='{n}'>{'<div>' * k}<p>{words}</p>{'</div>' * k}</div>" for n in names for k in (0, 1, 3)]
+    parts += [f"<div class='comments'><div class='comment'><div><p>{words}</p></div></div></div>", f"<div role=alert><p>{words}</p></div>", f"<aside><div><p>{words}</p></div></aside>", f"<form><div><p>{words}</p></div></form>"]
+    for k, part in enumerate(parts):
+        some = pages[k % 5 :: 5]
+        for depth in (0, 1, 2, 4):
+            assert [html_extract.extract(_put_inside(h, part, depth), weights) for h in some] == want[k % 5 :: 5], part
+        assert [html_extract.extract(h.replace("</article>", "</article>" + part), weights) for h in some] == want[k % 5 :: 5], part
+        assert [html_extract.extract(h.replace("<article>", part + "<article>"), weights) for h in some] == want[k % 5 :: 5], part
+    replies = "".join(f"<article><header>Reader {i}</header><p>{words}</p><p>{words}</p></article>" for i in range(60))
+    for comments in (f"<section id='comments'>{replies}</section>", f"<section class='comment-list'><h2>Comments</h2><div>{replies}</div></section>"):
+        assert [html_extract.extract(h.replace("</article>", "</article>" + comments), weights) for h in pages] == want
+        assert [html_extract.extract(_put_inside(h, comments, 1), weights) for h in pages] == want
+    assert [html_extract.extract(_put_inside(h, f"<section>{replies}</section>", 0), weights) for h in pages] == want  # articles in an article
+    named = [h.replace("<p>", "<p class='market-share'>") for h in pages]
+    assert [html_extract.extract(h, weights) for h in named] == want
+    assert [html_extract.extract(h.replace("<article>", "<main><div class='has-sidebar comments-open'><article class='post comments-open'>").replace("</article>", "</article></div></main>"), weights) for h in pages] == want
+
+
+def test_html_reads_broken_markup_in_one_pass():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        html_extract.blocks(page)
+        return time.perf_counter() - began
+
+    for piece in ("<a ", "<a href=", "<a '", '<a "', "<!-", "</", "<p", "<b></i>"):
+        small, large = took(piece * 20_000), took(piece * 80_000)
+        assert large < 12 * small + 0.5, piece
+    assert html_extract.extract("<p class=x <b>Some words of text are here.</b></p><p", html_extract.PRIOR) in ("", "Some words of text are here.")
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav>
     <div class="cookie-notice">We use cookies here. Please accept them.</div><article><h1>A title of words</h1><p>First &amp; foremost, some   long text
