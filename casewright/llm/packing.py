@@ -8,7 +8,9 @@ last sequence of a range is not full, and it is cut into sequences of powers of
 
 Token ids travel in one shuffle as 16-bit numbers, tokenized once. Ranges come from the keys of a bounded
 sample of documents (about SAMPLE a range, at most RANGES ranges), so that each range holds about as many tokens, with
-the doc_id's hash in the key's low bits, so that a group of equal documents of any size is dealt over many ranges.
+the hash of doc_id and text in the key's low bits, so that a group of equal texts of any size is dealt over many ranges. The
+sample is drawn a row at a time, whatever the rows hold; rows equal in id and text that fill several ranges are dealt
+over them by their place in the input.
 
 Null text counts as empty and yields the end token alone. Rows that repeat a doc_id, or lack one, are packed one after
 the other, by their text's hash. An empty table gives no pieces. Very long texts are cut into as many pieces as they
@@ -159,11 +161,17 @@ _AXES = [f"v{i}" for i in range(DIMS)]
 
 
 def _bounds(keys: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
-    """Keys that part the sampled documents into ranges of about equal numbers of tokens."""
+    """Keys that part the sampled documents into ranges of about equal numbers of tokens; a key that fills several is repeated."""
     order = np.argsort(keys, kind="stable")
     before = np.cumsum(sizes[order]) - sizes[order]
     at = np.searchsorted(before, np.arange(1, ranges) * (sizes.sum() / ranges))
-    return np.unique(keys[order][np.minimum(at, len(keys) - 1)])
+    return keys[order][np.minimum(at, len(keys) - 1)]
+
+
+def ranges_of(keys: np.ndarray, spare: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each key; a key that is a bound several times is dealt over that many ranges by ``spare``."""
+    low, high = np.searchsorted(bounds, keys, side="left"), np.searchsorted(bounds, keys, side="right")
+    return np.where(high > low, low + 1 + spare % np.maximum(high - low, 1), high)
 
 
 def _vectors(path: str):
@@ -185,7 +193,7 @@ def _keyed(path: str, centre: np.ndarray, scale: np.ndarray, bounds: np.ndarray)
                 ids = tokenize(part.column(0).to_pylist(), path)
                 vectors = np.array([vector(np.frombuffer(x, "<u2")) for x in ids])
                 keys = curve_keys(vectors, part.column(1).to_numpy(), centre, scale)
-                ranges = np.searchsorted(bounds, keys, side="right")
+                ranges = ranges_of(keys, part.column(4).to_numpy(), bounds)
                 cols = [part.column(2), part.column(3), pa.array(keys), pa.array(ranges), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "key", "range", "n", "ids"])
 
@@ -237,12 +245,15 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit little-endian)."""
     ship(docs.sparkSession)
-    rows = docs.select(whole_text().alias("text"), F.xxhash64("doc_id").alias("tie"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    # ``spare`` tells rows apart that are equal in all else
+    spare = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 2)
+    rows = docs.select(whole_text().alias("text"), F.xxhash64("doc_id", "text").alias("tie"), "doc_id", F.xxhash64("text").alias("text_hash"), spare.alias("spare"))
     n = docs.count()
     ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
-    share = min(1.0, max(2000, ranges * SAMPLE) / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("tie", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    got = chosen.select("text", "tie").mapInArrow(_vectors(path), ", ".join(f"{c} double" for c in _AXES) + ", tie long, n long").toArrow()  # bounded by the share
+    wanted = max(2000, ranges * SAMPLE)
+    share = min(1.0, wanted / max(n, 1))
+    chosen = rows.where(F.pmod(F.xxhash64("tie", "spare"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).limit(2 * wanted)
+    got = chosen.select("text", "tie").mapInArrow(_vectors(path), ", ".join(f"{c} double" for c in _AXES) + ", tie long, n long").toArrow()  # bounded by the limit
     centre, scale, bounds = np.zeros(DIMS), np.ones(DIMS), np.empty(0, np.int64)
     if got.num_rows:
         v = np.stack([got[c].to_numpy() for c in _AXES], axis=1)

@@ -600,6 +600,21 @@ def test_packing_follows_the_curve(docs):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_packing_of_one_hot_row(spark, monkeypatch, doc_id):
+    """A row repeated thousands of times, or without an id, is sampled like others and dealt over many ranges."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", 100)
+    sampled = []
+    plain = packing._bounds
+    monkeypatch.setattr(packing, "_bounds", lambda keys, sizes, ranges: sampled.append(len(keys)) or plain(keys, sizes, ranges))
+    rows = spark.range(6000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("the same five words here").alias("text"))
+    got = packing.digest(rows, WORDS).groupBy((F.shiftright("sequence_id", 40)).alias("range")).agg(F.sum("length").alias("n")).collect()
+    assert 1000 < sampled[0] < 3000
+    total, most = sum(r.n for r in got), max(r.n for r in got)
+    assert len(got) >= 50 and most < 4 * total / len(got)
+    assert total == 6000 * len(packing.tokenize(["the same five words here"], WORDS)[0]) // 2
+
+
 def test_hilbert_is_a_curve():
     grid = np.array([(x, y) for x in range(8) for y in range(8)])
     order = grid[np.argsort(packing.hilbert(grid, 3))]
