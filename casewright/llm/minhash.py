@@ -10,7 +10,7 @@
 3. QUICK rounds come first, in which every group proposes one edge, to a hub of the largest component in one of its
    buckets: near copies of any number are united by about one edge each. Then the hubs are of the smallest components,
    and every member proposes its edge; hubs leave their bucket when all their edges are compared, and the next round
-   has twice as many a bucket. Rounds end when every bucket is in one component. So every pair of one bucket is
+   has GROWTH times as many a bucket. Rounds end when every bucket is in one component. So every pair of one bucket is
    compared on its full sets, or too unlike in size, or already in one component; no bucket, star or number of
    partners has a cap.
 
@@ -40,8 +40,8 @@ BANDS, ROWS = 56, 8
 RECALL = 1 - (1 - (SIMILARITY / 100) ** ROWS) ** BANDS
 #: Edges of a hub that one task compares.
 STAR = 512
-#: Rounds in which each group proposes one edge only.
-QUICK = 3
+#: Rounds in which each group proposes one edge only; how many times more hubs a bucket has in each later round.
+QUICK, GROWTH = 2, 8
 #: Bins of a sequence that are looked at before the whole.
 FIRST = 12
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -131,8 +131,8 @@ def _may_link(a: Column, b: Column, similarity: int) -> Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def linked(edges: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The edges (hub, node, ...) whose full sets are at the similarity have ``linked`` true, others false.
+def linked(edges: DataFrame, sets: DataFrame, n: int, similarity: int = SIMILARITY) -> DataFrame:
+    """The ``n`` edges (hub, node, ...), of which those whose full sets are at the similarity have ``linked`` true.
 
     A hub's edges are dealt to tasks of about STAR; its set is sent once to each of them.
     """
@@ -140,7 +140,7 @@ def linked(edges: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
     degrees = edges.groupBy("hub").agg(F.ceil(count / F.lit(STAR)).cast("int").alias("parts"), count.alias("_n"))
     centres = degrees.join(sets.select(F.col("node").alias("hub"), F.col("members").alias("centre")), "hub")
     centres = centres.select("hub", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "centre")
-    tagged = _spread(edges, degrees, ["hub"], edges.count())
+    tagged = _spread(edges, degrees, ["hub"], n)
     pairs = tagged.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").join(sets, "node")
     both, sizes = F.size(F.array_intersect("members", "centre")), F.size("members") + F.size("centre")
     return pairs.join(centres.drop("parts"), ["hub", "part"]).select(*edges.columns, (100 * both >= similarity * (sizes - both)).alias("linked"))
@@ -178,18 +178,18 @@ def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
         if step < QUICK:
             rows, edges = _one_edge_each(alive, step, n, similarity)
         else:
-            rows, edges = _stars(alive, 1 << (step - QUICK), n, similarity)
+            rows, edges = _stars(alive, GROWTH ** (step - QUICK + 1), n, similarity)
             if failed is not None:  # pairs known to be unlike
                 pair = lambda: [F.greatest("hub", "node").alias("_u"), F.least("hub", "node").alias("_v")]
                 edges = edges.select("*", *pair()).join(failed.select(*pair()), ["_u", "_v"], "left_anti").drop("_u", "_v")
         step += 1
         edges = stored(edges)
-        if edges.isEmpty():
+        if not (size := edges.count()):
             left = stored(rows.select("bucket", "node", "size", "label"))
             drop(edges, alive, rows)
             alive = left
             continue
-        found = stored(linked(edges, sets, similarity))
+        found = stored(linked(edges, sets, size, similarity))
         missed, met = found.where("NOT linked").select("hub", "node"), found.where("linked")
         failed = missed if failed is None else failed.unionByName(missed)
         links = met.select("hub", "node") if links is None else links.unionByName(met.select("hub", "node"))
