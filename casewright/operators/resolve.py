@@ -3,12 +3,19 @@
 Similarity is the mean of three ratios over insertions and deletions: the best window of the longer string,
 the token sets, and a weighted choice of both. Its bit-parallel longest common subsequence is a small helper;
 mentions are extracted and ranked by built-in expressions, and scored in Arrow batches.
+
+The result is that of all pairs: blocks of mentions are joined with blocks of names, and a bound on the similarity,
+from the counts of letters both have and from the tokens they may share, says which pairs need no scoring.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +24,10 @@ from pyspark.sql.window import Window
 from casewright.functions.session import ship
 from casewright.functions.text import fuzzy_name, mentions
 
-#: Canonical names of a corpus that are sent to every task, at most (some 10 MB).
-MOST_NAMES = 100_000
+#: Names a block, mentions a block, counters of letters (letters that share one only raise the bound).
+NAMES, MENTIONS, LETTERS = 4096, 2048, 40
+#: Tokens between the parties of a case.
+SEPARATORS = ("v.", "v")
 
 
 def lcs(a: str, b: str) -> int:
@@ -89,42 +98,106 @@ def similarity(a: str, b: str) -> float:
     return (partial_ratio(a, b) + token_set_ratio(a, b) + weighted_ratio(a, b)) / 3.0
 
 
-def _trigrams(text: str) -> set[str]:
-    """Runs of three characters of each word, words padded; the separator's are left out."""
-    return {w[i : i + 3] for t in text.lower().split() if t not in ("v.", "v") for w in (f" {t} ",) for i in range(len(w) - 2)}
-
-
-def _best(names: list[tuple[str, str]]):
-    known: dict[str, tuple[str | None, str | None, float]] = {}
-    index: dict[str, list[int]] = {}
-
-    def best(text: str) -> tuple[str | None, str | None, float]:
-        if text not in known:
-            if len(known) > 200_000:
-                known.clear()
-            if not index:
-                for i, (_, normal) in enumerate(names):
-                    for g in _trigrams(normal):
-                        index.setdefault(g, []).append(i)
-            top: tuple[str | None, str | None, float] = (None, None, 0.0)
-            # strings alike by the threshold share a run of three characters of a word
-            for i in sorted({i for g in _trigrams(text) for i in index.get(g, ())}):
-                name, normal = names[i]
-                s = similarity(text, normal)
-                if s > top[2]:
-                    top = (name, normal, s)
-            known[text] = top
-        return known[text]
+class _Forms:
+    """What the bound on the similarity needs of many strings, as arrays: lengths, letter counts and tokens as bits."""
+
+    def __init__(self, texts: list[str]) -> None:
+        tokens = [t.split() for t in texts]
+        size = lambda words: sum(map(len, words)) + max(0, len(words) - 1)
+        self.plain = np.array([len(t) for t in texts], np.float64)
+        self.sorted = np.array([size(t) for t in tokens], np.float64)
+        self.distinct = np.array([size(set(t)) for t in tokens], np.float64)
+        self.counts = np.zeros((len(texts), LETTERS), np.uint16)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS
+        np.add.at(self.counts, (np.repeat(np.arange(len(texts)), self.plain.astype(np.int64)), points), 1)
+        bit = lambda word: 1 << (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 63)
+        whole = [(reduce(or_, map(bit, t), 0), reduce(or_, (bit(w) for w in t if w not in SEPARATORS), 0)) for t in tokens]
+        self.all, self.own = (np.array([w[k] for w in whole], np.uint64) for k in (0, 1))
+
+
+def bound(a: _Forms, i: int, b: _Forms) -> np.ndarray:
+    """At least ``similarity`` of the string ``i`` of ``a`` with each of ``b``.
+
+    A common subsequence has at most the characters that both have, in any order of the tokens. Tokens are looked
+    up as bits, which two may share: that only raises the bound. Without a shared token beyond the separator, what
+    both share is the separator at most.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        common = np.minimum(a.counts[i], b.counts).sum(axis=1, dtype=np.float64)
+        share = lambda x, y: np.where(x + y > 0, np.minimum(100.0, 200.0 * common / (x + y)), 100.0)
+        short, long = np.minimum(a.plain[i], b.plain), np.maximum(a.plain[i], b.plain)
+        plain, order = share(a.plain[i], b.plain), share(a.sorted[i], b.sorted)
+        # a window may be as short as what it shares
+        window = lambda n: np.where(n > 0, np.minimum(100.0, 200.0 * common / (n + np.minimum(common, n))), 100.0)
+        part = window(short)
+        joined = ((a.own[i] & b.own) > 0) | ((a.all[i] & ~b.all) == 0) | ((b.all & ~a.all[i]) == 0)
+        separator = 400.0 / (2.0 + np.minimum(a.distinct[i], b.distinct))
+        tokens = np.where(joined, 100.0, np.maximum(share(a.distinct[i], b.distinct), separator))
+        scale = np.where(long <= 8 * short, 0.9, 0.6)
+        touching = np.where((a.all[i] & b.all) > 0, 100.0, window(np.minimum(a.sorted[i], b.sorted)))
+        unlike = np.maximum(plain, np.maximum(scale * part, 0.95 * scale * touching))
+        weighted = np.where(long < 1.5 * short, np.maximum(plain, 0.95 * np.maximum(order, tokens)), unlike)
+        return (part + tokens + weighted) / 3.0 + 1e-6
+
+
+def _best(threshold: float):
+    """For each mention of a block the name of the greatest similarity in a block of names, the first of equal ones, if at the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best(x) for x in batch.column(0).to_pylist()]
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "canonical", "canonical_norm", "score"])
+            for k in range(batch.num_rows):
+                mentioned, named = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                named.sort(key=lambda x: (x["name"], x["norm"]))
+                norms = [x["norm"] for x in named]
+                said, known = _Forms(mentioned), _Forms(norms)
+                out: list[list] = [[], [], [], []]
+                for i, text in enumerate(mentioned):
+                    most = bound(said, i, known)
+                    top, at = threshold, -1
+                    maybe = np.flatnonzero(most >= threshold)
+                    for j in maybe[np.argsort(-most[maybe], kind="stable")].tolist():
+                        if most[j] < top:
+                            break
+                        s = similarity(text, norms[j])
+                        if s > top or (s == top and (at < 0 or j < at)):
+                            top, at = s, j
+                    if at >= 0:
+                        for c, v in zip(out, (text, named[at]["name"], norms[at], top), strict=True):
+                            c.append(v)
+                cols = [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["norm", "canonical", "canonical_norm", "score"])
 
     return run
 
 
+def name_blocks(names: DataFrame) -> DataFrame:
+    """block, named: the distinct names (name, norm) in blocks of about NAMES, of one name a norm the first.
+
+    The table of a corpus can be written once and given to every ``resolve`` instead of the names.
+    """
+    first = names.where("name IS NOT NULL").select("name", fuzzy_name(F.col("name")).alias("norm")).groupBy("norm").agg(F.min("name").alias("name"))
+    blocks = max(1, -(-first.count() // NAMES))
+    return first.groupBy(F.pmod(F.xxhash64("norm"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("name", "norm")).alias("named"))
+
+
+def scored(norms: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """norm, canonical, canonical_norm, score: the best name of each distinct norm that has one at the threshold.
+
+    Blocks of mentions meet all blocks of names by a join on the block's number; in a task all pairs of two blocks are
+    bounded at once, and only what can still be the best is scored.
+    """
+    ship(norms.sparkSession)
+    count = blocks.agg(F.max("block")).first()[0]
+    count = 0 if count is None else count + 1
+    groups = max(1, -(-norms.count() // MENTIONS))
+    asked = norms.groupBy(F.pmod(F.xxhash64("norm"), F.lit(groups)).alias("group")).agg(F.collect_list("norm").alias("norms"))
+    each = asked.select("norms", F.explode(F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")).alias("block"))
+    pairs = each.join(blocks, "block").select("norms", "named")
+    found = pairs.mapInArrow(_best(threshold), "norm string, canonical string, canonical_norm string, score double")
+    best = found.groupBy("norm").agg(F.min(F.struct((-F.col("score")).alias("down"), "canonical", "canonical_norm")).alias("b"))
+    return best.select("norm", "b.canonical", "b.canonical_norm", (-F.col("b.down")).alias("score"))
+
+
 def candidates(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, position, raw, norm) of every mention."""
     rows = texts.select(F.col(key).alias("key"), F.posexplode(mentions(F.col(text))).alias("position", "raw"))
@@ -134,22 +207,18 @@ def candidates(texts: DataFrame, key: str = "id", text: str = "text") -> DataFra
 def resolve(texts: DataFrame, names: DataFrame, threshold: float = 82.0, key: str = "id", text: str = "text") -> DataFrame:
     """(key, position, raw, canonical, score, method) of every mention; unresolved ones have a null canonical.
 
-    One mention stays per key and canonical name: exact before normalized before fuzzy, then the higher
-    score, then the earlier. Mentions equal to a name after normalising are found by a join; each other distinct mention
-    is scored once, whatever the number of texts that have it, against the names that share a run of three characters.
+    ``names`` has a column name, or is a table of ``name_blocks``. One mention stays per key and canonical name: exact
+    before normalized before fuzzy, then the higher score, then the earlier. Mentions equal to a name after normalising
+    are found by a join; each other distinct mention is scored once, whatever the number of texts that have it.
     """
-    ship(texts.sparkSession)
-    named = names.where("name IS NOT NULL").select("name", fuzzy_name(F.col("name")).alias("norm")).distinct()
-    listed = named.orderBy("name").limit(MOST_NAMES + 1).collect()
-    if len(listed) > MOST_NAMES:
-        raise ValueError(f"over {MOST_NAMES} canonical names: resolve by corpus")
+    blocks = names if "named" in names.columns else name_blocks(names)
     found = candidates(texts, key, text)
-    first = named.groupBy("norm").agg(F.min("name").alias("canonical"))
+    first = blocks.select(F.explode("named").alias("n")).select("n.norm", F.col("n.name").alias("canonical"))
     mentioned = found.select("norm").distinct()
     equal = mentioned.join(first, "norm").select("norm", "canonical", F.col("norm").alias("canonical_norm"), F.lit(100.0).alias("score"))
     others = mentioned.join(first, "norm", "left_anti")
-    scored = equal.unionByName(others.mapInArrow(_best([(r["name"], r["norm"]) for r in listed]), "norm string, canonical string, canonical_norm string, score double"))
-    df = found.join(scored, "norm").withColumn("hit", F.col("canonical").isNotNull() & (F.col("score") >= threshold))
+    got = equal.unionByName(scored(others, blocks, threshold))
+    df = found.join(got, "norm", "left").withColumn("hit", F.col("canonical").isNotNull())
     rank = F.when(F.col("raw") == F.col("canonical"), 3).when(F.col("norm") == F.col("canonical_norm"), 2).otherwise(1)
     df = df.withColumn("rank", F.when(F.col("hit"), rank))
     order = Window.partitionBy("key", "hit", F.when(F.col("hit"), F.col("canonical")).otherwise(F.col("raw"))).orderBy(F.desc("rank"), F.desc("score"), "position")

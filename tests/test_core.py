@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def one(spark, column):
 
 
 def test_mentions_are_resolved_as_by_brute_force(spark):
-    """Every distinct mention against every name, without the index of character runs."""
+    """Every distinct mention against every name."""
     names = ["Hadley v. Baxendale", "Marbury v. Madison", "Palsgraf v. Long Island Railroad", "International Shoe v. Washington", "Pennoyer v. Neff", "Erie Railroad v. Tompkins", "Shelley v. Kraemer", "Lochner v. New York"]
     texts = [
         "As in Hadley v. Baxendale and Hadly vs. Baxendale.", "See Marbury versus Madison; Marbury v. Maddison too.", "The Palsgraf v. Long Island Rail Road case", "Compare Intl Shoe v. Washington with Penoyer v Neff",
@@ -42,6 +43,48 @@ def test_mentions_are_resolved_as_by_brute_force(spark):
     assert len(want) > 6
 
 
+def test_resolver_is_all_pairs_on_random_names(spark, monkeypatch):
+    """Short names, near misses, shared tokens, repeated tokens, no separator, odd characters: the best of all pairs, in many blocks."""
+    rng = random.Random(5)
+    letters = "abcdeilnorstuvwé"
+    word = lambda k: "".join(rng.choice(letters) for _ in range(k)).capitalize()
+    names = ["Io v. La", "Ng v. Wu", "Cole v. Dray", "V. v. V.", "v.", "United States v. New York", "In re A", "A v. A", "A"]
+    names += [f"{word(rng.randint(2, 4))} v. {word(rng.randint(2, 4))}" for _ in range(40)] + [f"{word(rng.randint(2, 12))} {word(rng.randint(2, 12))} v. {word(rng.randint(2, 16))}" for _ in range(40)]
+    said = ["Nig v. Wsu", "Ciolie v. Dsrany", "Ino v. Lma", "United States", "New York v. United States", "A A v. A", "X", ""]
+    for name in names * 4:
+        chars = list(name)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(chars) + 1)
+            chars[at : at + rng.randint(0, 1)] = rng.choice(letters)
+        said.append("".join(chars))
+    said += [f"{word(rng.randint(1, 9))} v. {word(rng.randint(1, 9))}" for _ in range(100)]
+    monkeypatch.setattr(resolve, "NAMES", 16)
+    monkeypatch.setattr(resolve, "MENTIONS", 50)
+    known = spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "name string")
+    norms = {}
+    for r in known.where("name IS NOT NULL").select("name", X.fuzzy_name(F.col("name")).alias("norm")).distinct().orderBy("name").collect():
+        norms.setdefault(r.norm, r.name)
+    asked = [r.norm for r in spark.createDataFrame([(t,) for t in said], "t string").select(X.fuzzy_name(F.col("t")).alias("norm")).distinct().collect()]
+    want = {}
+    for a in asked:
+        best = max(resolve.similarity(a, n) for n in norms)
+        if best >= 82:
+            want[a] = (min(norms[n] for n in norms if resolve.similarity(a, n) == best), round(best, 6))
+    blocks = resolve.name_blocks(known)
+    assert blocks.count() > 3
+    got = resolve.scored(spark.createDataFrame([(a,) for a in asked], "norm string"), blocks, 82.0).collect()
+    assert {r.norm: (r.canonical, round(r.score, 6)) for r in got} == want
+    assert len(want) > 100 and {"nig v. wsu", "ino v. lma"} <= {a.lower() for a in want}
+    one, many = resolve._Forms(asked), resolve._Forms(list(norms))
+    for i in range(0, len(asked), 7):
+        most = resolve.bound(one, i, many)
+        assert all(resolve.similarity(asked[i], n) <= m for n, m in zip(norms, most, strict=True))
+    assert resolve.scored(spark.createDataFrame([("a v. b",)], "norm string"), resolve.name_blocks(known.limit(0)), 82.0).count() == 0
+    texts = spark.createDataFrame([(1, "As in Nig v. Wsu today.")], "id int, text string")
+    found = resolve.resolve(texts, resolve.name_blocks(known.where("name like '% v. %'"))).collect()
+    assert [(r.raw, r.canonical, r.method) for r in found] == [("Nig v. Wsu", "Ng v. Wu", "fuzzy")]
+
+
 def test_longest_common_subsequence_is_plain():
     def plain(a, b):
         row = [0] * (len(b) + 1)
