@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from casewright.functions.session import ship
 from casewright.functions.text import equal_name
+from casewright.sources import store
 
 READING = ["source_page", "order_index"]
 PLAIN_TRAIL = ["numbered_note", "narrative_text", "footnote"]
@@ -29,13 +30,13 @@ class PageRange:
 
 
 def page_range(rows: DataFrame, q: PageRange) -> DataFrame:
-    """Pages or blocks of a book between two pages, inclusive; the filter reaches the scan."""
-    return rows.where((F.col("book_id") == q.book_id) & F.col("source_page").between(q.start, q.end))
+    """Pages or blocks of a book between two pages, inclusive; the filter reaches the scan, of a stored table the book's folder."""
+    return rows.where(store.of_book(rows, q.book_id) & F.col("source_page").between(q.start, q.end))
 
 
 def range_notes(pages: DataFrame, q: PageRange) -> DataFrame:
     """Notes: nothing found, start clamped, end clamped."""
-    ends = pages.where(F.col("book_id") == q.book_id).agg(F.min("source_page").alias("lo"), F.max("source_page").alias("hi"))
+    ends = pages.where(store.of_book(pages, q.book_id)).agg(F.min("source_page").alias("lo"), F.max("source_page").alias("hi"))
     none = F.col("lo").isNull() | (F.col("hi") < q.start) | (F.col("lo") > q.end)
     notes = F.array_compact(F.array(
         F.when(none, "no pages in this range"), F.when(~none & (F.col("lo") > q.start), F.concat(F.lit("start clamped to "), F.col("lo").cast("string"))),
@@ -60,7 +61,7 @@ def case_trails(blocks: DataFrame) -> DataFrame:
 
 def case_reference(blocks: DataFrame, book_id, name: str) -> DataFrame:
     """The blocks of the first opinion of a book whose name is equal after normalising."""
-    df = case_trails(blocks.where(F.col("book_id") == book_id))
+    df = case_trails(blocks.where(store.of_book(blocks, book_id)))
     mine = df.where((F.col("type") == "case_opinion") & (equal_name(F.col("case_name")) == equal_name(F.lit(name))))
     first = mine.agg(F.min_by("id", F.struct(*READING, "id")).alias("opinion_id"))
     return df.join(F.broadcast(first), "opinion_id", "left_semi")

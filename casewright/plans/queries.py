@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
+from casewright.functions.session import scratch
 from casewright.operators import ledger, patterns, resolve, retrieve, segment, study, verify
+from casewright.sources import store
 from casewright.sources.views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,30 @@ def _(spark, d):
     return retrieve.page_range(view(spark, d, "block"), retrieve.PageRange(7, 2, 4)).select("id", "book_id", "source_page", "type")
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_blocks(spark, d) -> DataFrame:
+    """The blocks as a stored table, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = scratch(spark, "blocks")
+        store.write(view(spark, d, "block"), path, buckets=16)
+        _STORED[key] = store.read(spark, path)
+    return _STORED[key]
+
+
+@query("stored_page_range", with_views("block") + "SELECT id, book_id, source_page, type FROM block WHERE book_id = 7 AND source_page BETWEEN 2 AND 4")
+def _(spark, d):
+    return retrieve.page_range(stored_blocks(spark, d), retrieve.PageRange(7, 2, 4)).select("id", "book_id", "source_page", "type")
+
+
+@query("stored_spans", with_views("block") + "SELECT o_orderkey AS request, id, source_page, order_index FROM orders JOIN block ON book_id = o_orderkey AND source_page BETWEEN 1 + o_orderkey % 3 AND 3 + o_orderkey % 2")
+def _(spark, d):
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_orderkey").alias("book_id"), (1 + F.col("o_orderkey") % 3).alias("start"), (3 + F.col("o_orderkey") % 2).alias("end"))
+    return store.spans(asked, stored_blocks(spark, d)).select("request", "id", "source_page", "order_index")
+
+
 @query(
     "case_trails",
     with_views("block") + """, n AS (SELECT *, sum(CASE WHEN type IN ('case_header', 'case_opinion') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY source_page, order_index, id) AS c FROM block)

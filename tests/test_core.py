@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from casewright.functions import text as X
 from casewright.operators import desk, ingest, ledger, patterns, replies, resolve, retrieve, segment, study, verify
+from casewright.sources import store
 
 
 def one(spark, column):
@@ -98,6 +99,39 @@ def test_longest_common_subsequence_is_plain():
         assert resolve.lcs(a, b) == plain(a, b)
 
 
+# -- the stored table -----------------------------------------------------------------------------------
+
+
+def scanned(df) -> tuple[int, int]:
+    """(files, rows) that the plan of ``df`` reads, by the scan's own metrics."""
+    df._jdf.queryExecution().executedPlan().executeCollectPublic()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numFiles").value(), leaf.metrics().apply("numOutputRows").value()
+
+
+def test_stored_blocks_are_read_by_folder_and_statistics(spark, tmp_path):
+    one = F.col("id")
+    rows = spark.range(200_000).select("id", (one % 97).alias("book_id"), (one / 97 % 1000).cast("int").alias("source_page"), (one % 3).cast("int").alias("order_index"), F.lit("case_opinion").alias("type"), F.repeat(F.lit("text "), 20).alias("markdown"))
+    rows = rows.unionByName(rows.limit(5).withColumn("book_id", F.lit(None).cast("long")))
+    path = str(tmp_path / "blocks")
+    store.write(rows, path, buckets=8)
+    held = store.read(spark, path)
+    assert store.buckets(held) == 8 and store.buckets(rows) is None and held.count() == rows.count()
+    found = retrieve.page_range(held, retrieve.PageRange(7, 20, 30))
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in retrieve.page_range(rows, retrieve.PageRange(7, 20, 30)).collect())
+    files, read = scanned(retrieve.page_range(held, retrieve.PageRange(7, 20, 30)))
+    assert files <= 2 and read <= 3 * store.PAGE_ROWS
+    assert scanned(rows_of_all := held.where("markdown <> ''"))[0] >= 8 and rows_of_all.count() == rows.count()
+    asked = spark.createDataFrame([(1, 7, 20, 30), (2, 9, 0, 2), (3, 500, 0, 9), (4, 7, 5, 1), (5, None, 0, 9)], "request int, book_id long, start int, end int")
+    got = store.spans(asked, held).groupBy("request").count().collect()
+    want = {1: rows.where("book_id = 7 AND source_page BETWEEN 20 AND 30").count(), 2: rows.where("book_id = 9 AND source_page BETWEEN 0 AND 2").count()}
+    assert {r["request"]: r["count"] for r in got} == want
+    assert store.spans(asked, rows).count() == sum(want.values())
+    store.write(rows.limit(0), str(tmp_path / "none"))
+    with pytest.raises(Exception, match="exist"):
+        store.write(rows, path)
+
+
 # -- books ----------------------------------------------------------------------------------------------
 
 
