@@ -6,7 +6,7 @@
    form one group, which is compared once.
 2. Groups are shuffled on the hashes of their bands; of buckets with the same members one is kept. A bucket proposes
    stars only: edges from a hub to those of its members that aren't in the hub's component yet and may be alike by
-   size. The sets at both ends of an edge are joined and intersected; edges at the similarity unite components.
+   size. The sets at both ends of an edge are joined and intersected; edges at the similarity unite what their ends belong to.
 3. QUICK rounds come first, in which every group proposes one edge, to a hub of the largest component in one of its
    buckets: near copies of any number are united by about one edge each. Then the hubs are of the smallest components,
    and every member proposes its edge; hubs leave their bucket when all their edges are compared, and the next round
@@ -171,8 +171,19 @@ def _stars(alive: DataFrame, hubs: int, n: int, similarity: int) -> tuple[DataFr
     return rows.where(~F.array_contains(F.transform("hubs", lambda h: h["node"]), F.col("node"))), edges
 
 
+def _relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows with each label replaced by the least that is linked to it, and that one's by its own least.
+
+    Labels may stay finer than components for a round or two, which costs comparisons but loses none.
+    """
+    both = met.select(F.col("label").alias("a"), F.col("hub_label").alias("b"))
+    least = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    further = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("label"), F.coalesce("c", "b").alias("_to"))
+    return rows.join(further, "label", "left").withColumn("label", F.coalesce("_to", "label"))
+
+
 def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame | None:
-    """All links (node, hub) that were needed to unite the components of ``alive``: bucket, node, size."""
+    """Links (node, hub) that connect what the buckets' links connect. ``alive``: bucket, node, size."""
     alive, links, failed, step = alive.withColumn("label", F.col("node")), None, None, 0
     while n := alive.count():
         if step < QUICK:
@@ -193,8 +204,7 @@ def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
         missed, met = found.where("NOT linked").select("hub", "node"), found.where("linked")
         failed = missed if failed is None else failed.unionByName(missed)
         links = met.select("hub", "node") if links is None else links.unionByName(met.select("hub", "node"))
-        roots = components(met.select(F.col("hub_label").alias("u"), F.col("label").alias("v"))).withColumnRenamed("node", "label")
-        left = stored(rows.join(roots, "label", "left").select("bucket", "node", "size", F.coalesce("root", "label").alias("label")))
+        left = stored(_relabelled(rows, met).select("bucket", "node", "size", "label"))
         drop(edges, alive, rows)
         alive = left
     return links
