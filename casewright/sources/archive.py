@@ -1,9 +1,7 @@
-"""Corpus export and restore, content hashes, the conversion cache, and prompt templates."""
+"""Corpus export and restore, content hashes, and the conversion cache."""
 
 from __future__ import annotations
 
-import os
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,21 +72,6 @@ def restore(spark: SparkSession, path: str, schemas: dict[str, str], salt: str)
     return out
 
 
-def front_matter(text: str) -> tuple[dict[str, str], str]:
-    """A template's header (key: value lines between two --- lines) and body; a byte-order mark is passed over."""
-    m = re.match(r"﻿?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(.*)\Z", text, re.S)
-    if not m:
-        raise ValueError("no front matter")
-    head = {k.strip(): v.strip().strip("\"'") for k, _, v in (x.partition(":") for x in m[1].splitlines()) if k.strip()}
-    if lacking := [k for k in ("name", "version", "output_schema") if not head.get(k)]:
-        raise ValueError(f"template lacks {', '.join(lacking)}")
-    return head, m[2]
-
-
-def templates(folder: str) -> list[str]:
-    return sorted(f[:-3] for f in os.listdir(folder) if f.endswith(".md"))
-
-
 def export_name(corpus: Column, at: Column) -> Column:
     """A file name of letters, digits and dashes, 40 characters at most, with the time."""
     slug = F.left(F.regexp_replace(F.regexp_replace(corpus, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""), F.lit(40))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from casewright.functions import text as X
 from casewright.operators import desk, ingest, ledger, patterns, replies, resolve, retrieve, segment, study, verify
-from casewright.sources import store
+from casewright.sources import store, templates
 
 
 def one(spark, column):
@@ -99,6 +99,40 @@ def test_longest_common_subsequence_is_plain():
         assert resolve.lcs(a, b) == plain(a, b)
 
 
+# -- templates ------------------------------------------------------------------------------------------
+
+
+def test_templates_are_read_split_and_compiled(spark, tmp_path):
+    head = "---\nname: one\nversion: 1\ndescription: >\n  two\n  lines: of it\ninputs:\n  a: \"str\"\noutput_schema: 's.json'\nmodel_defaults:\n  model: m-1\nlist:\n  - x\n---\n"
+    got, body = templates.split("\ufeff" + head + "\nBody\n---\nmore\n")
+    assert got == {"name": "one", "version": "1", "description": "two lines: of it", "inputs": {"a": "str"}, "output_schema": "s.json", "model_defaults": {"model": "m-1"}, "list": ["x"]} and body == "Body\n---\nmore\n"
+    for bad in ("no header", "---\nname: x\n", "--- x\nname: x\n---\n", "---\nname: x\nversion: 1\n---\nbody"):
+        with pytest.raises(templates.TemplateError, match="frontmatter"):
+            templates.split(bad)
+    (tmp_path / "b.prompt.md").write_text(head + "B {{x}}")
+    (tmp_path / "a.prompt.md").write_text(head + "A")
+    (tmp_path / "c.md").write_text("no template")
+    assert {n: b for n, (_, b) in templates.load(spark, str(tmp_path)).items()} == {"a": "A", "b": "B {{x}}"}
+    assert list(templates.load(spark, str(tmp_path))) == ["a", "b"]
+    for bad, word in (("{{#each x}}a", "unclosed each"), ("a{{/if}}", "stray close of if"), ("{{#if x}}{{#each y}}{{/if}}{{/each}}", "unclosed each"), ("{{else}}", "stray else"), ("{{#if x}}{{else}}{{else}}{{/if}}", "stray else"), ("{{a b c}}", "not understood"), ("{{}}", "not understood")):
+        with pytest.raises(templates.TemplateError, match=word):
+            templates.parse(bad)
+    rows = spark.createDataFrame(
+        [(1, "a<b", 0, True, ["x", None, "y"], {"k": 1}, {"n": {"t": "deep"}, "l": []}, [[1, 2], []]), (2, None, None, None, None, None, None, None), (3, "", 5, False, [], {}, {"n": None, "l": [3]}, [])],
+        "id int, s string, i int, b boolean, a array<string>, m map<string,int>, o struct<n:struct<t:string>,l:array<int>>, aa array<array<int>>",
+    )
+    show = lambda body: [r.x for r in rows.orderBy("id").select(templates.rendered(body, rows).alias("x")).collect()]
+    assert show("{{s}}|{{{s}}}|{{&s}}|{{i}}|{{b}}") == ["a&lt;b|a<b|a<b|0|true", "||||", "|||5|false"]
+    assert show("{{#if s}}s{{/if}}{{#if i}}i{{/if}}{{#if b}}b{{/if}}{{#if a}}a{{/if}}{{#if m}}m{{/if}}{{#if o}}o{{/if}}{{#if none}}none{{/if}}") == ["sbamo", "", "io"]
+    assert show("{{#each a}}{{@index}}{{this}}{{#if @last}}.{{else}},{{/if}}{{else}}none{{/each}}") == ["0x,1,2y.", "none", "none"]
+    assert show("{{#each aa}}({{#each this}}{{this}}{{../../id}}{{/each}}){{/each}}") == ["(1121)()", "", ""]
+    assert show("{{o.n.t}}{{o/n/t}}{{o.n.t.u}}{{a.0}}{{a.length}}{{m.k}}{{m.z}}") == ["deepdeepx31", "", "0"]
+    assert show("{{#each m}}{{@key}}={{this}}{{/each}}{{#each o}}{{@key}}{{/each}}{{#with o.n}}{{t}}{{../id}}{{else}}no{{/with}}") == ["k=1nldeep1", "no", "nlno"]
+    assert show("{{#a}}{{this}}{{/a}}{{#s}}S{{/s}}{{#o}}{{#n}}{{t}}{{/n}}{{/o}}{{#unless b}}u{{/unless}}{{#unless none}}v{{/unless}}") == ["xySdeepv", "uv", "uv"]
+    assert show("a {{~! gone ~}} b{{!-- {{x}} --}}{{#if s ~}} c {{~/if}}")[0] == "abc"
+    assert json.loads(show("{{{o}}}")[0]) == {"n": {"t": "deep"}, "l": []} and show("plain") == ["plain"] * 3 and show("") == [""] * 3
+
+
 # -- the stored table -----------------------------------------------------------------------------------
 
 
