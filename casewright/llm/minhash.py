@@ -7,12 +7,12 @@
 2. Groups are shuffled on the hashes of their bands; of buckets with the same members one is kept. A bucket proposes
    stars only: edges from a hub to those of its members that aren't in the hub's component yet and may be alike by
    size. The sets at both ends of an edge are joined and intersected; edges at the similarity unite what their ends belong to.
-3. QUICK rounds come first, in which every group proposes one edge, to a hub of the largest component in one of its
-   buckets: near copies of any number are united by about one edge each. Then the hubs are of the smallest components,
-   and every member proposes its edge; hubs leave their bucket when all their edges are compared, and the next round
-   has GROWTH times as many a bucket. Rounds end when every bucket is in one component. So every pair of one bucket is
-   compared on its full sets, or too unlike in size, or already in one component; no bucket, star or number of
-   partners has a cap.
+3. In each of QUICK rounds every group proposes one edge, to a hub of the largest component in one of its buckets: near
+   copies of any number are united by about one edge each. Buckets all of one component are done.
+4. What is left are buckets that hold several components. Joined by their common members they form clusters, in which
+   every group outside the cluster's largest component is compared with all others of the cluster, on full sets, as
+   products of two bounded blocks a task. So every pair of one bucket is compared or already in one component; no
+   bucket, star or number of partners has a cap, and no pair is a row.
 
 The bands give a recall of RECALL at the similarity by arithmetic; what is found is exact. Texts without words (null,
 empty, blank) are linked with nothing. Every row counts: rows without a doc_id link like others, and a component of
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import drop, ship, stored
-from casewright.llm.ngram_join import _row_key, _spread, components
+from casewright.llm.ngram_join import _forest, _links, _row_key, _spread, components
 
 SHINGLE, SIMILARITY = 2, 80
 BANDS, ROWS = 56, 8
@@ -40,8 +40,8 @@ BANDS, ROWS = 56, 8
 RECALL = 1 - (1 - (SIMILARITY / 100) ** ROWS) ** BANDS
 #: Edges of a hub that one task compares.
 STAR = 512
-#: Rounds in which each group proposes one edge only; how many times more hubs a bucket has in each later round.
-QUICK, GROWTH = 2, 8
+#: Rounds in which each group proposes one edge; groups and values of a block at most (one group may have more).
+QUICK, BLOCK_ROWS, BLOCK_VALUES = 4, 2048, 1_500_000
 #: Bins of a sequence that are looked at before the whole.
 FIRST = 12
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -151,26 +151,14 @@ def _one_edge_each(alive: DataFrame, seed: int, n: int, similarity: int) -> tupl
     drawn = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "label")
     parts = alive.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("pick"))
     hubs = parts.groupBy("bucket").agg(F.max(F.struct("n", "pick")).alias("top"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    hubs = hubs.select("bucket", "_n", F.col("top.pick.node").alias("hub"), F.col("top.pick.size").alias("hub_size"), F.col("top.pick.label").alias("hub_label"))
+    hubs = hubs.select("bucket", "_n", F.col("top.pick.h").alias("drawn"), F.col("top.pick.node").alias("hub"), F.col("top.pick.size").alias("hub_size"), F.col("top.pick.label").alias("hub_label"))
     rows = stored(_spread(alive, hubs, ["bucket"], n))
     away = rows.where((F.col("label") != F.col("hub_label")) & _may_link(F.col("size"), F.col("hub_size"), similarity))
-    one = away.groupBy("node").agg(F.min(F.struct("hub", "hub_label", "label")).alias("e"))
+    # the same hub for as many as can be
+    one = away.groupBy("node").agg(F.max(F.struct("drawn", "hub", "hub_label", "label")).alias("e"))
     return rows, one.select("e.hub", "e.hub_label", "node", "e.label")
 
 
-def _stars(alive: DataFrame, hubs: int, n: int, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of the buckets that span components, without their hubs, all edges of up to ``hubs`` hubs a bucket)."""
-    slot = F.pmod(F.xxhash64("label"), F.lit(hubs)).alias("slot")
-    parts = alive.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "label")).alias("pick"))
-    spread = parts.groupBy("bucket", slot).agg(F.min(F.struct("n", "pick")).alias("low"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
-    table = spread.groupBy("bucket").agg(F.collect_list("low.pick").alias("hubs"), F.sum("n").alias("_n"), F.sum("labels").alias("labels")).where("labels > 1")  # a hub a slot
-    rows = stored(_spread(alive, table.drop("labels"), ["bucket"], n))
-    each = rows.select("node", "size", "label", F.explode("hubs").alias("h")).where((F.col("label") != F.col("h.label")) & _may_link(F.col("size"), F.col("h.size"), similarity))
-    edges = each.select(F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"), "node", "label")
-    edges = edges.withColumns({"_u": F.greatest("hub", "node"), "_v": F.least("hub", "node")}).dropDuplicates(["_u", "_v"]).drop("_u", "_v")
-    return rows.where(~F.array_contains(F.transform("hubs", lambda h: h["node"]), F.col("node"))), edges
-
-
 def _relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
     """The rows with each label replaced by the least that is linked to it, and that one's by its own least.
 
@@ -182,32 +170,82 @@ def _relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
     return rows.join(further, "label", "left").withColumn("label", F.coalesce("_to", "label"))
 
 
-def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame | None:
+def _settled(similarity: int):
+    """The forest of the links between the two sides of each task, or inside a side where there is only that one."""
+
+    def settle(members: list[tuple[int, int, np.ndarray]], inner: bool) -> pa.RecordBatch | None:
+        rows = sorted(members, key=lambda m: m[:2])
+        split = 0 if inner else sum(m[0] == 0 for m in rows)
+        if not inner and split in (0, len(rows)):
+            return None
+        nodes = np.array([m[1] for m in rows], np.int64)
+        root = nodes[_forest(_links([m[2] for m in rows], split, similarity / 100), split)]
+        some = root != nodes
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(root[some])], ["node", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+        for batch in batches:
+            lists = batch.column(5)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, (*task, side, node) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)):
+                if now and task != now:
+                    if (found := settle(members, now[1] == now[2])) is not None:
+                        yield found
+                    members = []
+                now = task
+                members.append((side, node, values[ends[i] : ends[i + 1]].copy().view(np.uint64)))
+        if members and (found := settle(members, now[1] == now[2])) is not None:
+            yield found
+
+    return run
+
+
+def _clusters(alive: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (node, hub) between the components inside the clusters of the buckets ``alive``: bucket, node, size, label.
+
+    A cluster's groups outside its largest component are dealt into the blocks 0, 1, ..., those inside into -1, -2, ...; a task
+    is two blocks, one of the former at least.
+    """
+    count = F.count(F.lit(1))
+    hubs = alive.groupBy("bucket").agg(F.min("node").alias("hub"), count.alias("_n"))
+    n = alive.count()
+    stars_ = _spread(alive, hubs, ["bucket"], n).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    inside = stored(components(stars_).join(alive.select("node", "size", "label").distinct(), "node"))
+    n = inside.count()
+    parts = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_VALUES)).cast("int")
+    labels = inside.groupBy("root", "label").agg(count.alias("n"), F.sum("size").alias("values"))
+    whole = labels.groupBy("root").agg(F.max(F.struct("n", "label", "values")).alias("top"), F.sum("n").alias("_n"), F.sum("values").alias("values"))
+    whole = whole.select("root", "_n", F.col("top.label").alias("top"), parts(F.col("top.n"), F.col("top.values")).alias("mains"), parts(F.col("_n") - F.col("top.n"), F.col("values") - F.col("top.values")).alias("others"))
+    dealt = _spread(inside, whole, ["root"], n).withColumn("main", F.col("label") == F.col("top"))
+    own = F.when(F.col("main"), -1 - F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    with_others = F.transform(upto("others"), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
+    with_mains = F.when(F.col("main"), F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.transform(upto("mains"), lambda o: F.struct((-1 - o).alias("a"), F.col("own").alias("b"))))
+    tasks = dealt.withColumn("own", own).select("root", "node", "own", F.explode(F.concat(with_others, with_mains)).alias("t"))
+    tasks = tasks.select("root", "t.a", "t.b", (F.col("own") != F.col("t.a")).cast("int").alias("side"), "node")
+    pairs = tasks.join(sets, "node").select("root", "a", "b", "side", "node", "members")
+    return pairs.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(_settled(similarity), "node long, hub long")
+
+
+def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Links (node, hub) that connect what the buckets' links connect. ``alive``: bucket, node, size."""
-    alive, links, failed, step = alive.withColumn("label", F.col("node")), None, None, 0
-    while n := alive.count():
-        if step < QUICK:
-            rows, edges = _one_edge_each(alive, step, n, similarity)
-        else:
-            rows, edges = _stars(alive, GROWTH ** (step - QUICK + 1), n, similarity)
-            if failed is not None:  # pairs known to be unlike
-                pair = lambda: [F.greatest("hub", "node").alias("_u"), F.least("hub", "node").alias("_v")]
-                edges = edges.select("*", *pair()).join(failed.select(*pair()), ["_u", "_v"], "left_anti").drop("_u", "_v")
-        step += 1
+    alive, links = alive.withColumn("label", F.col("node")), []
+    for step in range(QUICK):
+        if not (n := alive.count()):
+            break
+        rows, edges = _one_edge_each(alive, step, n, similarity)
         edges = stored(edges)
-        if not (size := edges.count()):
-            left = stored(rows.select("bucket", "node", "size", "label"))
-            drop(edges, alive, rows)
-            alive = left
-            continue
-        found = stored(linked(edges, sets, size, similarity))
-        missed, met = found.where("NOT linked").select("hub", "node"), found.where("linked")
-        failed = missed if failed is None else failed.unionByName(missed)
-        links = met.select("hub", "node") if links is None else links.unionByName(met.select("hub", "node"))
-        left = stored(_relabelled(rows, met).select("bucket", "node", "size", "label"))
+        found = stored(linked(edges, sets, edges.count(), similarity).where("linked"))
+        links.append(found.select("node", "hub"))
+        left = stored(_relabelled(rows, found).select("bucket", "node", "size", "label"))
         drop(edges, alive, rows)
         alive = left
-    return links
+    span = alive.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").drop("lo", "hi")
+    alive = stored(_spread(alive, span, ["bucket"], 1 << 30))
+    if not alive.isEmpty():
+        links.append(stored(_clusters(alive, sets, similarity)))
+    return functools.reduce(DataFrame.unionByName, links) if links else alive.select("node", F.col("node").alias("hub"))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -230,13 +268,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     sets = stored(texts.mapInArrow(_sets, "node long, members array<long>"))
     links = united(alive, sets, similarity)
     own = groups.select("key", "node", "first", "_n")
-    if links is None:
-        of_key = own.select("key", "_n", F.col("first.doc_id").alias("component_id"))
-    else:
-        members = components(links.select(F.col("hub").alias("u"), F.col("node").alias("v"))).join(own, "node")
-        heads = members.groupBy("root").agg(F.min("first").alias("head"), count.alias("_n"))
-        heads = _spread(members.select("key", "root"), heads, ["root"], members.count()).select("key", "head")
-        of_key = own.join(heads, "key", "left").select("key", "_n", F.coalesce("head", "first")["doc_id"].alias("component_id"))
+    members = components(links.select(F.col("hub").alias("u"), F.col("node").alias("v"))).join(own, "node")
+    heads = members.groupBy("root").agg(F.min("first").alias("head"), count.alias("_n"))
+    heads = _spread(members.select("key", "root"), heads, ["root"], groups.count()).select("key", "head")
+    of_key = own.join(heads, "key", "left").select("key", "_n", F.coalesce("head", "first")["doc_id"].alias("component_id"))
     rows = _spread(signed.where("key IS NOT NULL").select("doc_id", "n_shingles", "key"), of_key, ["key"], signed.count()).select("doc_id", "n_shingles", "component_id")
     rows = rows.unionByName(signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
