@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.functions import schema as json_schema
 from casewright.functions.session import ship
 from casewright.operators.retrieve import as_of
 
@@ -145,6 +146,8 @@ def emphasis_prompts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("transcript_id").agg(items.alias("items"))
 
 
+#: What of a profile its schema speaks of.
+PROFILE_PAYLOAD = ["professor_name", *EDITABLE]
 PROFILE = ["id", "professor_name", "course", "school", "exam_format", "pet_peeves", "favored_framings", "stable_traps", "voice_conventions", "commonly_tested"]
 
 
@@ -154,19 +157,34 @@ def profile_struct() -> Column:
     return F.struct(*[F.col(c) if c in PROFILE[:5] else F.coalesce(c, empty).alias(c) for c in PROFILE])
 
 
-def edited(profiles: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def edited(profiles: DataFrame, edits: DataFrame, schema: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Profiles after the edits (id, field, value), and (id, problem) of refused ones.
 
-    All edits of a profile are refused if one names a field that may not change, or asks for an unknown profile.
+    All edits of a profile are refused if one names a field that may not change, asks for an unknown profile, or leaves a
+    profile that breaks ``schema``. Values are JSON texts where the field is no text, a null one empties the field; one that
+    doesn't read as the field's type is refused too.
     """
     asked = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("e"))
     wrong = F.array_sort(F.array_except(F.map_keys("e"), F.array(*[F.lit(f) for f in EDITABLE])))
-    judged = asked.withColumn("wrong", wrong).join(profiles.select("id", F.lit(True).alias("_p")), "id", "left")
-    problem = F.when(F.col("_p").isNull(), "profile not found").when(F.size("wrong") > 0, F.concat(F.lit("cannot edit protected fields: "), F.array_join("wrong", ", ")))
+    fields = {f.name: f.dataType for f in profiles.schema.fields if f.name in EDITABLE}
+    said = lambda c: F.try_element_at("e", F.lit(c))
+    typed = {c: said(c) if t.typeName() == "string" else F.from_json(said(c), t) for c, t in fields.items()}
+    given = {c: F.map_contains_key("e", F.lit(c)) for c in fields}
+    judged = asked.join(profiles.withColumn("_p", F.lit(True)), "id", "left").withColumn("_wrong", wrong)
+    judged = judged.withColumns({c: F.when(given[c], typed[c]).otherwise(F.col(c)) for c in fields})
+    unread = F.array_compact(F.array(*[F.when(given[c] & said(c).isNotNull() & (F.try_parse_json(said(c)).isNull() | F.col(c).isNull()), F.lit(c)) for c, t in fields.items() if t.typeName() != "string"], F.lit(None).cast("string")))
+    # the payload as JSON: what was said as it was said, the rest as it is
+    plain = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    parts = [F.concat(F.lit(f'"{c}":'), F.when(given[c], F.coalesce(said(c), F.lit("null"))).otherwise(plain(c)) if c in fields and fields[c].typeName() != "string" else plain(c)) for c in profiles.columns if c in PROFILE_PAYLOAD]
+    payload = F.try_parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    broken = json_schema.problems(payload, schema) if schema else F.array().cast("array<string>")
+    problem = (
+        F.when(F.col("_p").isNull(), "profile not found").when(F.size("_wrong") > 0, F.concat(F.lit("cannot edit protected fields: "), F.array_join("_wrong", ", ")))
+        .when(F.size(unread) > 0, F.concat(F.lit("cannot read: "), F.array_join(unread, ", "))).when(F.size(broken) > 0, F.array_join(broken, "; "))
+    )
     judged = judged.withColumn("problem", problem)
-    good = judged.where("problem IS NULL").select("id", "e")
-    fields = [c for c in profiles.columns if c in EDITABLE]
-    new = profiles.join(good, "id", "left").withColumns({c: F.when(F.map_contains_key("e", c), F.element_at("e", c)).otherwise(F.col(c)) for c in fields}).drop("e")
+    good = judged.where("problem IS NULL").select("id", F.struct(F.lit(1).alias("_"), *fields).alias("_new"))
+    new = profiles.join(good, "id", "left").withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in fields})
     return new.select(*profiles.columns), judged.where("problem IS NOT NULL").select("id", "problem")
 
 

@@ -159,6 +159,38 @@ def _(spark, d):
     return new.select("id", "course", "school", F.lit(None).cast("string").alias("problem")).unionByName(refused.select("id", F.lit(None).cast("string").alias("course"), F.lit(None).cast("string").alias("school"), "problem"))
 
 
+_PROFILE_SCHEMA = {
+    "type": "object", "required": ["professor_name", "course", "exam_format", "pet_peeves"], "$defs": {"Part": {"type": "object", "required": ["part"], "properties": {"part": {"enum": ["I", "II"]}, "weight": {"type": "number", "maximum": 1}}}},
+    "properties": {
+        "professor_name": {"type": "string"}, "course": {"type": "string", "minLength": 1}, "school": {"type": ["string", "null"]}, "pet_peeves": {"type": "array", "items": {"type": "string", "pattern": "^[a-z]"}},
+        "exam_format": {"type": "object", "required": ["duration_hours"], "properties": {"duration_hours": {"type": "number", "minimum": 0}, "structure": {"type": ["array", "null"], "items": {"$ref": "#/$defs/Part"}}}},
+    },
+}
+
+
+@query(
+    "refused_edits",
+    """WITH c AS (SELECT c_custkey AS id, c_custkey % 8 AS k FROM customer)
+    SELECT id, CASE k WHEN 1 THEN '- exam_format/duration_hours: under minimum 0; - exam_format/structure/1: lacks part; - exam_format/structure/1/weight: over maximum 1' WHEN 2 THEN '- course: under minLength 1' WHEN 3 THEN 'cannot read: pet_peeves'
+        WHEN 4 THEN '- course: not of type string' WHEN 5 THEN 'cannot edit protected fields: professor_name' WHEN 6 THEN concat('- pet_peeves/', id % 2, ': not of the pattern') END AS problem,
+        CASE WHEN k = 0 THEN concat('C', id) ELSE 'Torts' END AS course, CASE WHEN k = 0 THEN 4.5 ELSE 3.0 END AS hours, CASE WHEN k = 0 THEN 2 ELSE 1 END AS peeves FROM c""",
+)
+def _(spark, d):
+    shape = "struct<duration_hours:double,structure:array<struct<part:string,weight:double>>>"
+    id_, kind = F.col("c_custkey"), F.col("c_custkey") % 8
+    profiles = table(spark, d, "customer").select(
+        id_.alias("id"), F.col("c_name").alias("professor_name"), F.lit("Torts").alias("course"), F.lit(None).cast("string").alias("school"),
+        F.from_json(F.lit('{"duration_hours": 3, "structure": [{"part": "I", "weight": 0.5}]}'), shape).alias("exam_format"), F.array(F.lit("vague rules")).alias("pet_peeves"),
+    )
+    edit = lambda k, field, value: table(spark, d, "customer").where(kind == k).select(id_.alias("id"), F.lit(field).alias("field"), value.cast("string").alias("value"))
+    edits = edit(0, "course", F.concat(F.lit("C"), id_.cast("string"))).unionByName(edit(0, "exam_format", F.lit('{"duration_hours": 4.5}'))).unionByName(edit(0, "pet_peeves", F.lit('["one", "two"]')))
+    edits = edits.unionByName(edit(1, "exam_format", F.lit('{"duration_hours": -1, "structure": [{"part": "II"}, {"weight": 2}]}'))).unionByName(edit(2, "course", F.lit(""))).unionByName(edit(3, "pet_peeves", F.lit("not a list")))
+    peeves = F.when(id_ % 2 == 0, '["Upper", "lower"]').otherwise('["lower", "Upper"]')
+    edits = edits.unionByName(edit(4, "course", F.lit(None))).unionByName(edit(5, "professor_name", F.lit("x"))).unionByName(edit(5, "course", F.lit("y"))).unionByName(edit(6, "pet_peeves", peeves))
+    new, refused = desk.edited(profiles, edits, _PROFILE_SCHEMA)
+    return new.join(refused, "id", "left").select("id", "problem", "course", F.col("exam_format.duration_hours").alias("hours"), F.size("pet_peeves").alias("peeves"))
+
+
 @query(
     "emphasis_prompts",
     "SELECT source AS transcript_id, string_agg(concat('case:', doc_id, ':', n_chars % 50, ':', coalesce(lang, '')), ' ' ORDER BY n_chars % 50 DESC, CAST(doc_id AS VARCHAR)) AS items FROM documents WHERE source IS NOT NULL GROUP BY 1",

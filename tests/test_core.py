@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.functions import schema
 from casewright.functions import text as X
 from casewright.operators import desk, ingest, ledger, patterns, replies, resolve, retrieve, segment, study, verify
 from casewright.sources import store, templates
@@ -133,6 +134,45 @@ def test_templates_are_read_split_and_compiled(spark, tmp_path):
     assert json.loads(show("{{{o}}}")[0]) == {"n": {"t": "deep"}, "l": []} and show("plain") == ["plain"] * 3 and show("") == [""] * 3
 
 
+# -- schemas --------------------------------------------------------------------------------------------
+
+
+def test_compiled_schemas_find_what_the_walk_finds(spark):
+    claim = {"type": "object", "required": ["text", "ids"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 5, "pattern": "^[a-z]*$"}, "ids": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string"}}}}
+    shape = {
+        "type": "object", "$defs": {"C": claim}, "required": ["a", "n"],
+        "properties": {
+            "a": {"$ref": "#/$defs/C"}, "list": {"type": "array", "items": {"$ref": "#/$defs/C"}}, "n": {"type": ["number", "null"], "minimum": 1, "maximum": 9}, "i": {"type": "integer"}, "e": {"enum": ["x", 1, None, [1, "y"], {"k": True}]},
+            "c": {"const": "fix"}, "any": {"anyOf": [{"type": "string"}, {"type": "array", "items": {"type": "integer"}}]}, "nested": {"type": "array", "items": {"type": "array", "items": {"type": "boolean"}}}, "free": {}, "odd": {"type": "nothing"}, "gone": {"$ref": "#/none"},
+        },
+    }
+    rng = random.Random(1)
+    claims = lambda: {"text": rng.choice(["ab", "", 5, "UP", "toolong"]), "ids": rng.choice([["a"], [], ["a", "b", "c"], [1], "a"]), **({"z": 1} if rng.random() < 0.2 else {})}
+    likely = {
+        "a": claims, "list": lambda: [claims() for _ in range(rng.randrange(3))], "n": lambda: rng.choice([0, 5, 10, 1.5, None]), "i": lambda: rng.choice([1, -7, 2.5, True]), "e": lambda: rng.choice(["x", 1, 1.5, True, None, [1, "y"], {"k": True}, "q"]),
+        "c": lambda: rng.choice(["fix", "fix", 1]), "any": lambda: rng.choice(["s", [1], [1.5], 2]), "nested": lambda: [[True], [1], []],
+    }
+
+    def some(depth=0):
+        k = rng.randrange(12 if depth < 3 else 9)
+        if k < 9:
+            return rng.choice([None, True, False, 0, 5, 10, 1.5, "", "abc", "é", "fix", [], {}])
+        return [some(depth + 1) for _ in range(rng.randrange(3))] if k < 11 else {c: likely[c]() if rng.random() < 0.5 and c in likely else some(depth + 1) for c in shape["properties"] if rng.random() < 0.7}
+
+    values = [some() for _ in range(100)] + [{c: likely[c]() if rng.random() < 0.6 and c in likely else some(1) for c in shape["properties"] if rng.random() < 0.7} for _ in range(600)]
+    values.append({"a": {"text": "ab", "ids": ["x"]}, "n": 2})
+    rows = spark.createDataFrame(list(enumerate(map(json.dumps, values))), "id int, t string")
+    got = {r.id: r.p for r in rows.select("id", schema.problems(F.parse_json("t"), shape).alias("p")).collect()}
+    for i, value in enumerate(values):
+        assert sorted(got[i]) == sorted(replies.violations(value, shape, shape)), value
+    assert got[len(values) - 1] == []
+    loop = {"type": "object", "properties": {"child": {"$ref": "#"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/N"}}}, "$defs": {"N": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/N"}}}}}}
+    with pytest.raises(schema.Recursive):
+        schema.problems(F.lit(None), loop)
+    said = spark.createDataFrame([('{"kids": [{"id": 1, "kids": [{"id": "x"}]}]}', "outline", json.dumps(loop), ["b"], "")], "reply string, template string, schema string, block_ids array<string>, case_name string")
+    assert replies.checked(said, ["template"], [json.dumps(loop)]).first().problems == ["- kids/0/kids/0/id: not of type integer"]
+
+
 # -- the stored table -----------------------------------------------------------------------------------
 
 
