@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
-#: Child tables and the column that points to each parent.
-KEYS = {"book": {"corpus_id": "corpus"}, "page": {"book_id": "book"}, "block": {"book_id": "book", "page_id": "page"}, "artifact": {"corpus_id": "corpus", "parent_artifact_id": "artifact"}, "cost_event": {"artifact_id": "artifact"}}
+from casewright.functions.session import ship
+
+VERSION = 2
+#: Each table's column by which its rows belong to a parent's.
+BELONGS = {
+    "book": ("corpus_id", "corpus"), "page": ("book_id", "book"), "block": ("book_id", "book"), "toc_entry": ("book_id", "book"), "transcript": ("corpus_id", "corpus"), "transcript_segment": ("transcript_id", "transcript"),
+    "emphasis_item": ("transcript_id", "transcript"), "artifact": ("corpus_id", "corpus"), "syllabus": ("corpus_id", "corpus"), "syllabus_entry": ("syllabus_id", "syllabus"), "professor_profile": ("corpus_id", "corpus"),
+    "flashcard_review": ("corpus_id", "corpus"), "cost_event": ("artifact_id", "artifact"),
+}
+#: Further columns that point to rows of a table.
+POINTS = {"block": {"page_id": "page"}, "toc_entry": {"parent_id": "toc_entry"}, "artifact": {"parent_artifact_id": "artifact"}, "flashcard_review": {"flashcard_set_id": "artifact"}}
 #: Tables whose ids are hashes of their content and stay as they are.
 CONTENT_KEYED = {"book", "transcript"}
+#: Columns of JSON text that cite rows at any depth; lists of ids by their key, and sources of a kind with an id.
+CITING = {"artifact": ("content", "sources")}
+CITED = {"source_block_ids": "block", "source_page_ids": "page", "source_segment_ids": "transcript_segment"}
+#: How times are written: ISO, to the microsecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -34,41 +51,148 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def belonging(tables: dict[str, DataFrame], corpus) -> dict[str, DataFrame]:
-    """The rows of each table that belong to a corpus, parent by parent, by semi joins."""
-    out = {"corpus": tables["corpus"].where(F.col("id") == corpus)}
-    for name, keys in KEYS.items():
+def belonging(tables: dict[str, DataFrame], corpus=None) -> dict[str, DataFrame]:
+    """The rows of each table that belong to a corpus, parent by parent, by semi joins; to any corpus there is if none is named."""
+    out = {"corpus": tables["corpus"] if corpus is None else tables["corpus"].where(F.col("id") == corpus)}
+    for name, (col, parent) in BELONGS.items():
         if name in tables:
-            col, parent = next(iter(keys.items()))
             out[name] = tables[name].join(out[parent].select(F.col("id").alias(col)), col, "left_semi").select(*tables[name].columns)
     return out
 
 
-def export(tables: dict[str, DataFrame], corpus, path: str) -> None:
-    """One folder of compressed JSON lines a table and a manifest; decimals are written as text."""
+def written(rows: DataFrame) -> Column:
+    """A row as JSON: keys sorted, decimals as text, times in ISO, nulls kept."""
+    fields = sorted(rows.schema.fields, key=lambda f: f.name)
+    return F.to_json(F.struct(*[(F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() == "decimal" else F.col(f"`{f.name}`")).alias(f.name) for f in fields]), TIMES)
+
+
+def export(tables: dict[str, DataFrame], corpus, path: str, mode: str = "errorifexists") -> None:
+    """One archive of all tables: a line of compressed JSON a row, in one write whose tasks commit together, then the manifest.
+
+    The manifest has the version and each table's count of the lines that are there; an archive without one is not
+    complete. A failed export is repeated with mode overwrite.
+    """
     mine = belonging(tables, corpus)
-    for name, rows in mine.items():
-        cols = [F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in rows.schema.fields]
-        rows.select(*cols).write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
-    manifest(mine).withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    lines = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("table"), written(t).alias("value")) for n, t in mine.items()])
+    lines.write.mode(mode).partitionBy("table").option("compression", "gzip").text(f"{path}/rows")
+    there = lines.sparkSession.read.schema("value string, table string").text(f"{path}/rows").groupBy(F.col("table").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    names = lines.sparkSession.createDataFrame([(n,) for n in mine], "name string")
+    counts = names.join(there, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.lit(VERSION).alias("version"))
+    counts.coalesce(1).write.mode(mode).json(f"{path}/manifest")
+
+
+def _cites(node: object, change) -> object:
+    """A JSON value with each cited (kind, id) replaced by what ``change`` gives."""
+    if isinstance(node, list):
+        return [_cites(x, change) for x in node]
+    if not isinstance(node, dict):
+        return node
+    out = {}
+    for key, value in node.items():
+        if key in CITED and isinstance(value, list):
+            out[key] = [change(CITED[key], x) if isinstance(x, str) else _cites(x, change) for x in value]
+        elif key == "sources" and isinstance(value, list):
+            out[key] = [_source(x, change) for x in value]
+        else:
+            out[key] = _cites(value, change)
+    return out
+
+
+def _source(x: object, change) -> object:
+    if isinstance(x, str):
+        return change("block", x)
+    if isinstance(x, dict) and isinstance(x.get("id"), str):
+        return {**_cites(x, change), "id": change(str(x.get("kind") or "block"), x["id"])}
+    return _cites(x, change)
+
+
+def _read_json(text: str | None, column: str) -> object:
+    """A citing column's value; the column ``sources`` is a list of sources itself."""
+    value = json.loads(text)
+    return {"sources": value} if column == "sources" else value
+
+
+def _harvester(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found: dict[tuple[str, str], None] = {}
+                try:
+                    _cites(_read_json(text, column), lambda kind, x: found.setdefault((kind, x)) or x)  # noqa: B023
+                except (TypeError, ValueError):
+                    continue
+                for kind, ref in found:
+                    for c, v in zip(out, (row, kind, ref), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["_row", "kind", "ref"])
+
+    return run
+
+
+def _replacer(column: str, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, known in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                new = {(k["kind"], k["ref"]): k["new"] for k in known or ()}
+                if new:
+                    value = _cites(_read_json(text, column), lambda kind, x: new.get((kind, x), x))  # noqa: B023
+                    text = json.dumps(value["sources"] if column == "sources" else value, ensure_ascii=False, separators=(",", ":"))
+                out.append(text)
+            cols = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+
+    return run
+
+
+def rekeyed(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``rows`` (id, ...) with what a JSON text column cites at any depth replaced by ``known`` (kind, ref, new); what it doesn't know stays.
+
+    Citations are harvested, joined with the new ids, and put back a row at a time; a row gathers its own citations only.
+    """
+    ship(rows.sparkSession)
+    refs = rows.select(F.col("id").cast("string"), column).where(F.col(column).isNotNull()).mapInArrow(_harvester(column), "_row string, kind string, ref string").distinct()
+    mine = refs.join(known, ["kind", "ref"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "ref", "new")).alias("_new"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    joined = rows.join(mine, F.col("id").cast("string") == F.col("_row"), "left").select(*rows.columns, "_new")
+    return joined.mapInArrow(_replacer(column, rows.columns.index(column)), kinds)
 
 
-def restore(spark: SparkSession, path: str, schemas: dict[str, str], salt: str) -> dict[str, DataFrame]:
-    """The tables of an export under new ids, which derive from the old ones and ``salt``.
+def restore(spark: SparkSession, path: str, schemas: dict[str, str], salt: str, keep_corpus_id: bool = False, name: str | None = None) -> dict[str, DataFrame]:
+    """The tables of an archive under new ids, which derive from the old ones and ``salt``.
 
-    Every key that points to a renewed id is rewritten; references to tables that are absent stay. An
-    export of another version is refused.
+    Every key that points to a renewed id is rewritten, in columns and inside JSON texts at any depth; ids that no table
+    of the archive has stay. An archive of another version, without a manifest or with other counts than its manifest's
+    is refused. ``name`` renames the corpus.
     """
-    version = spark.read.json(f"{path}/manifest").agg(F.max("version")).first()[0]
-    if version != VERSION:
-        raise ValueError(f"export of version {version}")
+    try:
+        head = {r["name"]: (r["n"], r["version"]) for r in spark.read.schema("name string, n long, version int").json(f"{path}/manifest").collect()}  # a row a table
+    except AnalysisException:
+        head = {}
+    if not head:
+        raise ValueError("archive without a manifest")
+    if versions := {v for _, v in head.values()} - {VERSION}:
+        raise ValueError(f"archive of version {versions.pop()}")
+    lines = spark.read.schema("value string, table string").text(f"{path}/rows")
+    there = {r["table"]: r["n"] for r in lines.groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if short := [n for n, (count, _) in head.items() if there.get(n, 0) != count]:
+        raise ValueError(f"archive is not complete: {', '.join(sorted(short))}")
     renew = lambda c: F.when(c.isNotNull(), F.sha2(F.concat_ws("|", F.lit(salt), c.cast("string")), 256))
+    kept = CONTENT_KEYED | ({"corpus"} if keep_corpus_id else set())
+    old = {n: lines.where(F.col("table") == n).select(F.from_json("value", schema, {**TIMES, "mode": "FAILFAST"}).alias("r")).select("r.*") for n, schema in schemas.items()}
+    cited = [old[n].select(F.lit(n).alias("kind"), F.col("id").cast("string").alias("ref"), renew(F.col("id")).alias("new")) for n in ("block", "page", "transcript_segment", "artifact") if n in old]
     out = {}
-    for name, schema in schemas.items():
-        rows = spark.read.schema(schema).json(f"{path}/{name}")
-        new = {} if name in CONTENT_KEYED else {"id": renew(F.col("id"))}
-        new |= {c: renew(F.col(c)) for c, parent in KEYS.get(name, {}).items() if parent in schemas and parent not in CONTENT_KEYED}
-        out[name] = rows.withColumns(new)
+    for n, rows in old.items():
+        points = {**({BELONGS[n][0]: BELONGS[n][1]} if n in BELONGS else {}), **POINTS.get(n, {})}
+        for column in CITING.get(n, ()):
+            if column in rows.columns and cited:
+                rows = rekeyed(rows, column, reduce(DataFrame.unionByName, cited))
+        new = {} if n in kept else {"id": renew(F.col("id"))}
+        new |= {c: renew(F.col(c)) for c, parent in points.items() if c in rows.columns and parent in schemas and parent not in kept}
+        if n == "corpus" and name is not None:
+            new["name"] = F.lit(name)
+        out[n] = rows.withColumns(new)
     return out
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import gzip
+import hashlib
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +16,7 @@ from pyspark.sql import types as T
 from casewright.functions import schema
 from casewright.functions import text as X
 from casewright.operators import desk, ingest, ledger, patterns, replies, resolve, retrieve, segment, study, verify
-from casewright.sources import store, templates
+from casewright.sources import archive, store, templates
 
 
 def one(spark, column):
@@ -173,6 +177,58 @@ def test_compiled_schemas_find_what_the_walk_finds(spark):
     assert replies.checked(said, ["template"], [json.dumps(loop)]).first().problems == ["- kids/0/kids/0/id: not of type integer"]
 
 
+# -- archives -------------------------------------------------------------------------------------------
+
+
+def test_archives_are_whole_or_refused(spark, tmp_path):
+    kinds = {
+        "corpus": "id string, name string, budget decimal(12,3), made timestamp, raw binary", "book": "id string, corpus_id string", "page": "id string, book_id string", "block": "id string, book_id string, page_id string",
+        "artifact": "id string, corpus_id string, parent_artifact_id string, content string, sources string", "cost_event": "id string, artifact_id string, ts timestamp_ntz, cost double",
+    }
+    at = datetime.datetime(2024, 2, 3, 4, 5, 6, 789012)
+    rows = {
+        "corpus": [("1", "One \n two", Decimal("1.230"), at, b"\x00\xff"), ("2", None, None, None, None)], "book": [("h1", "1"), ("h2", "2")], "page": [("p1", "h1")], "block": [("b1", "h1", "p1"), ("b2", "h1", None), ("b3", "h2", "p9")],
+        "artifact": [
+            ("a1", "1", None, '{"x": [{"source_block_ids": ["b1", "b3", 5, {"source_page_ids": ["p1", "p1"]}]}], "sources": ["b2", {"id": "p1", "kind": "page"}, {"id": "b1"}, {"kind": "block"}], "text": "b1 é"}', '[{"kind": "artifact", "id": "a2"}]'),
+            ("a2", "1", "a1", "no json", "null"), ("a3", "2", None, None, None),
+        ],
+        "cost_event": [("c1", "a1", at, float("nan")), ("c2", "a3", at, 1.5), ("c3", None, at, 0.0)],
+    }
+    held = {n: spark.createDataFrame(rows[n], kinds[n]) for n in kinds}
+    path = str(tmp_path / "one")
+    archive.export(held, "1", path)
+    got = archive.restore(spark, path, kinds, "s", name="Copy")
+    new = lambda x: hashlib.sha256(f"s|{x}".encode()).hexdigest()
+    corpus = got["corpus"].collect()
+    assert [(r.id, r.name, r.budget, r.made, bytes(r.raw)) for r in corpus] == [(new("1"), "Copy", Decimal("1.230"), at, b"\x00\xff")]
+    assert [tuple(r) for r in got["book"].collect()] == [("h1", new("1"))] and [tuple(r) for r in got["page"].collect()] == [(new("p1"), "h1")]
+    assert {tuple(r) for r in got["block"].collect()} == {(new("b1"), "h1", new("p1")), (new("b2"), "h1", None)}
+    found = {r.id: r for r in got["artifact"].collect()}
+    assert set(found) == {new("a1"), new("a2")} and found[new("a2")].parent_artifact_id == new("a1") and found[new("a2")].content == "no json" and found[new("a2")].sources == "null"
+    assert json.loads(found[new("a1")].content) == {"x": [{"source_block_ids": [new("b1"), "b3", 5, {"source_page_ids": [new("p1"), new("p1")]}]}], "sources": [new("b2"), {"id": new("p1"), "kind": "page"}, {"id": new("b1")}, {"kind": "block"}], "text": "b1 é"}
+    assert json.loads(found[new("a1")].sources) == [{"kind": "artifact", "id": new("a2")}]
+    event = got["cost_event"].collect()
+    assert [(r.id, r.artifact_id, r.ts, r.cost != r.cost) for r in event] == [(new("c1"), new("a1"), at, True)]
+    assert {r.id for r in archive.restore(spark, path, {"corpus": kinds["corpus"]}, "s", keep_corpus_id=True)["corpus"].collect()} == {"1"}
+    with pytest.raises(Exception, match="exist"):
+        archive.export(held, "1", path)
+    archive.export(held, None, path, mode="overwrite")
+    assert archive.restore(spark, path, kinds, "s")["artifact"].count() == 3
+    line = next((tmp_path / "one" / "rows" / "table=artifact").glob("*.gz"))
+    text = gzip.decompress(line.read_bytes()).decode().splitlines()[0]
+    assert text.index('"content"') < text.index('"corpus_id"') < text.index('"id"') < text.index('"sources"')
+    line.unlink()
+    with pytest.raises(ValueError, match="not complete: artifact"):
+        archive.restore(spark, path, kinds, "s")
+    part = next((tmp_path / "one" / "manifest").glob("part-*"))
+    spark.read.json(str(tmp_path / "one" / "manifest")).withColumn("version", F.lit(1)).write.json(str(tmp_path / "old" / "manifest"))
+    with pytest.raises(ValueError, match="of version 1"):
+        archive.restore(spark, str(tmp_path / "old"), kinds, "s")
+    assert part.exists()
+    with pytest.raises(ValueError, match="without a manifest"):
+        archive.restore(spark, str(tmp_path / "none"), kinds, "s")
+
+
 # -- the stored table -----------------------------------------------------------------------------------
 
 
