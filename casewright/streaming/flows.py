@@ -7,12 +7,10 @@ one a day and feature (days older than the watermark are dropped in append mode)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from casewright.functions.session import scratch, ship
 from casewright.operators.study import START
@@ -33,10 +31,14 @@ def daily_costs(events: DataFrame, late: str = "2 days") -> DataFrame:
     return days.agg(F.sum("total_cost_usd").alias("total")).select(F.to_date("window.start").alias("day"), "feature", "total")
 
 
-def review_step(ease: float, interval: int, reps: int, grade: int) -> tuple[float, int, int]:
-    """The state of a card after one review; the same rule as in the batch form."""
+def check_grade(grade: int) -> None:
     if not 0 <= grade <= 5:
         raise ValueError(f"grade outside 0 to 5: {grade}")
+
+
+def review_step(ease: float, interval: int, reps: int, grade: int) -> tuple[float, int, int]:
+    """The state of a card after one review; the same rule as in the batch form."""
+    check_grade(grade)
     if grade < 3:
         return ease, 1, 0
     miss = 5 - grade
@@ -44,25 +46,72 @@ def review_step(ease: float, interval: int, reps: int, grade: int) -> tuple[floa
     return ease, 1 if reps == 0 else 6 if reps == 1 else max(1, round(interval * ease)), reps + 1
 
 
-def _reviewed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    *now, last = tuple(state.get) if state.exists else (START["ease"], START["interval"], START["reps"], None)
-    rows = pd.concat([f[["at", "seq", "grade"]] for f in frames]).sort_values(["at", "seq"])
-    if last is not None and rows["at"].iloc[0].value // 1000 < last:
-        raise ValueError(f"a review of card {key[0]} is earlier than one already counted")
-    for grade in rows["grade"]:
-        now = review_step(*now, int(grade))
-    state.update((*now, rows["at"].iloc[-1].value // 1000))
-    yield pd.DataFrame({"card": [key[0]], "ease": [round(now[0], 6)], "interval": [now[1]], "reps": [now[2]], "last_at": [rows["at"].iloc[-1]]})
-
-
-def review_states(log: DataFrame) -> DataFrame:
+class _Reviews(StatefulProcessor):
+    """A card's state up to the watermark, and the reviews after it, which may still be joined by earlier ones."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", f"{STATE}, last long")
+        self.waiting = handle.getListState("waiting", "at long, seq long, grade int")
+
+    def _now(self) -> tuple[tuple[float, int, int], int | None]:
+        if not self.settled.exists():
+            return (START["ease"], START["interval"], START["reps"]), None
+        ease, interval, reps, last = self.settled.get()
+        return (ease, interval, reps), last
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        arrived = [x for f in rows for x in zip(f["micros"].tolist(), f["seq"].tolist(), f["grade"].tolist(), strict=True)]
+        for _, _, grade in arrived:
+            check_grade(grade)
+        waiting = sorted([*map(tuple, self.waiting.get()), *arrived])
+        self.waiting.put(waiting)
+        # wakes when the first of them can't be preceded any more
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(max(waiting[0][0] // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        state, last = self._now()
+        for _, _, grade in waiting:
+            state = review_step(*state, grade)
+        last = max(waiting[-1][0], last) if last is not None else waiting[-1][0]
+        yield pd.DataFrame({"card": [key[0]], "ease": [round(state[0], 6)], "interval": [state[1]], "reps": [state[2]], "last_at": [pd.Timestamp(last, unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        state, last = self._now()
+        waiting = sorted(map(tuple, self.waiting.get()))
+        due = [x for x in waiting if x[0] // 1000 < passed]
+        for at, _, grade in due:
+            state, last = review_step(*state, grade), at
+        if due:
+            self.settled.update((*state, last))
+        rest = waiting[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(max(rest[0][0] // 1000 + 1, passed + 1))
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame({"card": [], "ease": [], "interval": [], "reps": [], "last_at": []}).astype({"card": str, "ease": float, "interval": "int32", "reps": "int32", "last_at": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+def review_states(log: DataFrame, late: str = "30 days") -> DataFrame:
     """The state of each card that a batch of reviews (card, at, seq, grade) changes.
 
-    A card's reviews come in order of time; one that is earlier than those counted is an error, as its effect can't be undone.
+    Reviews may come in any order within ``late`` of the latest: a card keeps those that the watermark hasn't passed and counts
+    all of them in order of (at, seq) each time, so what comes out last is the batch form's result. What the watermark
+    has passed is settled and takes no room; a review that comes later than that is left out, as elsewhere in streams.
+    The session's state store must be one that keeps timers (RocksDB), which is set here.
     """
-    ship(log.sparkSession)
+    spark = log.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = log.schema["at"].dataType.simpleString()
-    return log.groupBy("card").applyInPandasWithState(_reviewed, f"card string, {STATE}, last_at {kind}", f"{STATE}, last long", "update", GroupStateTimeout.NoTimeout)
+    timed = log.select("card", F.col("at").cast("timestamp").alias("event_time"), F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), F.col("seq").cast("long").alias("seq"), F.col("grade").cast("int").alias("grade")).withWatermark("event_time", late)
+    out = timed.groupBy("card").transformWithStateInPandas(_Reviews(), f"card string, {STATE}, last_at timestamp_ntz", "Update", "EventTime")
+    return out.withColumn("last_at", F.col("last_at").cast(kind))
 
 
 def drained(stream: DataFrame, mode: str = "update", path: str | None = None) -> str:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewright.operators import records, study
 from casewright.streaming import flows
@@ -29,12 +32,34 @@ def test_reviews_over_batches(spark, split):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_reviews_out_of_order_are_refused(spark, split, tmp_path):
+def test_reviews_in_any_order_give_the_batch_result(spark, split, tmp_path):
+    """Batches from the latest to the earliest, then mixed: within the watermark the order of arrival says nothing."""
     events = spark.read.parquet(split).selectExpr("concat(user_id, ':', event_type) AS card", "ts AS at", "event_id AS seq", "CAST(event_id % 6 AS INT) AS grade")
-    for name, where in (("b", "at > '2024-01-20'"), ("c", "at <= '2024-01-20'")):
-        events.where(where).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
-    with pytest.raises(Exception, match="earlier"):
-        flows.drained(flows.review_states(flows.follow(spark, f"{tmp_path}/t", 1)))
+    want = sorted(map(tuple, study.review_states(events).drop("due_at").collect()))
+    for name, order in (("back", F.col("at").desc()), ("mixed", F.xxhash64("seq"))):
+        path = f"{tmp_path}/{name}"
+        ranked = events.withColumn("n", F.ntile(5).over(Window.orderBy(order)))
+        for i in range(1, 6):
+            ranked.where(f"n = {i}").drop("n").coalesce(1).write.mode("append").parquet(path)
+            time.sleep(1.1)  # files are taken in order of their times
+        table = flows.drained(flows.review_states(flows.follow(spark, path, 1), "60 days"))
+        got = flows.latest(spark, table, ["card"]).select("card", "ease", "interval", "reps", "last_at")
+        assert sorted(map(tuple, got.collect())) == want, name
+
+
+def test_reviews_settle_behind_the_watermark(spark, tmp_path):
+    """A late review within the watermark is counted in its place, one behind it is left out, and what is settled is kept."""
+    day = "2024-01-%02d 00:00:00"
+    batches = [[("a", 1, 1, 5), ("b", 1, 2, 4)], [("a", 10, 3, 2), ("c", 12, 4, 5)], [("a", 8, 5, 5), ("b", 11, 6, 5)], [("a", 2, 7, 0), ("a", 20, 8, 4)], [("a", 19, 9, 4), ("b", 30, 10, 3)], [("c", 31, 11, 1)]]
+    rows = [(i, c, day % d, s, g) for i, b in enumerate(batches) for c, d, s, g in b]
+    every = spark.createDataFrame(rows, "n int, card string, at string, seq long, grade int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    for i in range(len(batches)):
+        every.where(f"n = {i}").drop("n").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+        time.sleep(1.1)
+    got = flows.latest(spark, flows.drained(flows.review_states(flows.follow(spark, f"{tmp_path}/t", 1), "5 days")), ["card"])
+    want = study.review_states(every.where("seq <> 7").drop("n")).drop("due_at")
+    columns = ["card", "ease", "interval", "reps", "last_at"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
 
 def test_costs_over_batches(spark, split):
