@@ -41,7 +41,7 @@ RECALL = 1 - (1 - (SIMILARITY / 100) ** ROWS) ** BANDS
 #: Edges of a hub that one task compares.
 STAR = 512
 #: Rounds in which each group proposes one edge; groups and values of a block at most (one group may have more).
-QUICK, BLOCK_ROWS, BLOCK_VALUES = 4, 2048, 1_500_000
+QUICK, BLOCK_ROWS, BLOCK_VALUES = 2, 2048, 1_500_000
 #: Bins of a sequence that are looked at before the whole.
 FIRST = 12
 _MUL = np.uint64(0x9E3779B97F4A7C15)
