@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import desk, ingest, retrieve, study, verify
+from casewright.operators import desk, ingest, profiles, retrieve, study, verify
 from casewright.plans.queries import query
 from casewright.sources.views import table, view, with_views
 
@@ -100,12 +100,12 @@ def _(spark, d):
 
 @query(
     "case_of_opinion",
-    with_views("block") + """, n AS (SELECT *, sum(CASE WHEN type IN ('case_header', 'case_opinion') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY source_page, order_index, id) AS c FROM block WHERE book_id <= 200),
-    t AS (SELECT *, max(CASE WHEN type = 'case_opinion' THEN id END) OVER (PARTITION BY book_id, c) AS opinion_id FROM n), w AS (SELECT id AS asked FROM block WHERE book_id <= 200 AND source_page <= 2)
+    with_views("block") + """, n AS (SELECT *, sum(CASE WHEN type IN ('case_header', 'case_opinion') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY source_page, order_index, id) AS c FROM block),
+    t AS (SELECT *, max(CASE WHEN type = 'case_opinion' THEN id END) OVER (PARTITION BY book_id, c) AS opinion_id FROM n), w AS (SELECT id AS asked FROM block WHERE source_page <= 2)
     SELECT asked, t.id AS block_id, CASE WHEN b.type <> 'case_opinion' THEN concat('type is ', b.type) END AS problem FROM w JOIN block b ON b.id = asked LEFT JOIN t ON t.opinion_id = asked""",
 )
 def _(spark, d):
-    blocks = view(spark, d, "block").where("book_id <= 200")
+    blocks = view(spark, d, "block")
     return retrieve.case_of(blocks.where("source_page <= 2").select(F.col("id").alias("asked")), blocks).select("asked", "block_id", "problem")
 
 
@@ -277,6 +277,32 @@ def _(spark, d):
     return desk.verified(table(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), kind.alias("profile")), profiles)
 
 
+@query(
+    "verified_payloads",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind FROM orders)
+    SELECT concat('a', k) AS artifact_id, CASE kind WHEN 0 THEN 'citation_grounding' WHEN 1 THEN 'rule_fidelity' WHEN 2 THEN 'rubric_coverage' WHEN 3 THEN 'issue_spotting_completeness' ELSE 'odd' END AS profile, errors, warnings, errors = 0 AS passed
+    FROM (SELECT *, CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END ELSE 1 END AS BIGINT) AS errors,
+        CAST(CASE WHEN kind = 1 AND k % 3 = 2 THEN 1 WHEN kind = 2 AND k % 2 = 0 THEN 3 WHEN kind = 3 AND k % 3 <> 0 THEN 3 ELSE 0 END AS BIGINT) AS warnings FROM o)""",
+)
+def _(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5).alias("kind"), F.col("o_orderkey").cast("string").alias("t"))
+    put = lambda text: F.replace(F.lit(text), F.lit("#"), F.col("t"))
+    rule = F.when(F.col("k") % 3 == 0, put('{"rule": {"text": "The words of block #", "source_block_ids": ["b#"]}}')).when(F.col("k") % 3 == 1, '{"rule": "text"}').otherwise(put('{"rule": {"text": "entirely different matter", "source_block_ids": ["b#", 5]}}'))
+    hypo = F.when(F.col("k") % 3 == 0, '{"rubric": 5}').otherwise('{"rubric": {"required_issues": [{"label": "a", "weight": 0.5}, {"label": " ", "weight": 0.4}], "prompt_role": "clerk"}}')
+    content = (
+        F.when(F.col("kind") == 0, put('{"x": [{"source_block_ids": ["b#", "zz"]}], "sources": ["b#", {"kind": "page", "id": "p"}]}')).when(F.col("kind") == 1, rule)
+        .when(F.col("kind") == 2, put('{"rubric_id": "r#", "per_rubric_scores": [{"rubric_item_id": "i1", "rubric_item_kind": "required_issue", "points_possible": 5}, {"rubric_item_id": "x", "points_possible": 0}, {"rubric_item_id": "c1", "rubric_item_kind": "required_rule"}, {"rubric_item_id": "i1", "points_possible": 0}, 7]}'))
+        .when(F.col("kind") == 3, hypo)
+    )
+    types = F.element_at(F.array(*map(F.lit, ("case_brief", "case_brief", "grade", "hypo", "rubric"))), (F.col("kind") + 1).cast("int"))
+    names = F.element_at(F.array(*map(F.lit, (*profiles.PROFILES, "odd"))), (F.col("kind") + 1).cast("int"))
+    made = orders.select(F.concat(F.lit("a"), "t").alias("id"), types.alias("type"), content.alias("content"))
+    rubric = '{"required_issues": [{"id": "i1"}], "required_rules": [{"id": "r1"}, {"id": "i1"}, {"id": 4}], "expected_counterarguments": [{"id": "c1"}]}'
+    made = made.unionByName(orders.where("kind = 2 AND k % 2 = 0").select(F.concat(F.lit("r"), "t").alias("id"), F.lit("rubric").alias("type"), F.lit(rubric).alias("content")))
+    blocks = orders.select(F.concat(F.lit("b"), "t").alias("id"), put("words of block #").alias("markdown"))
+    return profiles.verdicts(orders.select(F.concat(F.lit("a"), "t").alias("artifact_id"), names.alias("profile")), made, blocks)
+
+
 # -- transcripts ----------------------------------------------------------------------------------------
 
 
