@@ -217,6 +217,35 @@ def appended(history: DataFrame, new: DataFrame) -> DataFrame:
     return history.unionByName(more.select(*history.columns))
 
 
+#: A chat's type by its mode.
+CHATS = {"socratic": "socratic_drill", "cold_call": "cold_call_session"}
+
+
+def opened(requests: DataFrame, artifacts: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(request, id, type, case_block_id, mode, turns) of the chats that requests go on with or begin, the new artifacts, and (request, problem).
+
+    ``requests``: request, corpus_id, case_block_id, mode, existing_id; ``artifacts``: id, corpus_id, type, content. A request that
+    names a chat loads it from its content, whatever else it says; one that names none begins a chat, whose id derives from the request.
+    """
+    kinds = list(CHATS.values())
+    old = artifacts.select(F.col("id").alias("existing_id"), F.col("type").alias("_type"), F.col("content").alias("_content"))
+    asked = requests.join(old, "existing_id", "left")
+    problem = F.when(F.col("existing_id").isNull(), F.when(~F.col("mode").isin(*CHATS), F.concat(F.lit("unknown mode: "), "mode"))).when(F.col("_type").isNull(), "chat not found").when(~F.col("_type").isin(kinds), F.concat(F.lit("not a chat: "), "_type"))
+    asked = asked.withColumn("problem", problem)
+    good = asked.where("problem IS NULL")
+    at = lambda k: F.get_json_object("_content", f"$.{k}")
+    own = lambda c: F.sha2(F.concat(F.lit("chat|"), F.col(c).cast("string")), 256)
+    turns = F.coalesce(F.size(F.from_json(at("history"), "array<string>")), F.lit(0))
+    loaded = good.where("existing_id IS NOT NULL").select("request", F.col("existing_id").alias("id"), F.col("_type").alias("type"), at("case_block_id").alias("case_block_id"), F.coalesce(at("mode"), F.lit("socratic")).alias("mode"), turns.alias("turns"))
+    fresh = good.where("existing_id IS NULL")
+    kind = F.when(F.col("mode") == "socratic", CHATS["socratic"]).otherwise(CHATS["cold_call"])
+    began = fresh.select("request", own("request").alias("id"), kind.alias("type"), F.col("case_block_id").cast("string"), "mode", F.lit(0).alias("turns"))
+    state = F.to_json(F.struct(F.col("case_block_id").cast("string"), F.array().cast("array<string>").alias("history"), "mode", F.lit(now).alias("started_at")))
+    sources = F.to_json(F.array(F.struct(F.lit("block").alias("kind"), F.col("case_block_id").cast("string").alias("id"))))
+    new = fresh.select(own("request").alias("id"), "corpus_id", kind.alias("type"), state.alias("content"), sources.alias("sources"))
+    return loaded.unionByName(began), new, asked.where("problem IS NOT NULL").select("request", "problem")
+
+
 def closed(chats: DataFrame, turns: DataFrame, asked: DataFrame) -> DataFrame:
     """Chats (id, ended_at) with the asked ones closed at the given time, unless they are already, and their history as roles and contents."""
     said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))

@@ -193,16 +193,87 @@ def case_of(asked: DataFrame, blocks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CaseReference:
+    """``book_id`` may be None: the first opinion of the name in any book."""
+
     book_id: object
     name: str
 
 
-def retrieved(query: PageRange | CaseReference, blocks: DataFrame) -> DataFrame:
-    """The blocks that a typed query asks for, in reading order; another type of query is an error."""
+@dataclass(frozen=True)
+class AssignmentCode:
+    corpus_id: object
+    code: str
+
+
+@dataclass(frozen=True)
+class Semantic:
+    """The vectors nearest to one; where blocks have none, nothing is found."""
+
+    embedding: tuple[float, ...]
+    top_k: int = 10
+
+
+def _columns(query) -> dict:
+    if isinstance(query, PageRange):
+        return {"kind": "page_range", "book_id": query.book_id, "start": query.start, "end": query.end}
+    if isinstance(query, CaseReference):
+        return {"kind": "case_reference", "book_id": query.book_id, "case_name": query.name}
+    if isinstance(query, AssignmentCode):
+        return {"kind": "assignment_code", "corpus_id": query.corpus_id, "code": query.code}
+    if isinstance(query, Semantic):
+        return {"kind": "semantic"}
+    raise TypeError(f"unknown query: {type(query).__name__}")
+
+
+REQUEST = ("request", "kind", "book_id", "start", "end", "case_name", "corpus_id", "code")
+
+
+def answers(requests: DataFrame, blocks: DataFrame, books: DataFrame, entries: DataFrame, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(request, id) of the blocks that many typed requests ask for, and (request, note) of those that find nothing.
+
+    ``requests``: REQUEST. A page range gives its blocks; a case the first opinion of equal name in the book, or in any
+    book if none is named, and what trails it; an assignment the blocks of its page ranges in the corpus's oldest book, by
+    the newest entry (``entries``: corpus_id, code, ranges); ``near`` (request, id, rank) are the blocks of semantic requests.
+    """
+    of = lambda kind: requests.where(F.col("kind") == kind)
+    spans = store.spans(of("page_range").select("request", "book_id", "start", "end"), blocks).select("request", "id")
+    trails = case_trails(blocks).withColumn("_case", equal_name(F.col("case_name")))
+    named = trails.where("type = 'case_opinion'").select(F.col("book_id").alias("_book"), "_case", "opinion_id", *READING)
+    asked = of("case_reference").select("request", "book_id", equal_name(F.col("case_name")).alias("_asked"))
+    held = asked.join(named, (F.col("_case") == F.col("_asked")) & (F.col("book_id").isNull() | (F.col("book_id") == F.col("_book"))))
+    first = held.groupBy("request").agg(F.min_by("opinion_id", F.struct("_book", *READING, "opinion_id")).alias("opinion_id"))
+    cases = first.join(trails.select("opinion_id", "id"), "opinion_id").select("request", "id")
+    codes = of("assignment_code").select("request", "corpus_id", "code").join(entries.select("corpus_id", "code", "ranges"), ["corpus_id", "code"])
+    assigned = assignment_blocks(codes.select("corpus_id", F.col("request").alias("code"), "ranges"), blocks, books).select(F.col("code").alias("request"), "id")
+    found = spans.unionByName(cases).unionByName(assigned)
+    if near is not None:
+        found = found.unionByName(of("semantic").select("request").join(near.select("request", "id"), "request"))
+    note = (
+        F.when(~F.col("kind").isin("page_range", "case_reference", "assignment_code", "semantic"), F.concat(F.lit("unknown query: "), "kind")).when(F.col("start") > F.col("end"), "start is after end")
+        .when(F.col("kind") == "page_range", "no pages in this range").when(F.col("kind") == "case_reference", "no such case").when(F.col("kind") == "assignment_code", "no such assignment").otherwise("no vectors")
+    )
+    empty = requests.join(found.select("request").distinct(), "request", "left_anti").select("request", note.alias("note"))
+    return found, empty
+
+
+def retrieved(query, blocks: DataFrame, books: DataFrame | None = None, entries: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """The blocks that one typed query asks for, in reading order (a semantic one in order of nearness); another type of query is an error."""
+    spark, columns = blocks.sparkSession, _columns(query)
     if isinstance(query, PageRange):
-        found = page_range(blocks, query)
-    elif isinstance(query, CaseReference):
-        found = case_reference(blocks, query.book_id, query.name)
-    else:
-        raise TypeError(f"unknown query: {type(query).__name__}")
-    return found.orderBy(*READING, "id")
+        return page_range(blocks, query).orderBy(*READING, "id")
+    if isinstance(query, CaseReference) and query.book_id is not None:
+        return case_reference(blocks, query.book_id, query.name).orderBy(*READING, "id")
+    if isinstance(query, Semantic):
+        if vectors is None:
+            return blocks.limit(0)
+        one = spark.createDataFrame([(-1, list(query.embedding))], "vec_id long, embedding array<double>")
+        close = nearest(vectors, one, query.top_k).select("id", "rank")
+        return blocks.join(close, "id").orderBy("rank").drop("rank")
+    kinds = {"book_id": blocks.schema["book_id"].dataType.simpleString(), "corpus_id": books.schema["corpus_id"].dataType.simpleString() if books is not None else "string"}
+    row = spark.range(1).select(F.lit(0).alias("request"), *[F.lit(columns.get(c)).cast(kinds.get(c, "int" if c in ("start", "end") else "string")).alias(c) for c in REQUEST[1:]])
+    if isinstance(query, AssignmentCode) and (books is None or entries is None):
+        raise ValueError("an assignment needs the books and the entries")
+    none = spark.createDataFrame([], f"id {kinds['book_id']}, corpus_id {kinds['corpus_id']}, ingested_at timestamp") if books is None else books
+    listed = spark.createDataFrame([], f"corpus_id {kinds['corpus_id']}, code string, ranges array<struct<start:int,end:int>>") if entries is None else entries
+    found = answers(row, blocks, none, listed)[0]
+    return blocks.join(found.select("id"), "id", "left_semi").orderBy("book_id", *READING, "id")

@@ -229,6 +229,17 @@ def due(states: DataFrame, cards: DataFrame, now: str, limit: int) -> DataFrame:
     return queue.join(cards, "card")
 
 
+def due_cards(states: DataFrame, artifacts: DataFrame, now: str, limit: int) -> DataFrame:
+    """(set_id, card, payload, due_at) of the cards due first, with the card's JSON from its set (states: set_id, card, due_at; artifacts: id, content).
+
+    The limit comes before what no set has any more is dropped; of equal card ids in a set the first counts.
+    """
+    queue = states.where(F.col("due_at") <= F.lit(now).cast("timestamp_ntz")).orderBy("due_at", "set_id", "card").limit(limit).select("set_id", "card", "due_at")
+    held = queue.join(artifacts.select(F.col("id").alias("set_id"), F.from_json(F.get_json_object("content", "$.cards"), "array<string>").alias("cards")), "set_id")
+    each = held.select("set_id", "card", "due_at", F.posexplode("cards").alias("at", "payload")).where(F.get_json_object("payload", "$.id") == F.col("card"))
+    return each.groupBy("set_id", "card", "due_at").agg(F.min_by("payload", "at").alias("payload")).select("set_id", "card", "payload", "due_at")
+
+
 # -- listings -------------------------------------------------------------------------------------------
 
 

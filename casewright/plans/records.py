@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.session import scratch
-from casewright.operators import ledger, records, retrieve, study, verify
+from casewright.operators import desk, features, ledger, records, retrieve, study, verify
 from casewright.plans.queries import _SM2, _SUBJECTS, _double, _segments, query
 from casewright.sources import archive
 from casewright.sources.views import table, view, with_views
@@ -232,6 +232,83 @@ def _(spark, d):
     return good.select("id", F.lit(None).cast("string").alias("problem"), "path").unionByName(warned.withColumn("path", F.lit(None).cast("string")))
 
 
+@query(
+    "typed_answers",
+    with_views("block", "book") + """, n AS (SELECT *, sum(CASE WHEN type IN ('case_header', 'case_opinion') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY source_page, order_index, id) AS c FROM block),
+    t AS (SELECT *, max(CASE WHEN type = 'case_opinion' THEN id END) OVER (PARTITION BY book_id, c) AS opinion_id FROM n), r AS (SELECT o_orderkey AS request, o_custkey, o_orderkey % 6 AS kind FROM orders),
+    cn AS (SELECT r.request, 'Party ' || (r.request % 40) || ' v. Party ' || (r.request % 7) AS name, kind FROM r WHERE kind IN (1, 2)),
+    f AS (SELECT cn.request, arg_min(t.opinion_id, (t.book_id, t.source_page, t.order_index, t.id)) AS o FROM cn JOIN t ON t.type = 'case_opinion' AND t.case_name = cn.name AND (cn.kind = 2 OR t.book_id = cn.request) GROUP BY 1),
+    ob AS (SELECT corpus_id, arg_min(id, (ingested_at, id)) AS book_id FROM book GROUP BY 1),
+    a AS (SELECT request, block.id FROM r JOIN block ON book_id = request WHERE kind = 0 AND source_page BETWEEN 2 AND 3 UNION ALL SELECT f.request, t.id FROM f JOIN t ON t.opinion_id = f.o
+        UNION ALL SELECT r.request, block.id FROM r JOIN ob ON ob.corpus_id = r.o_custkey JOIN block USING (book_id) WHERE kind = 3 AND source_page <= 2)
+    SELECT request, id, NULL AS note FROM a UNION ALL SELECT request, NULL, CASE kind WHEN 0 THEN 'no pages in this range' WHEN 1 THEN 'no such case' WHEN 2 THEN 'no such case' WHEN 3 THEN 'no such assignment' WHEN 4 THEN 'no vectors' ELSE 'unknown query: odd' END FROM r WHERE request NOT IN (SELECT request FROM a)""",
+)
+def _(spark, d):
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    names = F.element_at(F.array(*map(F.lit, ("page_range", "case_reference", "case_reference", "assignment_code", "semantic", "odd"))), (kind + 1).cast("int"))
+    case = F.concat(F.lit("PARTY "), (key % 40).cast("string"), F.lit(" vs. Party "), (key % 7).cast("string"))
+    requests = table(spark, d, "orders").select(
+        key.alias("request"), names.alias("kind"), F.when(kind <= 1, key).alias("book_id"), F.when(kind == 0, 2).alias("start"), F.when(kind == 0, 3).alias("end"), F.when(kind.isin(1, 2), case).alias("case_name"),
+        F.when(kind == 3, F.col("o_custkey")).alias("corpus_id"), F.when(kind == 3, "A").alias("code"),
+    )
+    ranges = F.array(F.struct(F.lit(1).alias("start"), F.lit(2).alias("end")), F.struct(F.lit(2).alias("start"), F.lit(2).alias("end")))
+    entries = table(spark, d, "customer").select(F.col("c_custkey").alias("corpus_id"), F.lit("A").alias("code"), ranges.alias("ranges"))
+    found, empty = retrieve.answers(requests, view(spark, d, "block"), view(spark, d, "book"), entries)
+    return found.select("request", "id", F.lit(None).cast("string").alias("note")).unionByName(empty.select("request", F.lit(None).cast("long").alias("id"), "note"))
+
+
+@query(
+    "due_card_texts",
+    """WITH s AS (SELECT doc_id AS set_id, 'c' || CAST(doc_id % 7 AS VARCHAR) AS card, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 60 AS INTEGER)) AS due_at FROM documents WHERE doc_id % 5 <> 4),
+    q AS (SELECT * FROM s WHERE due_at <= TIMESTAMP '2024-02-01 00:00:00' ORDER BY due_at, set_id, card LIMIT 1000000)
+    SELECT set_id, card, CASE WHEN set_id % 7 < 3 THEN concat('{"id":"', card, '","front":"f', set_id, '"}') END AS payload, due_at FROM q WHERE set_id % 7 < 3 AND set_id % 11 <> 0""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("set_id"))
+    key = F.col("set_id").cast("string")
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    states = docs.where("set_id % 5 <> 4").select("set_id", F.concat(F.lit("c"), (F.col("set_id") % 7).cast("string")).alias("card"), (start + F.make_dt_interval((F.col("set_id") % 60).cast("int"))).alias("due_at"))
+    one = lambda i, front: F.concat(F.lit('{"id":"c%d","front":"' % i), front, F.lit('"}'))
+    held = F.concat(F.lit('{"cards":['), F.concat_ws(",", one(0, F.concat(F.lit("f"), key)), one(1, F.concat(F.lit("f"), key)), F.lit("7"), one(2, F.concat(F.lit("f"), key)), one(2, F.lit("again"))), F.lit("]}"))
+    sets = docs.where("set_id % 11 <> 0").select(F.col("set_id").alias("id"), held.alias("content"))
+    return study.due_cards(states, sets, "2024-02-01 00:00:00", 1_000_000)
+
+
+@query(
+    "opened_chats",
+    """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 6 AS kind FROM orders)
+    SELECT k AS request, CASE WHEN kind <= 1 THEN concat('a', k) WHEN kind IN (2, 3) THEN sha256(concat('chat|', k)) END AS id, CASE kind WHEN 0 THEN 'socratic_drill' WHEN 1 THEN 'cold_call_session' WHEN 2 THEN 'socratic_drill' WHEN 3 THEN 'cold_call_session' END AS type,
+        CASE WHEN kind <= 1 THEN concat('b', k) WHEN kind <= 3 THEN concat('n', k) END AS case_block_id, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS turns, CASE kind WHEN 4 THEN 'chat not found' WHEN 5 THEN 'not a chat: outline' END AS problem,
+        CASE WHEN kind IN (2, 3) THEN concat('[{"kind":"block","id":"n', k, '"}]') END AS sources FROM r""",
+)
+def _(spark, d):
+    key, kind, text = F.col("o_orderkey"), F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    name = lambda p: F.concat(F.lit(p), text)
+    requests = table(spark, d, "orders").select(key.alias("request"), F.lit(1).alias("corpus_id"), name("n").alias("case_block_id"), F.when(kind == 3, "cold_call").otherwise("socratic").alias("mode"), F.when(~kind.isin(2, 3), name("a")).alias("existing_id"))
+    types = F.when(kind == 0, "socratic_drill").when(kind == 1, "cold_call_session").otherwise("outline")
+    content = F.concat(F.lit('{"case_block_id":"b'), text, F.lit('"'), F.when(kind == 0, ',"history":[{"role":"student"},{"role":"professor"}],"mode":"socratic"').otherwise(""), F.lit("}"))
+    held = table(spark, d, "orders").where("o_orderkey % 6 IN (0, 1, 5)").select(name("a").alias("id"), F.lit(1).alias("corpus_id"), types.alias("type"), content.alias("content"))
+    chats, new, wrong = desk.opened(requests, held, "2024-02-01T00:00:00Z")
+    out = requests.select("request").join(chats.drop("mode"), "request", "left").join(wrong, "request", "left").join(new.select("id", "sources"), "id", "left")
+    return out.select("request", "id", "type", "case_block_id", "turns", "problem", "sources")
+
+
+@query(
+    "stored_profiles",
+    """WITH o AS (SELECT c_custkey AS k, c_custkey % 4 AS kind FROM customer)
+    SELECT k AS corpus_id, 'P' AS professor_name, CASE WHEN kind = 3 THEN 'old' ELSE concat('Course ', k) END AS course, CASE kind WHEN 0 THEN NULL WHEN 1 THEN 'old school' WHEN 2 THEN concat('S', k) ELSE 'old school' END AS school,
+        CASE kind WHEN 3 THEN NULL WHEN 2 THEN '["x","m","n"]' ELSE '["m","n"]' END AS source_artifact_paths FROM o""",
+)
+def _(spark, d):
+    key, kind, text = F.col("c_custkey"), F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    rows = table(spark, d, "customer")
+    old = rows.where("c_custkey % 4 IN (1, 3)").select(key.alias("corpus_id"), F.lit("P").alias("professor_name"), F.lit("old").alias("course"), F.lit("old school").alias("school"), *[F.lit(None).cast("string").alias(f) for f in features.PROFILE_FIELDS[2:]])
+    asked = rows.where("c_custkey % 4 <> 3").select(F.concat(F.lit("q"), text).alias("id"), key.alias("corpus_id"), F.lit("P").alias("professor_name"), F.array(F.lit("m"), F.lit("n"), F.lit("m")).alias("paths"))
+    more = F.when(kind == 2, F.concat(F.lit(',"school":"S'), text, F.lit('","source_artifact_paths":["x","m"]'))).otherwise("")
+    out = rows.where("c_custkey % 4 <> 3").select(F.concat(F.lit("q"), text).alias("id"), F.concat(F.lit('{"course":"Course '), text, F.lit('"'), more, F.lit("}")).alias("content"))
+    return features.stored_profiles(out, asked, old).select("corpus_id", "professor_name", "course", "school", "source_artifact_paths")
+
+
 # -- verification and replies ---------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from casewright.functions import schema
 from casewright.functions import text as X
-from casewright.operators import desk, ingest, ledger, patterns, replies, resolve, retrieve, segment, study, verify
+from casewright.operators import desk, ingest, ledger, patterns, profiles, replies, resolve, retrieve, segment, study, verify
 from casewright.sources import archive, store, templates
 
 
@@ -449,3 +449,37 @@ def test_speakers_titles_and_times(spark):
     assert [title('{"topic":" T ","case_name":7}'), title('{"rubric":{"case_name":"R"},"synthesis":{"topic":""}}'), title("{}")] == ["T", "R", "hypo · 12345678"]
     assert one(spark, desk.moment(F.lit("2024-01-05T00:00:00-01:00"))).isoformat() == "2024-01-05T01:00:00"
     assert one(spark, desk.moment(F.lit("soon"))) is None
+
+
+# -- compositions ---------------------------------------------------------------------------------------
+
+
+def test_typed_queries_one_at_a_time(spark):
+    blocks = spark.createDataFrame([(1, 7, 1, 0, "case_opinion", "A v. B"), (2, 7, 2, 0, "numbered_note", None), (3, 8, 1, 0, "case_opinion", "A v. B"), (4, 8, 9, 0, "header", None)], "id long, book_id long, source_page int, order_index int, type string, case_name string")
+    books = spark.createDataFrame([(7, 1, datetime.datetime(2024, 1, 2)), (8, 1, datetime.datetime(2024, 1, 1))], "id long, corpus_id long, ingested_at timestamp")
+    entries = spark.createDataFrame([(1, "X-1", [(9, 9), (None, 3)])], "corpus_id long, code string, ranges array<struct<start:int,end:int>>")
+    ids = lambda q, **more: [r.id for r in retrieve.retrieved(q, blocks, **more).collect()]
+    assert ids(retrieve.CaseReference(None, "a VS b")) == [1, 2] and ids(retrieve.CaseReference(8, "A v. B")) == [3] and ids(retrieve.CaseReference(None, "none")) == []
+    assert ids(retrieve.AssignmentCode(1, "X-1"), books=books, entries=entries) == [4] and ids(retrieve.AssignmentCode(1, "X-2"), books=books, entries=entries) == []
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert ids(retrieve.Semantic((1.0, 0.0), 2), vectors=vectors) == [1, 2] and ids(retrieve.Semantic((1.0, 0.0))) == []
+    with pytest.raises(ValueError):
+        retrieve.retrieved(retrieve.AssignmentCode(1, "X-1"), blocks)
+    with pytest.raises(TypeError):
+        retrieve.retrieved("X-1", blocks)
+
+
+def test_profiles_of_odd_payloads(spark):
+    rows = [
+        ("n", "case_brief", None), ("j", "case_brief", "no json"), ("l", "case_brief", "[1]"), ("r", "case_brief", '{"rule": {"text": "  ", "source_block_ids": ["b"]}}'), ("e", "case_brief", '{"rule": {"text": "x", "source_block_ids": []}}'),
+        ("p", "case_brief", '{"rule": {"text": "anything else (PARAPHRASE)", "source_block_ids": ["gone"]}}'), ("g", "case_brief", '{"rule": {"text": "Gold bars", "source_block_ids": ["gone", null]}}'),
+        ("u", "grade", "{}"), ("v", "grade", '{"rubric_id": "n"}'), ("w", "outline", "{}"), ("z", "grade", '{"rubric_id": "q", "per_rubric_scores": "none"}'), ("q", "rubric", '{"required_issues": "none", "required_rules": [{"id": "a"}, {"id": "a"}, 3, {"id": ""}]}'),
+    ]
+    artifacts = spark.createDataFrame(rows, "id string, type string, content string")
+    blocks = spark.createDataFrame([("b", "some words"), ("c", None)], "id string, markdown string")
+    ask = lambda profile, *ids: spark.createDataFrame([(i, profile) for i in ids], "artifact_id string, profile string")
+    got = lambda profile, *ids: {(r.artifact_id, r.severity, r.message) for r in profiles.issues(ask(profile, *ids), artifacts, blocks).collect()}
+    assert got("rule_fidelity", "n", "j", "l", "r", "e", "p", "g") == {("n", "error", "no rule"), ("j", "error", "no rule"), ("l", "error", "no rule"), ("r", "warning", "no words"), ("e", "error", "no source"), ("g", "warning", "diverges")}
+    assert got("rubric_coverage", "u", "v", "w", "z") == {("u", "error", "no rubric_id"), ("v", "error", "not a rubric: case_brief"), ("w", "error", "not a grade: outline"), ("z", "error", "not scored")}
+    assert got("issue_spotting_completeness", "q", "w") == {("q", "warning", "few issues"), ("q", "warning", "no role"), ("q", "warning", "no anti-patterns"), ("w", "error", "neither hypo nor rubric: outline")}
+    assert got("citation_grounding", "n", "j", "l") == set() and got("other", "n") == {("n", "error", "unknown profile")} and got("rule_fidelity", "absent") == {("absent", "error", "artifact not found")}
