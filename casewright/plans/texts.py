@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.session import scratch
 from casewright.operators import ingest, patterns, segment
 from casewright.plans.queries import query
 from casewright.sources.views import table
+from casewright.streaming import flows
 
 
 def _quoted(text: str) -> str:
@@ -198,3 +200,29 @@ def _(spark, d):
     toc = out["toc_entry"].groupBy(F.col("book_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("n_toc"))
     rows = out["request"].select(F.col("book_id").alias("id"), "title", "state").join(out["book"].select("id", "source_page_max"), "id", "left").join(toc, "id", "left")
     return rows.select("title", "state", "source_page_max", F.coalesce("n_toc", F.lit(0)).alias("n_toc"))
+
+
+@query(
+    "streamed_books",
+    """WITH o AS (SELECT *, o_orderkey % 3 = 0 OR o_custkey % 2 = 0 AS taken FROM orders)
+    SELECT concat('Book ', CAST(o_orderkey AS VARCHAR)) AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'new corpus' WHEN taken THEN 'known corpus' ELSE 'corpus not found' END AS state,
+    CASE WHEN taken THEN 3 END AS source_page_max, CASE WHEN taken THEN 3 ELSE 0 END AS n_pages, CASE WHEN taken THEN 7 ELSE 0 END AS n_blocks, CASE WHEN taken THEN 2 ELSE 0 END AS n_toc FROM o""",
+)
+def _(spark, d):
+    """Two thirds of the books arrive first, then all of them: each is ingested once."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("corpus"))
+    title = F.concat(F.lit("Book "), F.col("id").cast("string"))
+    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(f"p{i}.pdf").alias("path"), _filled(t).alias("markdown"), F.sha2(F.concat(title, F.lit(str(i))), 256).alias("sha256")) for i, t in enumerate(PARTS)])
+    uploads = rows.select("id", title.alias("title"), F.when(F.col("id") % 3 > 0, F.col("corpus").cast("string")).alias("corpus_id"), parts.alias("files"))
+    corpora = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"))
+    folder, out = scratch(spark, "uploads"), scratch(spark, "books")
+    for some in (uploads.where("id % 3 <> 0"), uploads):
+        some.drop("id").write.mode("append").parquet(folder)
+        flows.ingest_books(flows.follow(spark, folder), corpora, out)
+    made = flows.book_tables(spark, out)
+    count = lambda name: made[name].groupBy(F.col("book_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias(f"n_{name}"))
+    got = made["request"].select(F.col("book_id").alias("id"), "title", "state").join(made["book"].select("id", "source_page_max"), "id", "left")
+    for name in ("page", "block", "toc_entry"):
+        got = got.join(count(name), "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return got.select("title", "state", "source_page_max", zero("n_page").alias("n_pages"), zero("n_block").alias("n_blocks"), zero("n_toc_entry").alias("n_toc"))

@@ -1,4 +1,4 @@
-"""The ledger's totals and the cards' review states as streams.
+"""The ledger's totals, the cards' review states and the ingestion of books as streams.
 
 A stream is written to a table of one folder a batch, so a batch that is run again after a loss replaces its
 own folder; ``latest`` reads the last state of every key. State is bounded by the keys: one row a card, and
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from casewright.functions.session import scratch, ship
+from casewright.functions.session import cut, scratch, ship
+from casewright.operators import ingest
 from casewright.operators.study import START
+from casewright.sources.archive import book_id
 
 STATE = "ease double, interval int, reps int"
 
@@ -131,3 +133,42 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     rows = spark.read.parquet(path).drop("n")
     rest = [c for c in rows.columns if c not in (*keys, "_batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
+
+
+# -- books ----------------------------------------------------------------------------------------------
+
+UPLOAD = "title string, corpus_id string, files array<struct<part:int,path:string,markdown:string,sha256:string>>"
+BOOK_TABLES = ("request", "book", "page", "block", "toc_entry")
+
+
+def first_uploads(uploads: DataFrame) -> DataFrame:
+    """A stream of uploads (UPLOAD) without those whose files have come before: their hashes in order are the book's id, which state keeps."""
+    hashes = F.transform(F.array_sort("files"), lambda x: x["sha256"])
+    return uploads.where(F.size("files") > 0).withColumn("book_id", book_id(hashes)).dropDuplicates(["book_id"])
+
+
+def ingest_books(uploads: DataFrame, corpora: DataFrame, path: str) -> str:
+    """Ingest the uploads that are there now and return the folder of the tables, which ``book_tables`` reads.
+
+    Each batch writes its own folder of every table, and its marker last, so a batch that is run again after a loss
+    replaces what it had begun and a reader sees whole batches only. Run again over a folder to which files were added,
+    it goes on where it ended; books that came before, in whatever file, are not ingested again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch)  # read by each table
+        files = batch.select("title", "corpus_id", F.explode("files").alias("f")).select("title", "corpus_id", "f.*")
+        none = spark.createDataFrame([], "id string")
+        for name, rows in ingest.ingested(files, none, corpora).items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/n={number}")
+        spark.range(1).select(F.lit(number).alias("n")).write.mode("overwrite").json(f"{path}/batches/n={number}")
+
+    first_uploads(uploads).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return path
+
+
+def book_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of all whole batches."""
+    whole = spark.read.json(f"{path}/batches").select("n").distinct()
+    return {name: spark.read.parquet(f"{path}/{name}").join(F.broadcast(whole), "n", "left_semi").drop("n") for name in BOOK_TABLES}

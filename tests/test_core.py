@@ -459,7 +459,7 @@ def test_typed_queries_one_at_a_time(spark):
     books = spark.createDataFrame([(7, 1, datetime.datetime(2024, 1, 2)), (8, 1, datetime.datetime(2024, 1, 1))], "id long, corpus_id long, ingested_at timestamp")
     entries = spark.createDataFrame([(1, "X-1", [(9, 9), (None, 3)])], "corpus_id long, code string, ranges array<struct<start:int,end:int>>")
     ids = lambda q, **more: [r.id for r in retrieve.retrieved(q, blocks, **more).collect()]
-    assert ids(retrieve.CaseReference(None, "a VS b")) == [1, 2] and ids(retrieve.CaseReference(8, "A v. B")) == [3] and ids(retrieve.CaseReference(None, "none")) == []
+    assert ids(retrieve.CaseReference(None, "a VS b")) == [1, 2] and ids(retrieve.CaseReference(8, "A v. B")) == [3, 4] and ids(retrieve.CaseReference(None, "none")) == []
     assert ids(retrieve.AssignmentCode(1, "X-1"), books=books, entries=entries) == [4] and ids(retrieve.AssignmentCode(1, "X-2"), books=books, entries=entries) == []
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert ids(retrieve.Semantic((1.0, 0.0), 2), vectors=vectors) == [1, 2] and ids(retrieve.Semantic((1.0, 0.0))) == []

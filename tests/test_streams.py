@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewright.operators import records, study
+from casewright.operators import ingest, records, study
 from casewright.streaming import flows
 
 
@@ -70,6 +70,24 @@ def test_costs_over_batches(spark, split):
     assert sorted(map(tuple, got.select("day", "feature", "total").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_books_arrive_in_overlapping_batches_once(spark, tmp_path):
+    upload = lambda k, text="# A\\n\\nbody": (f"B{k}", None if k % 2 else "c", [(0, "p.pdf", f"1\n{text} {k}", f"h{k}")])
+    corpora = spark.createDataFrame([("c",)], "id string")
+    for i, keys in enumerate(([1, 2, 3], [2, 3, 4], [4, 4, 5, 1])):
+        spark.createDataFrame([upload(k) for k in keys] + [("empty", None, [])], flows.UPLOAD).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if i != 1:  # the second and third come as two batches of one run
+            flows.ingest_books(flows.follow(spark, f"{tmp_path}/in", 1), corpora, f"{tmp_path}/out")
+        time.sleep(1.1)
+    got = flows.book_tables(spark, f"{tmp_path}/out")
+    every = spark.createDataFrame([upload(k) for k in range(1, 6)], flows.UPLOAD).select("title", "corpus_id", F.explode("files").alias("f")).select("title", "corpus_id", "f.*")
+    want = ingest.ingested(every, spark.createDataFrame([], "id string"), corpora)
+    for name in flows.BOOK_TABLES:
+        assert sorted(map(str, got[name].select(*want[name].columns).collect())) == sorted(map(str, want[name].collect())), name
+    # a batch without its marker is not there yet
+    spark.createDataFrame([("x", "y")], "id string, title string").write.parquet(f"{tmp_path}/out/book/n=99")
+    assert flows.book_tables(spark, f"{tmp_path}/out")["book"].count() == 5
+
+
 def test_a_grade_out_of_range_is_an_error():
     assert flows.review_step(2.5, 6, 2, 4) == (2.5, 15, 3)
     assert flows.review_step(2.6, 15, 3, 2) == (2.6, 1, 0)
