@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from casewright.functions import schema
 from casewright.functions import text as X
 from casewright.operators import desk, ingest, ledger, patterns, profiles, replies, resolve, retrieve, segment, study, verify
-from casewright.sources import archive, store, templates
+from casewright.sources import archive, conversions, store, templates
 
 
 def one(spark, column):
@@ -229,6 +229,48 @@ def test_archives_are_whole_or_refused(spark, tmp_path):
         archive.restore(spark, str(tmp_path / "none"), kinds, "s")
 
 
+# -- conversions ----------------------------------------------------------------------------------------
+
+
+def test_conversions_are_cached_by_content_and_broken_entries_redone(spark, tmp_path):
+    up, cache = tmp_path / "up", tmp_path / "cache"
+    (up / "deep").mkdir(parents=True)
+    for name, content in (("a.pdf", b"one"), ("deep/b.pdf", b"two"), ("c.pdf", b"one"), ("bad.pdf", b"?")):
+        (up / name).write_bytes(content)
+    asked = []
+
+    def convert(missing):
+        rows = missing.withColumn("pages", F.when(F.col("content").cast("string") != "?", F.array(F.concat(F.lit("page "), F.col("content").cast("string")))))
+        asked.append(rows)
+        return rows
+
+    found = conversions.files(spark, str(up))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    run = lambda: {r.path.rsplit("/", 1)[-1]: (r.sha256, r.pages, r.hit) for r in conversions.converted(conversions.files(spark, str(up)), str(cache), convert).collect()}
+    first = run()
+    assert first == {"a.pdf": (sha(b"one"), ["page one"], False), "b.pdf": (sha(b"two"), ["page two"], False), "c.pdf": (sha(b"one"), ["page one"], False), "bad.pdf": (sha(b"?"), None, False)}
+    assert asked[0].count() == 3  # a content is converted once
+    assert {k: v[2] for k, v in run().items()} == {"a.pdf": True, "b.pdf": True, "c.pdf": True, "bad.pdf": False}
+    whole = "".join(p.read_text() for p in cache.glob("*.json"))
+    for p in [*cache.glob("*.json"), *cache.glob(".*.crc")]:
+        p.unlink()
+    lines = [x for x in whole.splitlines() if sha(b"one") in x]
+    torn = lines[0][: len(lines[0]) // 2]
+    spoiled = next(x for x in whole.splitlines() if sha(b"two") in x).replace("page two", "page 2")
+    (cache / "part-x.json").write_text("\n".join([torn, spoiled, "no json", '{"sha256": "x"}', ""]))
+    again = run()
+    assert {k: v[2] for k, v in again.items()} == dict.fromkeys(again, False) and {k: v[1] for k, v in again.items()} == {k: v[1] for k, v in first.items()}
+    assert conversions.cached(spark, str(cache)).count() == 2
+    (up / f"{sha(b'one')}.pdf").write_bytes(b"one")
+    (up / f"{sha(b'one')}.pdf.part").write_bytes(b"12345")
+    live = spark.createDataFrame([(sha(b"one"),)], "hash string")
+    found = conversions.files(spark, str(up))
+    names = {r["name"] for r in conversions.unneeded(found, live).collect()}
+    assert names == {"a.pdf", "b.pdf", "c.pdf", "bad.pdf", f"{sha(b'one')}.pdf.part"}
+    assert conversions.removed(found, live) == (5, 15) and (up / "a.pdf").exists()
+    assert conversions.removed(found, live, dry_run=False) == (5, 15) and sorted(p.name for p in up.rglob("*.*")) == [f"{sha(b'one')}.pdf"]
+
+
 # -- the stored table -----------------------------------------------------------------------------------
 
 
