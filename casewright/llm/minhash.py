@@ -159,7 +159,7 @@ def _one_edge_each(alive: DataFrame, seed: int, n: int, similarity: int) -> tupl
     return rows, one.select("e.hub", "e.hub_label", "node", "e.label")
 
 
-def _relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
+def _relabelled(rows: DataFrame, met: DataFrame, n: int) -> DataFrame:
     """The rows with each label replaced by the least that is linked to it, and that one's by its own least.
 
     Labels may stay finer than components for a round or two, which costs comparisons but loses none.
@@ -167,7 +167,8 @@ def _relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
     both = met.select(F.col("label").alias("a"), F.col("hub_label").alias("b"))
     least = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).where("b < a")
     further = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("label"), F.coalesce("c", "b").alias("_to"))
-    return rows.join(further, "label", "left").withColumn("label", F.coalesce("_to", "label"))
+    every = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).join(further, "label", "left").select("label", F.coalesce("_to", "label").alias("_to"), "_n")
+    return _spread(rows, every, ["label"], n).withColumn("label", F.col("_to"))
 
 
 def _settled(similarity: int):
@@ -238,7 +239,7 @@ def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
         edges = stored(edges)
         found = stored(linked(edges, sets, edges.count(), similarity).where("linked"))
         links.append(found.select("node", "hub"))
-        left = stored(_relabelled(rows, found).select("bucket", "node", "size", "label"))
+        left = stored(_relabelled(rows, found, n).select("bucket", "node", "size", "label"))
         drop(edges, alive, rows)
         alive = left
     span = alive.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").drop("lo", "hi")
