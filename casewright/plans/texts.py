@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions import text as X
 from casewright.functions.session import scratch
-from casewright.operators import ingest, patterns, segment
+from casewright.operators import ingest, patterns, segment, study
 from casewright.plans.queries import query
 from casewright.sources.views import table
 from casewright.streaming import flows
@@ -226,3 +227,46 @@ def _(spark, d):
         got = got.join(count(name), "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return got.select("title", "state", "source_page_max", zero("n_page").alias("n_pages"), zero("n_block").alias("n_blocks"), zero("n_toc_entry").alias("n_toc"))
+
+
+# -- texts, by their values -----------------------------------------------------------------------------
+
+
+@query(
+    "snippets",
+    """WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS text, strpos(lower(coalesce(text, '')), 'thin th') AS hit, length(coalesce(text, '')) AS n FROM documents), u AS (SELECT *, greatest(hit - 120, 1) AS a, least(hit - 1 + 7 + 120, n) AS b FROM t)
+    SELECT id, CASE WHEN n = 0 THEN '' WHEN hit > 0 THEN trim(replace(concat(CASE WHEN a > 1 THEN '…' ELSE '' END, substr(text, a, b - a + 1), CASE WHEN b < n THEN '…' ELSE '' END), chr(10), ' '))
+        ELSE concat(trim(replace(substr(text, 1, 240), chr(10), ' ')), CASE WHEN n > 240 THEN '…' ELSE '' END) END AS snippet FROM u""",
+)
+def _(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.snippet(F.col("text"), "Thin TH").alias("snippet"))
+
+
+@query("word_counts", "SELECT doc_id AS id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\f\\r\\v]+'), lambda x: x <> '')) AS INTEGER) AS n FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.word_count(F.coalesce("text", F.lit(""))).alias("n"))
+
+
+@query(
+    "switched_off_patterns",
+    "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN concat('p', o_custkey % 5, ',q') WHEN 1 THEN '' WHEN 2 THEN concat('p', o_custkey % 5) ELSE 'none' END AS names FROM orders",
+)
+def _(spark, d):
+    kind, name = F.col("o_orderkey") % 4, F.concat(F.lit("p"), (F.col("o_custkey") % 5).cast("string"))
+    peeves = F.concat(F.lit('{"pet_peeves":[{"name":"'), name, F.lit('","disabled":'), F.when(kind == 1, "false").otherwise("true"), F.lit('},{"name":"x"},{"name":"q","disabled":'), F.when(kind == 0, "true").otherwise("false"), F.lit("}]}"))
+    profile = F.parse_json(F.when(kind == 3, F.lit('{"course":"none"}')).otherwise(peeves))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.array_join(patterns.disabled(profile), ","), F.lit("none")).alias("names"))
+
+
+@query(
+    "hypothetical_summaries",
+    """SELECT conv_id AS transcript_id, concat('Case ', turn % 2) AS label, coalesce(string_agg(substr(text, 1, 80), '|' ORDER BY turn) FILTER (turn % 3 <> 1 AND text IS NOT NULL), '') AS summaries, count(*) FILTER (turn % 3 <> 1) AS n FROM conversations GROUP BY 1, 2""",
+)
+def _(spark, d):
+    none = F.array().cast("array<string>")
+    rows = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("transcript_id"), F.col("turn").alias("order_index"), F.col("text").alias("content"), F.array(F.concat(F.lit("Case "), (F.col("turn") % 2).cast("string"))).alias("mentioned_cases"), none.alias("mentioned_rules"), none.alias("mentioned_concepts"),
+        F.when(F.col("turn") % 3 != 1, F.array(F.lit("professor_hypothetical"))).alias("sentiment_flags"), F.lit(0).alias("start_char"), F.lit(10).alias("end_char"),
+    )
+    got = study.subject_features(rows)
+    return got.select("transcript_id", "label", F.array_join("hypotheticals_run", "|").alias("summaries"), F.size("hypotheticals_run").cast("long").alias("n"))
