@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.session import scratch
-from casewright.operators import ledger, patterns, resolve, retrieve, segment, study, verify
+from casewright.operators import cells, ledger, patterns, resolve, retrieve, segment, study, verify
 from casewright.sources import store
 from casewright.sources.views import table, view, with_views
 
@@ -140,6 +140,15 @@ def _(spark, d):
     return study.largest_book(view(spark, d, "book"))
 
 
+@query("vectors_by_cells")
+def _(spark, d):
+    """Approximate, so without SQL: its recall against ``nearest_vectors`` is tested."""
+    vectors = table(spark, d, "embeddings")
+    c = cells.centres(vectors)
+    held = cells.index(vectors, c)
+    return cells.near(held, c, vectors.where("vec_id % 50 = 0"), probes=cells.probes_for(held, c, vectors))
+
+
 @query(
     "nearest_vectors",
     """SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) AS cosine,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from casewright.functions import schema
 from casewright.functions import text as X
-from casewright.operators import desk, ingest, ledger, patterns, profiles, replies, resolve, retrieve, segment, study, verify
+from casewright.operators import cells, desk, ingest, ledger, patterns, profiles, replies, resolve, retrieve, segment, study, verify
 from casewright.sources import archive, conversions, store, templates
 
 
@@ -271,6 +271,31 @@ def test_conversions_are_cached_by_content_and_broken_entries_redone(spark, tmp_
     assert conversions.removed(found, live, dry_run=False) == (5, 15) and sorted(p.name for p in up.rglob("*.*")) == [f"{sha(b'one')}.pdf"]
 
 
+# -- cells ----------------------------------------------------------------------------------------------
+
+
+def test_cells_cover_every_row_and_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(cells, "ROWS", 50)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(-1, None), (-2, [0.0] * 64)], "vec_id long, embedding array<float>")
+    vectors = vectors.unionByName(odd)
+    c = cells.centres(vectors, sample=1000)
+    held = cells.index(vectors, c).cache()
+    assert held.count() == vectors.count() - 1 and held.groupBy("cell", "block").count().agg(F.max("count")).first()[0] < 150
+    query = vectors.where("vec_id % 50 = 0 AND vec_id >= 0")
+    probes = cells.probes_for(held, c, vectors)
+    assert 1 <= probes < len(c)
+    found = cells.near(held, c, query, probes=probes).cache()
+    assert cells.recall(found, vectors, query) >= 0.9
+    exact = {(r.qid, r.id): r.cosine for r in retrieve.nearest(vectors, query, 2000).collect()}
+    assert all(exact[r.qid, r.id] == r.cosine for r in found.collect())
+    every = cells.near(held, c, query, probes=len(c))
+    assert cells.recall(every, vectors, query) == 1.0
+    none = vectors.limit(0)
+    c = cells.centres(none)
+    assert cells.near(cells.index(none, c), c, query.limit(0)).count() == 0
+
+
 # -- the stored table -----------------------------------------------------------------------------------
 
 
