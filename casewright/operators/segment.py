@@ -249,7 +249,8 @@ def toc(marked: DataFrame) -> DataFrame:
     page = F.when(body.rlike(ROW), F.regexp_extract(body, ROW, 2)).otherwise(F.regexp_extract(body, PIPE, 2))
     indent = F.length("text") - F.length(F.regexp_replace("text", "^ +", ""))
     level = F.when(hashes > 0, hashes).otherwise(F.least(1 + F.floor(indent / 4), F.lit(6)))
-    after = F.col("line") > F.col("start")
+    # without a contents block no line is a row, also where every line looks like one
+    after = F.coalesce(F.col("line") > F.col("start"), F.lit(False))
     df = df.withColumns({"hashes": hashes, "is_row": is_row & after & (title != ""), "row_title": title, "row_page": F.expr("NULL").cast("int"), "row_level": level.cast("int")})
     df = df.withColumn("row_page", F.when(F.col("is_row"), page).cast("int"))
     # a heading that is no row ends the block once there are rows
