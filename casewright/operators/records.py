@@ -48,10 +48,14 @@ def tasks(rows: DataFrame, limit: int = 50, **equal) -> DataFrame:
 
 
 def moved(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Tasks (id, status, error) after the asked changes (id, to, message), one a task; finished tasks stay as they are."""
-    df = rows.join(asked.select("id", "to", "message"), "id", "left")
+    """Tasks (id, status, error) after the asked changes (id, to, message), one a task; finished tasks stay as they are.
+
+    Messages may be far larger than the files that they are estimated by, so no side is broadcast; only what is kept of them is moved.
+    """
+    kept = F.when(F.col("to") == "failed", F.left("message", F.lit(ERROR_CHARS)))
+    df = rows.join(asked.select("id", "to", kept.alias("message")).hint("merge"), "id", "left")
     go = F.col("to").isNotNull() & ~F.col("status").isin(*TERMINAL)
-    error = F.when(go & (F.col("to") == "failed"), F.left("message", F.lit(ERROR_CHARS))).otherwise(F.col("error"))
+    error = F.when(go & (F.col("to") == "failed"), F.col("message")).otherwise(F.col("error"))
     return df.withColumns({"error": error, "status": F.when(go, F.col("to")).otherwise(F.col("status"))}).drop("to", "message")
 
 

@@ -17,3 +17,11 @@ def test_a_book_of_one_line_like_a_contents_row_keeps_its_heading(spark):
     books = spark.createDataFrame([(1, "# A total of . . 7"), (2, "# x | 3"), (3, "# plain")], "book_id long, markdown string")
     got = segment.toc(segment.page_markers(books)).select("book_id", "title", "source_page").collect()
     assert sorted(map(tuple, got)) == [(1, "A total of . . 7", 0), (2, "x | 3", 0), (3, "plain", 0)]
+
+
+def test_messages_of_task_changes_are_not_broadcast(spark):
+    rows = spark.range(3).select("id", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"))
+    asked = spark.range(2).select("id", F.when(F.col("id") == 0, "failed").otherwise("cancelled").alias("to"), F.repeat(F.lit("no "), 900).alias("message"))
+    out = records.moved(rows, asked)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {r.id: (r.status, len(r.error or "")) for r in out.collect()} == {0: ("failed", 2000), 1: ("cancelled", 0), 2: ("queued", 0)}
