@@ -240,8 +240,13 @@ def answers(requests: DataFrame, blocks: DataFrame, books: DataFrame, entries: D
     trails = case_trails(blocks).withColumn("_case", equal_name(F.col("case_name")))
     named = trails.where("type = 'case_opinion'").select(F.col("book_id").alias("_book"), "_case", "opinion_id", *READING)
     asked = of("case_reference").select("request", "book_id", equal_name(F.col("case_name")).alias("_asked"))
-    held = asked.join(named, (F.col("_case") == F.col("_asked")) & (F.col("book_id").isNull() | (F.col("book_id") == F.col("_book"))))
-    first = held.groupBy("request").agg(F.min_by("opinion_id", F.struct("_book", *READING, "opinion_id")).alias("opinion_id"))
+    # the first of each name, in a book and in all, is found before requests meet it: as many rows as names, not requests times opinions
+    order = F.struct("_book", *READING, "opinion_id")
+    in_book = named.groupBy("_book", "_case").agg(F.min(order).alias("_first"))
+    anywhere = in_book.groupBy("_case").agg(F.min("_first").alias("_first"))
+    one = asked.where("book_id IS NOT NULL").join(in_book, (F.col("_case") == F.col("_asked")) & (F.col("book_id") == F.col("_book")))
+    every = asked.where("book_id IS NULL").join(anywhere, F.col("_case") == F.col("_asked"))
+    first = one.select("request", "_first.opinion_id").unionByName(every.select("request", "_first.opinion_id"))
     cases = first.join(trails.select("opinion_id", "id"), "opinion_id").select("request", "id")
     codes = of("assignment_code").select("request", "corpus_id", "code").join(entries.select("corpus_id", "code", "ranges"), ["corpus_id", "code"])
     assigned = assignment_blocks(codes.select("corpus_id", F.col("request").alias("code"), "ranges"), blocks, books).select(F.col("code").alias("request"), "id")

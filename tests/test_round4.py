@@ -25,3 +25,15 @@ def test_messages_of_task_changes_are_not_broadcast(spark):
     out = records.moved(rows, asked)
     assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
     assert {r.id: (r.status, len(r.error or "")) for r in out.collect()} == {0: ("failed", 2000), 1: ("cancelled", 0), 2: ("queued", 0)}
+
+
+def test_first_opinions_are_found_before_requests_meet_them(spark):
+    blocks = spark.createDataFrame([(10, 2, 1, 0, "case_opinion", "A v. B", "m"), (11, 2, 1, 1, "narrative_text", "A v. B", "m"), (20, 1, 5, 0, "case_opinion", "a vs. B", "m"), (21, 1, 2, 0, "case_opinion", "A v. B", "m")], "id long, book_id long, source_page long, order_index int, type string, case_name string, markdown string")
+    books = spark.createDataFrame([], "id long, corpus_id long, ingested_at timestamp")
+    entries = spark.createDataFrame([], "corpus_id long, code string, ranges array<struct<start:int,end:int>>")
+    asked = spark.createDataFrame([(1, "case_reference", None, "A V. B"), (2, "case_reference", 2, "a v. b"), (3, "case_reference", 3, "a v. b"), (4, "case_reference", None, "x")], "request long, kind string, book_id long, case_name string")
+    asked = asked.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int"), "corpus_id": F.lit(None).cast("long"), "code": F.lit(None).cast("string")})
+    found, empty = retrieve.answers(asked, blocks, books, entries)
+    assert "OR (book_id" not in optimized(found) and "isnull(book_id" in optimized(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 21), (2, 10), (2, 11)]
+    assert sorted(r.request for r in empty.collect()) == [3, 4]
