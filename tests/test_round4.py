@@ -37,3 +37,9 @@ def test_first_opinions_are_found_before_requests_meet_them(spark):
     assert "OR (book_id" not in optimized(found) and "isnull(book_id" in optimized(found)
     assert sorted(map(tuple, found.collect())) == [(1, 21), (2, 10), (2, 11)]
     assert sorted(r.request for r in empty.collect()) == [3, 4]
+
+
+def test_chats_of_equal_texts_get_their_own_replies(spark, tmp_path):
+    spark.createDataFrame([(c, t, r, "same") for c in (1, 2, 3) for t, r in ((0, "user"), (1, "assistant"))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = plans.QUERIES["chat_turns"](spark, str(tmp_path)).select("chat_id", "content", "turn_index").collect()
+    assert sorted(map(tuple, got)) == [(1, "Q1", 2), (2, "Q2", 2), (3, "Q3", 2)]
