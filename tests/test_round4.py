@@ -43,3 +43,22 @@ def test_chats_of_equal_texts_get_their_own_replies(spark, tmp_path):
     spark.createDataFrame([(c, t, r, "same") for c in (1, 2, 3) for t, r in ((0, "user"), (1, "assistant"))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = plans.QUERIES["chat_turns"](spark, str(tmp_path)).select("chat_id", "content", "turn_index").collect()
     assert sorted(map(tuple, got)) == [(1, "Q1", 2), (2, "Q2", 2), (3, "Q3", 2)]
+
+
+def test_a_generate_step_reads_its_requests_once(spark):
+    asked = spark.range(7, 10).select(
+        "id", F.lit(1).cast("long").alias("corpus_id"), F.lit("t").alias("template"), replies.schema_column('{"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 1}}}'),
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"), F.lit("m").alias("model"), F.array().cast("array<string>").alias("block_ids"), F.lit("").alias("case_name"),
+    )
+    from casewright.sources.archive import cache_key
+
+    key = lambda p: spark.range(1).select(cache_key(F.lit("t"), F.lit("m"), F.lit(p), F.lit(0.2)).alias("k")).first().k
+    retry = spark.range(1).select(replies.retry_message(F.lit("p8"), F.lit('{"n": 0}'), F.array(F.lit("- n: under minimum 1"))).alias("m")).first().m
+    replay = spark.createDataFrame([(key("p7"), '{"n": 5}', 10, 1), (key("p8"), '{"n": 0}', 10, 1), (key(retry), '{"n": 2}', 30, 3)], "cache_key string, reply string, input_tokens int, output_tokens int")
+    none = spark.createDataFrame([], "id string, corpus_id long, cache_key string, created_at timestamp_ntz, content string")
+    out = replies.generate(asked, replay, none)
+    assert optimized(out).count("Range (7, 10") == 1
+    got = {r.id: (r.status, r.attempts, r.content, r.input_tokens, list(r.problems), r.artifact_id is None) for r in out.collect()}
+    assert got == {
+        7: ("made", 1, '{"n":5,"sources":[]}', 10, [], False), 8: ("made", 2, '{"n":2,"sources":[]}', 30, [], False), 9: ("unrecorded", 1, None, 0, [], True),
+    }
