@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewright.operators import records, replies, retrieve, segment
 from casewright.plans import queries as plans
 from casewright.plans import features  # noqa: F401
+from casewright.sources import archive
 
 
 def optimized(df):
@@ -62,3 +63,24 @@ def test_a_generate_step_reads_its_requests_once(spark):
     assert got == {
         7: ("made", 1, '{"n":5,"sources":[]}', 10, [], False), 8: ("made", 2, '{"n":2,"sources":[]}', 30, [], False), 9: ("unrecorded", 1, None, 0, [], True),
     }
+
+
+def test_citations_of_all_columns_are_put_back_in_one_pass(spark):
+    deep = '{"sources": ["b1", {"kind": "page", "id": "p1", "x": {"source_block_ids": ["b1", 4, "zz", {"source_page_ids": ["p1"]}]}}, 5], "n": 1}'
+    rows = spark.createDataFrame([("a", deep, '["b1", {"id": "b1"}]'), ("b", "no json", '[{"kind":"page","id":"p1"}]'), ("c", '{"source_block_ids": [ "gone" ]}', None), ("d", None, "[")], "id string, content string, sources string")
+    known = spark.createDataFrame([("block", "b1"), ("block", "b1"), ("page", "p1"), ("block", "p1")], "kind string, ref string")
+    out = archive.rekeyed(rows, ("content", "sources"), known, lambda c: F.concat(F.lit("new "), c))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one to find and one to put back, for both columns
+    new = '{"sources":["new b1",{"kind":"page","id":"new p1","x":{"source_block_ids":["new b1",4,"zz",{"source_page_ids":["new p1"]}]}},5],"n":1}'
+    got = sorted(map(tuple, out.collect()))
+    assert got == [("a", new, '["new b1",{"id":"new b1"}]'), ("b", "no json", '[{"kind":"page","id":"new p1"}]'), ("c", '{"source_block_ids": [ "gone" ]}', None), ("d", None, "[")]
+
+
+def test_an_export_is_not_sorted_and_leaves_the_session_as_it_was(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    held = {"corpus": spark.createDataFrame([("1", "x")], "id string, name string"), "book": spark.createDataFrame([("b", "1")], "id string, corpus_id string")}
+    archive.export(held, None, str(tmp_path / "a"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    lines = spark.read.text(str(tmp_path / "a/rows")).groupBy("table").count().collect()
+    assert sorted(map(tuple, lines)) == [("book", 1), ("corpus", 1)]
