@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import records, replies, retrieve, segment
+from casewright.operators import patterns, records, replies, retrieve, segment
 from casewright.plans import queries as plans
 from casewright.plans import features  # noqa: F401
+from casewright.functions import text as X
 from casewright.sources import archive
 
 
@@ -84,3 +85,75 @@ def test_an_export_is_not_sorted_and_leaves_the_session_as_it_was(spark, tmp_pat
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
     lines = spark.read.text(str(tmp_path / "a/rows")).groupBy("table").count().collect()
     assert sorted(map(tuple, lines)) == [("book", 1), ("corpus", 1)]
+
+
+def test_positions_of_matches_are_found_without_a_pattern_a_row(spark):
+    rows = spark.createDataFrame([("clearly, and Clearly",), ("un\x00clearly clearly\x00",), ("\U0001f600 clearly",), ("none",)], "t string").coalesce(1)
+    text = F.col("t")
+    out = rows.select(F.transform(X.all_matches(text, patterns.CLEARLY), lambda m: m["at"]).alias("all"), X.first_match(text, patterns.CLEARLY)["at"].alias("first"), segment.lines(text).alias("lines"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
+    assert [(list(r["all"]), r["first"]) for r in out.collect()] == [([0, 13], 0), ([3, 11], 3), ([2], 2), ([], None)]
+    ends = spark.createDataFrame([("a\r\nb\u2028\nc\r",), ("\n",), ("",)], "t string").coalesce(1)
+    assert [r[0] for r in ends.select(segment.lines(F.col("t"))).collect()] == [["a", "b", "", "c"], [""], [""]]
+
+
+def test_each_trigger_holds_one_of_its_words():
+    said = {
+        "hedge_without_resolution": ["it depends  on the facts", "It's ultimately a fact question", "the court would need to evaluate the facts"], "clearly_as_argument_substitution": ["CLEARLY"], "no_arguing_in_the_alternative": ["could be argued that", "one might\nargue"],
+        "rule_recited_not_applied": ["rule is", "doctrine holds", "the Test", "the standard"], "conclusion_mismatches_analysis": ["In  sum, x"], "mismatched_future_interests": ["contingent remainder", "Indefeasibly vested", "subject to complete divestment"],
+        "read_the_prompt": ["I would argue", "My client", "we should"], "ny_adverse_possession_reasonable_basis": ["thought he owned"],
+    }
+    assert set(patterns.WORDS) == set(patterns.TRIGGERS) == set(said)
+    for name, texts in said.items():
+        assert all(any(w in t.lower() for w in patterns.WORDS[name]) for t in texts), name
+
+
+def test_a_group_is_tried_with_the_patterns_that_can_fit_it(monkeypatch):
+    tried = []
+
+    class Pattern:
+        def __init__(self, name, own):
+            self.name, self.own = name, own
+
+        def match(self, text):
+            tried.append(self.name)
+            return self.own.match(text)
+
+    for name in ("CASE", "NOTES", "NUMBERED", "ALIGN", "FIGURE", "HEADING"):
+        monkeypatch.setattr(segment, name, Pattern(name, getattr(segment, name)))
+    assert [segment._kind(g) for g in ("plain words", "> q", "1. x", "# h", "Ab v. Bc")] == ["narrative_text", "block_quote", "numbered_note", "header", "case"]
+    assert tried == ["NUMBERED", "NOTES", "HEADING", "CASE"]
+
+
+def test_a_schema_is_read_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    schema, read = '{"type": "object", "required": ["a"]}', []
+    loads = replies.json.loads
+    monkeypatch.setattr(replies.json, "loads", lambda t: read.append(t) or loads(t))
+    columns = [["{}"] * 5, ["t"] * 5, [schema] * 5, [["b"]] * 5, [""] * 5, list(range(5))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_p", "_t", "_s", "_i", "_c", "id"])
+    got = list(replies._repairer(set())([batch]))[0].to_pydict()
+    assert read.count(schema) == 1 and got["content"] == ['{"a":null,"sources":[]}'] * 5
+
+
+def test_nearest_compares_few_queries_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    made = np.random.default_rng(1).integers(-3, 4, (700, 5)).astype("float32")
+    made[7] = 0
+    rows = lambda at: pa.table({"vec_id": pa.array(at, pa.int64()), "embedding": pa.array([made[i].tolist() for i in at], pa.list_(pa.float32()))})
+    sizes, rounded = [], np.round
+    monkeypatch.setattr(np, "round", lambda x, n: sizes.append(x.shape[0]) or rounded(x, n))
+    asked, order = list(range(0, 700, 2)), list(range(699, -1, -1))
+    got = retrieve._closest(3)(rows(asked), rows(order)).to_pylist()
+    assert max(sizes) <= retrieve.AT_ONCE < len(asked) and sum(sizes) == len(asked)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = made.astype(float) / np.linalg.norm(made.astype(float), axis=1)[:, None]
+    want = []
+    for q in asked:
+        cosine = [(-rounded(float(unit[q] @ unit[i]), 6), i) for i in range(700) if i != q and 7 not in (i, q)]
+        want += [(q, i, -c) for c, i in sorted(cosine)[:3]]
+    assert [(r["qid"], r["id"], r["cosine"]) for r in got] == want
