@@ -7,6 +7,7 @@ run in Python on Arrow batches, one book or page a row: the longest marker chain
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,9 @@ from casewright.functions.text import LINE_END, raw_text
 
 def lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end opens no further line."""
-    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
+    # one line end for all, as a split by a pattern compiles it for every row
+    ends = F.regexp_replace(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, "\n")
+    return F.split(ends, "\n", -1)
 
 
 def numeric_lines(markdown: Column) -> Column:
@@ -133,18 +136,31 @@ def _court(group: str) -> dict:
 
 def _kind(group: str) -> str:
     """What a group is by itself, by the first shape that fits."""
-    first = group.splitlines()[0] if group else ""
-    rows = [x for x in group.splitlines() if x.strip()]
-    tests = (
-        ("case", CASE.match(first)), ("notes", NOTES.match(group)), ("numbered_note", NUMBERED.match(group)), ("problem", PROBLEM.match(first)),
-        ("table", len(rows) > 1 and any("|" in r for r in rows[:1]) and ALIGN.match(rows[1])), ("figure", len(rows) == 1 and FIGURE.match(group.strip())),
-        ("block_quote", rows and all(r.lstrip().startswith(">") for r in rows)), ("header", HEADING.match(group.strip()) if len(rows) == 1 else None),
-    )
-    return next((k for k, hit in tests if hit), "narrative_text")
+    lines = group.splitlines()
+    first, start = lines[0] if lines else "", group.lstrip()[:1]
+    # a pattern is tried only where its first character is there
+    if "v." in first and CASE.match(first):
+        return "case"
+    if start in ("#", "*", "N", "n") and NOTES.match(group):
+        return "notes"
+    if start.isdecimal() and NUMBERED.match(group):
+        return "numbered_note"
+    if PROBLEM.match(first):
+        return "problem"
+    rows = [x for x in lines if x.strip()]
+    if len(rows) > 1 and "|" in rows[0] and ALIGN.match(rows[1]):
+        return "table"
+    if len(rows) == 1 and start == "!" and FIGURE.match(group.strip()):
+        return "figure"
+    if rows and all(r.lstrip().startswith(">") for r in rows):
+        return "block_quote"
+    return "header" if len(rows) == 1 and start == "#" and HEADING.match(group.strip()) else "narrative_text"
 
 
 def segment(page: str) -> list[tuple[str, str, dict]]:
     """(type, markdown, metadata) of a page's blocks in order; an empty page has one empty narrative block."""
+    if not page:
+        return [("narrative_text", "", {})]
     groups = [g for g in re.split(r"\n[ \t]*(?:\n[ \t]*)+", "\n".join(page.splitlines()).strip("\n")) if g.strip()]
     kinds = [_kind(g) for g in groups]
     # footnotes: the run of numbered groups at the end, if a rule stands before it
@@ -203,17 +219,16 @@ def segment(page: str) -> list[tuple[str, str, dict]]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import json
-
+    names = ["book_id", "source_page", "order_index", "type", "markdown", "metadata"]
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for book, page, md in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        cols: list[list] = [[] for _ in range(5)]
+        for row, md in enumerate(batch.column(2).to_pylist()):
             for i, (kind, text, meta) in enumerate(segment(md or "")):
-                for c, v in zip(cols, (book, page, i, kind, text, json.dumps(meta, sort_keys=True)), strict=True):
+                for c, v in zip(cols, (row, i, kind, text, json.dumps(meta, sort_keys=True) if meta else "{}"), strict=True):
                     c.append(v)
-        types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        names = ["book_id", "source_page", "order_index", "type", "markdown", "metadata"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        of = pa.array(cols[0], pa.int64())
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True))], names)
 
 
 def blocks(pages: DataFrame) -> DataFrame:
