@@ -137,7 +137,7 @@ def linked(edges: DataFrame, sets: DataFrame, n: int, similarity: int = SIMILARI
     A hub's edges are dealt to tasks of about STAR; its set is sent once to each of them.
     """
     count = F.count(F.lit(1))
-    degrees = edges.groupBy("hub").agg(F.ceil(count / F.lit(STAR)).cast("int").alias("parts"), count.alias("_n"))
+    degrees = stored(edges.groupBy("hub").agg(F.ceil(count / F.lit(STAR)).cast("int").alias("parts"), count.alias("_n")))
     centres = degrees.join(sets.select(F.col("node").alias("hub"), F.col("members").alias("centre")), "hub")
     centres = centres.select("hub", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "centre")
     tagged = _spread(edges, degrees, ["hub"], n)
@@ -151,8 +151,9 @@ def _one_edge_each(alive: DataFrame, seed: int, n: int, similarity: int) -> tupl
     drawn = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "label")
     parts = alive.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("pick"))
     hubs = parts.groupBy("bucket").agg(F.max(F.struct("n", "pick")).alias("top"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    hubs = hubs.select("bucket", "_n", F.col("top.pick.h").alias("drawn"), F.col("top.pick.node").alias("hub"), F.col("top.pick.size").alias("hub_size"), F.col("top.pick.label").alias("hub_label"))
+    hubs = stored(hubs.select("bucket", "_n", F.col("top.pick.h").alias("drawn"), F.col("top.pick.node").alias("hub"), F.col("top.pick.size").alias("hub_size"), F.col("top.pick.label").alias("hub_label")))
     rows = stored(_spread(alive, hubs, ["bucket"], n))
+    drop(hubs)
     away = rows.where((F.col("label") != F.col("hub_label")) & _may_link(F.col("size"), F.col("hub_size"), similarity))
     # the same hub for as many as can be
     one = away.groupBy("node").agg(F.max(F.struct("drawn", "hub", "hub_label", "label")).alias("e"))
@@ -165,9 +166,10 @@ def _relabelled(rows: DataFrame, met: DataFrame, n: int) -> DataFrame:
     Labels may stay finer than components for a round or two, which costs comparisons but loses none.
     """
     both = met.select(F.col("label").alias("a"), F.col("hub_label").alias("b"))
-    least = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    least = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).where("b < a"))
     further = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("label"), F.coalesce("c", "b").alias("_to"))
-    every = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).join(further, "label", "left").select("label", F.coalesce("_to", "label").alias("_to"), "_n")
+    every = stored(rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).join(further, "label", "left").select("label", F.coalesce("_to", "label").alias("_to"), "_n"))
+    drop(least)
     return _spread(rows, every, ["label"], n).withColumn("label", F.col("_to"))
 
 
@@ -209,7 +211,7 @@ def _clusters(alive: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     is two blocks, one of the former at least.
     """
     count = F.count(F.lit(1))
-    hubs = alive.groupBy("bucket").agg(F.min("node").alias("hub"), count.alias("_n"))
+    hubs = stored(alive.groupBy("bucket").agg(F.min("node").alias("hub"), count.alias("_n")))
     n = alive.count()
     stars_ = _spread(alive, hubs, ["bucket"], n).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     inside = stored(components(stars_).join(alive.select("node", "size", "label").distinct(), "node"))
@@ -217,7 +219,7 @@ def _clusters(alive: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     parts = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_VALUES)).cast("int")
     labels = inside.groupBy("root", "label").agg(count.alias("n"), F.sum("size").alias("values"))
     whole = labels.groupBy("root").agg(F.max(F.struct("n", "label", "values")).alias("top"), F.sum("n").alias("_n"), F.sum("values").alias("values"))
-    whole = whole.select("root", "_n", F.col("top.label").alias("top"), parts(F.col("top.n"), F.col("top.values")).alias("mains"), parts(F.col("_n") - F.col("top.n"), F.col("values") - F.col("top.values")).alias("others"))
+    whole = stored(whole.select("root", "_n", F.col("top.label").alias("top"), parts(F.col("top.n"), F.col("top.values")).alias("mains"), parts(F.col("_n") - F.col("top.n"), F.col("values") - F.col("top.values")).alias("others")))
     dealt = _spread(inside, whole, ["root"], n).withColumn("main", F.col("label") == F.col("top"))
     own = F.when(F.col("main"), -1 - F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
@@ -242,7 +244,7 @@ def united(alive: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
         left = stored(_relabelled(rows, found, n).select("bucket", "node", "size", "label"))
         drop(edges, alive, rows)
         alive = left
-    span = alive.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").drop("lo", "hi")
+    span = stored(alive.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").drop("lo", "hi"))
     alive = stored(_spread(alive, span, ["bucket"], 1 << 30))
     if not alive.isEmpty():
         links.append(stored(_clusters(alive, sets, similarity)))
@@ -262,17 +264,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     buckets = groups.select("node", "size", F.explode("bands").alias("bucket"))
     print_of = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     held = buckets.groupBy("bucket").agg(count.alias("_n"), F.min("node").alias("low"), F.max("node").alias("high"), *print_of).where("_n > 1")
-    held = held.groupBy("_n", "low", "high", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "_n")
+    held = held.groupBy("_n", "low", "high", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    held = stored(held.select("bucket", "_n"))  # planned once, as are the tables below that a join reads twice
     alive = stored(_spread(buckets, held, ["bucket"], BANDS * groups.count()))
     wanted = groups.select("node", "first.row_key").join(alive.select("node").distinct(), "node")
     texts = keyed.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text")
     sets = stored(texts.mapInArrow(_sets, "node long, members array<long>"))
     links = united(alive, sets, similarity)
     own = groups.select("key", "node", "first", "_n")
-    members = components(links.select(F.col("hub").alias("u"), F.col("node").alias("v"))).join(own, "node")
-    heads = members.groupBy("root").agg(F.min("first").alias("head"), count.alias("_n"))
+    members = stored(components(links.select(F.col("hub").alias("u"), F.col("node").alias("v"))).join(own, "node").select("key", "first", "root"))
+    heads = stored(members.groupBy("root").agg(F.min("first").alias("head"), count.alias("_n")))
     heads = _spread(members.select("key", "root"), heads, ["root"], groups.count()).select("key", "head")
-    of_key = own.join(heads, "key", "left").select("key", "_n", F.coalesce("head", "first")["doc_id"].alias("component_id"))
+    of_key = stored(own.join(heads, "key", "left").select("key", "_n", F.coalesce("head", "first")["doc_id"].alias("component_id")))
     rows = _spread(signed.where("key IS NOT NULL").select("doc_id", "n_shingles", "key"), of_key, ["key"], signed.count()).select("doc_id", "n_shingles", "component_id")
     rows = rows.unionByName(signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

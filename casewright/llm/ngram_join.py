@@ -143,11 +143,12 @@ def components(edges: DataFrame) -> DataFrame:
         n = 2 * edges.count()
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("u", "m").alias("m"), "_n")
-        large = _spread(both.where("v > u"), low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # stored, as each use of a plan is planned and compiled again on the driver
+        large = stored(_spread(both.where("v > u"), low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"), count)
         small = _spread(large, low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         fewer = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        drop(edges)
+        drop(edges, large)
         edges = fewer
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
