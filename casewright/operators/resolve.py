@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewright.functions.session import ship
+from casewright.functions.session import kept, ship
 from casewright.functions.text import fuzzy_name, mentions
 
 #: Names a block, mentions a block, counters of letters (letters that share one only raise the bound).
 NAMES, MENTIONS, LETTERS = 4096, 2048, 40
+#: Mentions of one norm that a task joins with its name.
+SHARE = 100_000
 #: Tokens between the parties of a case.
 SEPARATORS = ("v.", "v")
 
@@ -204,6 +206,18 @@ def candidates(texts: DataFrame, key: str = "id", text: str = "text") -> DataFra
     return rows.withColumn("norm", fuzzy_name(F.col("raw")))
 
 
+def _named(found: DataFrame, got: DataFrame, counted: DataFrame) -> DataFrame:
+    """The mentions with what was got for their norm, if anything. ``counted``: norm, n.
+
+    A norm of very many mentions is dealt to tasks of about SHARE of them, each with a copy of its row.
+    """
+    heavy = F.broadcast(counted.where(F.col("n") > SHARE).select("norm", F.ceil(F.col("n") / SHARE).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = found.join(heavy, "norm", "left").withColumn("_part", F.pmod(F.xxhash64("key", "position"), parts).cast("int")).drop("_parts")
+    copies = got.join(heavy, "norm", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, ["norm", "_part"], "left").drop("_part")
+
+
 def resolve(texts: DataFrame, names: DataFrame, threshold: float = 82.0, key: str = "id", text: str = "text") -> DataFrame:
     """(key, position, raw, canonical, score, method) of every mention; unresolved ones have a null canonical.
 
@@ -214,11 +228,12 @@ def resolve(texts: DataFrame, names: DataFrame, threshold: float = 82.0, key: st
     blocks = names if "named" in names.columns else name_blocks(names)
     found = candidates(texts, key, text)
     first = blocks.select(F.explode("named").alias("n")).select("n.norm", F.col("n.name").alias("canonical"))
-    mentioned = found.select("norm").distinct()
+    counted = kept(found.groupBy("norm").agg(F.count(F.lit(1)).alias("n")), "mentioned")
+    mentioned = counted.select("norm")
     equal = mentioned.join(first, "norm").select("norm", "canonical", F.col("norm").alias("canonical_norm"), F.lit(100.0).alias("score"))
     others = mentioned.join(first, "norm", "left_anti")
     got = equal.unionByName(scored(others, blocks, threshold))
-    df = found.join(got, "norm", "left").withColumn("hit", F.col("canonical").isNotNull())
+    df = _named(found, got, counted).withColumn("hit", F.col("canonical").isNotNull())
     rank = F.when(F.col("raw") == F.col("canonical"), 3).when(F.col("norm") == F.col("canonical_norm"), 2).otherwise(1)
     df = df.withColumn("rank", F.when(F.col("hit"), rank))
     order = Window.partitionBy("key", "hit", F.when(F.col("hit"), F.col("canonical")).otherwise(F.col("raw"))).orderBy(F.desc("rank"), F.desc("score"), "position")
