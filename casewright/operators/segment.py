@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from casewright.functions.session import ship
 from casewright.functions.text import LINE_END, raw_text
@@ -249,49 +248,76 @@ PIPE = r"^\s*(\S.*?)\s*\|\s*(\d+)\s*$"
 HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 
 
+def _entries(markers: Column, text: Column) -> Column:
+    """array<struct<order_index, level, title, source_page, parent_index>> of a book's contents, in its own row.
+
+    Only lines that may be a title, a row or a heading are looked at; each step is over the book's array of them.
+    """
+    numbered = F.transform(lines(text), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    some = F.filter(numbered, lambda x: x["text"].rlike(r"(?i)contents|^#|\d\s*$"))
+
+    def read(x: Column) -> Column:
+        hashes = F.length(F.regexp_extract(x["text"], HEAD, 1))
+        body = F.when(hashes > 0, F.regexp_extract(x["text"], HEAD, 2)).otherwise(x["text"])
+        return F.struct(x["line"].alias("line"), x["text"].alias("text"), hashes.alias("hashes"), body.alias("body"), x["text"].rlike(CONTENTS).alias("is_title"), body.rlike(ROW).alias("dotted"), body.rlike(PIPE).alias("piped"))
+
+    def row(x: Column, start: Column) -> Column:
+        part = lambda k: F.when(x["dotted"], F.regexp_extract(x["body"], ROW, k)).otherwise(F.regexp_extract(x["body"], PIPE, k))
+        title = F.trim(F.regexp_replace(F.trim(part(1)), r"^[*_]+|[*_]+$", ""))
+        indent = F.length(x["text"]) - F.length(F.regexp_replace(x["text"], "^ +", ""))
+        level = F.when(x["hashes"] > 0, x["hashes"]).otherwise(F.least(1 + F.floor(indent / 4), F.lit(6))).cast("int")
+        is_row = (x["dotted"] | x["piped"]) & (x["line"] > start) & (title != "")
+        return F.struct(x["line"].alias("line"), x["text"].alias("text"), x["hashes"].alias("hashes"), is_row.alias("is_row"), level.alias("level"), title.alias("title"), F.when(is_row, part(2)).cast("int").alias("page"))
+
+    least = lambda found: F.get(found, F.lit(0))["line"]  # noqa: E731  the lines are in order
+    last = F.lit(2**31 - 1)
+
+    def listed(rows: Column) -> Column:
+        """The rows of the contents block: a heading that is no row ends it once there are rows."""
+        first = F.coalesce(least(F.filter(rows, lambda x: x["is_row"])), last)
+        ends = lambda x: (x["hashes"] > 0) & ~x["is_row"] & ~x["text"].contains(". . .") & ~x["text"].contains("…") & (x["line"] > first)
+        stop = F.coalesce(least(F.filter(rows, ends)), last)
+        mine = F.filter(rows, lambda x: x["is_row"] & (x["line"] < stop))
+        return F.transform(mine, lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("source_page")))
+
+    def headed(x: Column) -> Column:
+        before = F.filter(markers, lambda m: m["line_index"] <= x["line"])
+        page = F.coalesce(F.get(before, F.size(before) - 1)["value"], F.get(markers, F.lit(0))["value"], F.lit(0))
+        return F.struct(x["hashes"].alias("level"), F.trim(F.regexp_extract(x["text"], HEAD, 2)).alias("title"), page.alias("source_page"))
+
+    def entries(found: Column) -> Column:
+        start = least(F.filter(found, lambda x: x["is_title"]))
+        # without a contents block no line is a row, also where every line looks like one
+        rows = F.when(start.isNotNull(), _let(_let(start, lambda at: F.transform(F.filter(found, lambda x: (x["line"] > at) & (x["dotted"] | x["piped"] | (x["hashes"] > 0))), lambda x: row(x, at))), listed))
+        headings = F.transform(F.filter(found, lambda x: (x["hashes"] > 0) & ~x["is_title"]), headed)
+        return _let(rows, lambda r: F.when(F.size(r) > 0, r).otherwise(headings))
+
+    return _let(_let(F.transform(some, read), entries), parents)
+
+
+def _let(value: Column, f) -> Column:
+    """Evaluate ``value`` once and use it in ``f``."""
+    return F.transform(F.array(value), f)[0]
+
+
+def parents(rows: Column) -> Column:
+    """The entries (level 1 to 6, title, source_page) with order_index and parent_index: the latest earlier entry of a lower level."""
+    kind = "struct<seen:array<int>,out:array<struct<order_index:int,level:int,title:string,source_page:int,parent_index:int>>>"
+    zero = F.struct(F.array_repeat(F.lit(None).cast("int"), 6).alias("seen"), F.array().alias("out")).cast(kind)
+
+    def step(a: Column, x: Column) -> Column:
+        at = F.size(a["out"])
+        entry = F.struct(at.alias("order_index"), x["level"].alias("level"), x["title"].alias("title"), x["source_page"].alias("source_page"), F.array_max(F.slice(a["seen"], F.lit(1), x["level"] - 1)).alias("parent_index"))
+        seen = F.transform(a["seen"], lambda v, i: F.when(i + 1 == x["level"], at).otherwise(v))
+        return F.struct(seen.alias("seen"), F.concat(a["out"], F.array(entry)).alias("out")).cast(kind)
+
+    return F.aggregate(rows, zero, step, lambda a: a["out"])
+
+
 def toc(marked: DataFrame) -> DataFrame:
     """(book_id, order_index, level, title, source_page, parent_index) from a contents block, else from headings.
 
     A heading takes the page of the last marker at or before its line, the first marker's before all, 0 without any.
+    A book's contents are found in its own row, so nothing is shuffled.
     """
-    df = marked.select("book_id", "markers", F.posexplode(lines(F.col("markdown"))).alias("line", "text"))
-    in_book = Window.partitionBy("book_id")
-    df = df.withColumn("start", F.min(F.when(F.col("text").rlike(CONTENTS), F.col("line"))).over(in_book))
-    hashes = F.length(F.regexp_extract("text", HEAD, 1))
-    body = F.when(hashes > 0, F.regexp_extract("text", HEAD, 2)).otherwise(F.col("text"))
-    is_row = body.rlike(ROW) | body.rlike(PIPE)
-    title = F.trim(F.regexp_replace(F.trim(F.when(body.rlike(ROW), F.regexp_extract(body, ROW, 1)).otherwise(F.regexp_extract(body, PIPE, 1))), r"^[*_]+|[*_]+$", ""))
-    page = F.when(body.rlike(ROW), F.regexp_extract(body, ROW, 2)).otherwise(F.regexp_extract(body, PIPE, 2))
-    indent = F.length("text") - F.length(F.regexp_replace("text", "^ +", ""))
-    level = F.when(hashes > 0, hashes).otherwise(F.least(1 + F.floor(indent / 4), F.lit(6)))
-    # without a contents block no line is a row, also where every line looks like one
-    after = F.coalesce(F.col("line") > F.col("start"), F.lit(False))
-    df = df.withColumns({"hashes": hashes, "is_row": is_row & after & (title != ""), "row_title": title, "row_page": F.expr("NULL").cast("int"), "row_level": level.cast("int")})
-    df = df.withColumn("row_page", F.when(F.col("is_row"), page).cast("int"))
-    # a heading that is no row ends the block once there are rows
-    first = F.min(F.when(F.col("is_row"), F.col("line"))).over(in_book)
-    df = df.withColumn("first_row", first)
-    stop = F.min(F.when((F.col("hashes") > 0) & ~F.col("is_row") & ~F.col("text").contains(". . .") & ~F.col("text").contains("…") & (F.col("line") > F.col("first_row")), F.col("line"))).over(in_book)
-    df = df.withColumn("stop", stop).withColumn("in_contents", F.col("is_row") & (F.col("line") < F.coalesce("stop", F.lit(2**31 - 1))))
-    df = df.withColumn("has_rows", F.max("in_contents").over(in_book))
-    before = F.filter("markers", lambda m: m["line_index"] <= F.col("line"))
-    snapped = F.coalesce(F.element_at(before, F.when(F.size(before) > 0, -1).otherwise(F.lit(None).cast("int")))["value"], F.get("markers", F.lit(0))["value"], F.lit(0))
-    heading = ~F.col("has_rows") & (F.col("hashes") > 0) & ~F.col("text").rlike(CONTENTS)
-    rows = df.where(F.col("in_contents") | heading).select(
-        "book_id", "line",
-        F.when(F.col("in_contents"), F.col("row_level")).otherwise(F.col("hashes")).cast("int").alias("level"),
-        F.when(F.col("in_contents"), F.col("row_title")).otherwise(F.trim(F.regexp_extract("text", HEAD, 2))).alias("title"),
-        F.when(F.col("in_contents"), F.col("row_page")).otherwise(snapped).cast("int").alias("source_page"),
-    )
-    rows = rows.withColumn("order_index", F.row_number().over(in_book.orderBy("line")) - 1).drop("line")
-    return parents(rows)
-
-
-def parents(rows: DataFrame) -> DataFrame:
-    """The parent of an entry: the latest earlier entry of a lower level. Levels are 1 to 6, so five windows find it."""
-    earlier = Window.partitionBy("book_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.lit(None).cast("int")
-    for level in range(1, 6):
-        last = F.last(F.when(F.col("level") == level, F.col("order_index")), ignorenulls=True).over(earlier)
-        best = F.when(F.col("level") > level, F.greatest(best, last)).otherwise(best)
-    return rows.withColumn("parent_index", best)
+    return marked.select("book_id", F.inline(_entries(F.col("markers"), F.col("markdown"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import resolve
+from casewright.operators import resolve, segment
 
 
 @pytest.fixture
@@ -43,3 +43,16 @@ def test_mentions_of_one_name_are_dealt_to_many_tasks(spark, plain_joins, monkey
     rows = got.groupBy("canonical").count().collect()
     assert {r[0]: r[1] for r in rows} == {"Alpha v. Beta": 600, "Gamma v. Delta": 1}
     assert len(joined) == 1 and joined[0] < 400, joined
+
+
+def test_contents_of_a_book_are_found_in_its_row(spark):
+    """No line is moved: the plan has no exchange and no window; parents, pages and the block's end are as they were."""
+    text = "# Before\nTable of Contents\nOne ..... 1\n    Two | 12\n# Three .... 20\n# After\nFour .... 9"
+    books = spark.createDataFrame([(1, text), (2, "# A\n1\n## B\n2\n### C\n## D"), (3, None)], "book_id long, markdown string")
+    got = segment.toc(segment.page_markers(books))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert sorted(map(tuple, got.select("book_id", "order_index", "level", "title", "source_page", "parent_index").collect())) == [
+        (1, 0, 1, "One", 1, None), (1, 1, 2, "Two", 12, 0), (1, 2, 1, "Three", 20, None),
+        (2, 0, 1, "A", 1, None), (2, 1, 2, "B", 1, 0), (2, 2, 3, "C", 2, 1), (2, 3, 2, "D", 2, 0),
+    ]
