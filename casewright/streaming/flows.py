@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from casewright.functions.session import cut, scratch, ship
+from casewright.functions.session import kept, scratch, ship
 from casewright.operators import ingest
 from casewright.operators.study import START
 from casewright.sources.archive import book_id
@@ -157,7 +157,7 @@ def ingest_books(uploads: DataFrame, corpora: DataFrame, path: str) -> str:
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = cut(batch)  # read by each table
+        batch = kept(batch, "uploads")  # its state is worked out once
         files = batch.select("title", "corpus_id", F.explode("files").alias("f")).select("title", "corpus_id", "f.*")
         none = spark.createDataFrame([], "id string")
         for name, rows in ingest.ingested(files, none, corpora).items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import resolve, segment
+from casewright.operators import ingest, resolve, segment
 
 
 @pytest.fixture
@@ -56,3 +56,16 @@ def test_contents_of_a_book_are_found_in_its_row(spark):
         (1, 0, 1, "One", 1, None), (1, 1, 2, "Two", 12, 0), (1, 2, 1, "Three", 20, None),
         (2, 0, 1, "A", 1, None), (2, 1, 2, "B", 1, 0), (2, 2, 3, "C", 2, 1), (2, 3, 2, "D", 2, 0),
     ]
+
+
+def test_books_are_stitched_and_marked_once(spark):
+    """Pages, blocks and contents are read from the marked books: none stitches, joins or marks again."""
+    rows = [("T", None, 1, "b.pdf", "2\n## B\ntext", "s2"), ("T", None, 0, "a.pdf", "1\n# A\nwords", "s1"), ("U", "gone", 0, "c.pdf", "1\nx", "s3")]
+    files = spark.createDataFrame(rows, "title string, corpus_id string, part int, path string, markdown string, sha256 string")
+    none = spark.createDataFrame([], "id string")
+    out = ingest.ingested(files, none, none)
+    assert {(r.title, r.state) for r in out["request"].collect()} == {("T", "new corpus"), ("U", "corpus not found")}
+    assert [(r.title, r.source_page_min, r.source_page_max) for r in out["book"].collect()] == [("T", 1, 2)]
+    for name, n in (("page", 2), ("block", 3), ("toc_entry", 2)):
+        assert "Exchange" not in out[name]._jdf.queryExecution().executedPlan().toString(), name
+        assert out[name].count() == n, name
