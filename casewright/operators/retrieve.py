@@ -48,17 +48,19 @@ def range_notes(pages: DataFrame, q: PageRange) -> DataFrame:
 
 
 def with_case(blocks: DataFrame) -> DataFrame:
-    """Add ``case_no``: headers and opinions so far in reading order. An opinion and what trails it share a number."""
+    """Add ``case_no``, headers and opinions so far in reading order, and ``opinion_id``, the last of them if it is an opinion.
+
+    An opinion and what trails it share both; a case starts with its only opinion, so one sorted window finds them.
+    """
     order = Window.partitionBy("book_id").orderBy(*READING, "id").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("case_no", F.sum(F.col("type").isin("case_header", "case_opinion").cast("long")).over(order))
+    starts = F.col("type").isin("case_header", "case_opinion")
+    last = F.last(F.when(starts, F.struct(F.when(F.col("type") == "case_opinion", F.col("id")).alias("id"))), ignorenulls=True)
+    return blocks.withColumns({"case_no": F.sum(starts.cast("long")).over(order), "opinion_id": last.over(order)["id"]})
 
 
 def case_trails(blocks: DataFrame) -> DataFrame:
     """Every opinion's blocks: the opinion itself and those up to the next header or opinion, with the opinion's id."""
-    df = with_case(blocks)
-    case = Window.partitionBy("book_id", "case_no")
-    opinion = F.max(F.when(F.col("type") == "case_opinion", F.col("id"))).over(case)
-    return df.withColumn("opinion_id", opinion).where(F.col("opinion_id").isNotNull())
+    return with_case(blocks).where(F.col("opinion_id").isNotNull())
 
 
 def case_reference(blocks: DataFrame, book_id, name: str) -> DataFrame:

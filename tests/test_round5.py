@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import ingest, resolve, segment
+from casewright.operators import ingest, resolve, retrieve, segment, verify
 
 
 @pytest.fixture
@@ -69,3 +69,18 @@ def test_books_are_stitched_and_marked_once(spark):
     for name, n in (("page", 2), ("block", 3), ("toc_entry", 2)):
         assert "Exchange" not in out[name]._jdf.queryExecution().executedPlan().toString(), name
         assert out[name].count() == n, name
+
+
+def test_equal_texts_of_a_batch_are_walked_once(spark):
+    texts = ['{"source_block_ids": ["b", "a", "b", 3]}', "no json", None, "", '{"x": [{"sources": [{"kind": "block", "id": "c"}]}]}']
+    walk = verify.cited_ids(F.col("t")).alias("ids")
+    rows = spark.createDataFrame([(i, texts[i % 5]) for i in range(50)], "i int, t string").coalesce(1).select("i", walk)
+    assert [r.ids for r in rows.orderBy("i").collect()] == [["b", "a"], [], [], [], ["c"]] * 10
+
+
+def test_trails_are_found_by_one_sort(spark):
+    kinds = ["narrative_text", "case_opinion", "header", "case_header", "header", "case_opinion", "case_opinion", "footnote"]
+    blocks = spark.createDataFrame([(10 * b + i, b, 1, i, k) for b in (1, 2) for i, k in enumerate(kinds)], "id long, book_id long, source_page int, order_index int, type string")
+    got = retrieve.case_trails(blocks)
+    assert sorted((r.id, r.opinion_id, r.case_no) for r in got.collect()) == [(10 * b + i, 10 * b + o, n) for b in (1, 2) for i, o, n in ((1, 1, 1), (2, 1, 1), (5, 5, 3), (6, 6, 4), (7, 6, 4))]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1
