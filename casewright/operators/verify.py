@@ -102,12 +102,15 @@ def cited_ids(content: Column, keys: tuple[str, ...] = ("source_block_ids",), ki
         def one(text: str | None) -> list[str]:
             out: dict[str, None] = {}
             try:
-                _harvest(json.loads(text or "null"), keys, kind, out)
+                _harvest(json.loads(text if isinstance(text, str) and text else "null"), keys, kind, out)
             except ValueError:
                 pass
             return list(out)
 
-        return texts.map(one)
+        # equal texts of a batch are walked once
+        numbers, distinct = pd.factorize(texts, use_na_sentinel=False)
+        found = pd.Series(list(map(one, distinct)), dtype=object)
+        return found.take(numbers).reset_index(drop=True)
 
     return walk(content)
 
