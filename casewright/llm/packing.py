@@ -38,6 +38,8 @@ LENGTH, END = 2048, 1
 BUCKETS, DIMS, BITS = 1024, 4, 10
 #: Documents a range, sampled keys a range, ranges at most.
 RANGE_ROWS, SAMPLE, RANGES = 1500, 24, 65_536
+#: Rows worked on at a time.
+PART = 256
 #: Distinct parts of words whose ids a worker keeps (some 200 bytes each).
 CACHE, LONG = 600_000, 64
 
@@ -174,28 +176,32 @@ def ranges_of(keys: np.ndarray, spare: np.ndarray, bounds: np.ndarray) -> np.nda
     return np.where(high > low, low + 1 + spare % np.maximum(high - low, 1), high)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, PART at a time: what a worker holds besides its batch doesn't grow with the batch."""
+    for batch in batches:
+        yield from (batch.slice(i, PART) for i in range(0, batch.num_rows, PART))
+
+
 def _vectors(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u2") for x in tokenize(batch.column(0).to_pylist(), path)]
-            if ids:
-                v = np.array([vector(x) for x in ids])
-                sizes = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in v.T.copy()], batch.column(1), sizes], [*_AXES, "tie", "n"])
+        for part in _parts(batches):
+            ids = [np.frombuffer(x, "<u2") for x in tokenize(part.column(0).to_pylist(), path)]
+            v = np.array([vector(x) for x in ids])
+            sizes = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in v.T.copy()], part.column(1), sizes], [*_AXES, "tie", "n"])
 
     return run
 
 
 def _keyed(path: str, centre: np.ndarray, scale: np.ndarray, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = tokenize(part.column(0).to_pylist(), path)
-                vectors = np.array([vector(np.frombuffer(x, "<u2")) for x in ids])
-                keys = curve_keys(vectors, part.column(1).to_numpy(), centre, scale)
-                ranges = ranges_of(keys, part.column(4).to_numpy(), bounds)
-                cols = [part.column(2), part.column(3), pa.array(keys), pa.array(ranges), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "key", "range", "n", "ids"])
+        for part in _parts(batches):
+            ids = tokenize(part.column(0).to_pylist(), path)
+            vectors = np.array([vector(np.frombuffer(x, "<u2")) for x in ids])
+            keys = curve_keys(vectors, part.column(1).to_numpy(), centre, scale)
+            ranges = ranges_of(keys, part.column(4).to_numpy(), bounds)
+            cols = [part.column(2), part.column(3), pa.array(keys), pa.array(ranges), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "key", "range", "n", "ids"])
 
     return run
 
@@ -223,9 +229,10 @@ def _cuts(start: int, n: int, total: int, length: int) -> list[tuple[int, int, i
 
 def _pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        _tokenizer.cache_clear()  # all is tokenized by now, and the worker that did it may be this one
+        for part in _parts(batches):
             cols: list[list] = [[] for _ in range(8)]
-            for doc, rng, n, ids, before, total in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, rng, n, ids, before, total in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 at = 0
                 for seq, offset, take in _cuts(before, n, total, length):
