@@ -12,21 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READING = ["book_id", "source_page", "order_index", "id"]
-#: Rows a bucket holds on average, buckets at most, bytes of a row group, rows of a page of it.
-BUCKET_ROWS, MOST, GROUP_BYTES, PAGE_ROWS = 4_000_000, 65_536, 16 << 20, 2000
+#: Rows a bucket holds on average, buckets at most, rows dealt to a task, bytes of a row group, rows of a page of it.
+BUCKET_ROWS, MOST, TASK_ROWS, GROUP_BYTES, PAGE_ROWS = 4_000_000, 65_536, 200_000, 16 << 20, 2000
 
 
 def bucket_of(book_id: Column, buckets: int) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(book_id), F.lit(buckets)).cast("int"), F.lit(-1))
 
 
-def write(rows: DataFrame, path: str, buckets: int | None = None, mode: str = "errorifexists") -> None:
-    """Write the table; ``buckets`` is chosen by the number of rows unless given. A failed write can be repeated with mode overwrite."""
-    n = buckets or max(1, min(MOST, -(-rows.count() // BUCKET_ROWS)))
+def tasks_of(count: int) -> int:
+    """So many tasks that each can sort its rows in memory, however many there are."""
+    return max(1, -(-count // TASK_ROWS))
+
+
+def write(rows: DataFrame, path: str, buckets: int | None = None, mode: str = "errorifexists", late: dict[str, Column] | None = None, count: int | None = None) -> None:
+    """Write the table; ``buckets`` is chosen by the number of rows unless given. A failed write can be repeated with mode overwrite.
+
+    ``late`` are columns made of the others when rows are written, so that long texts are neither shuffled nor sorted.
+    ``count`` is the number of rows, where it is known.
+    """
+    count = rows.count() if count is None else count
+    n = buckets or max(1, min(MOST, -(-count // BUCKET_ROWS)))
     order = [c for c in READING if c in rows.columns]
     kept = rows.withColumn("bucket", F.when(F.col("book_id").isNull(), -1).otherwise(bucket_of(F.col("book_id"), n)))
     kept = kept.withColumn("book_id", F.col("book_id").alias("book_id", metadata={"buckets": n}))
-    dealt = kept.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
+    dealt = kept.repartitionByRange(tasks_of(count), "bucket", *order).sortWithinPartitions("bucket", *order)
+    dealt = dealt.withColumns(late or {})
     dealt.write.mode(mode).option("parquet.block.size", str(GROUP_BYTES)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).partitionBy("bucket").parquet(path)
 
 
