@@ -218,7 +218,7 @@ def _(spark, d):
     corpora = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"))
     folder, out = scratch(spark, "uploads"), scratch(spark, "books")
     for some in (uploads.where("id % 3 <> 0"), uploads):
-        some.drop("id").write.mode("append").parquet(folder)
+        some.drop("id").write.mode("append").option("compression", "zstd").parquet(folder)
         flows.ingest_books(flows.follow(spark, folder), corpora, out)
     made = flows.book_tables(spark, out)
     count = lambda name: made[name].groupBy(F.col("book_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias(f"n_{name}"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from casewright.functions.session import kept, scratch, ship
+from casewright.functions.session import scratch, ship
 from casewright.operators import ingest
 from casewright.operators.study import START
 from casewright.sources.archive import book_id
@@ -142,9 +142,14 @@ BOOK_TABLES = ("request", "book", "page", "block", "toc_entry")
 
 
 def first_uploads(uploads: DataFrame) -> DataFrame:
-    """A stream of uploads (UPLOAD) without those whose files have come before: their hashes in order are the book's id, which state keeps."""
-    hashes = F.transform(F.array_sort("files"), lambda x: x["sha256"])
-    return uploads.where(F.size("files") > 0).withColumn("book_id", book_id(hashes)).dropDuplicates(["book_id"])
+    """A stream of uploads (UPLOAD) without those whose files have come before: their hashes in order are the book's id, which state keeps.
+
+    The id stands for the files' hashes, as bytes, so that they are not shuffled with the texts.
+    """
+    files = F.array_sort("files")
+    texts = F.transform(files, lambda x: F.struct(*[x[c].alias(c) for c in ("part", "path", "markdown")]))
+    rows = uploads.where(F.size("files") > 0).select(F.unhex(book_id(F.transform(files, lambda x: x["sha256"]))).alias("book_id"), "title", "corpus_id", texts.alias("files"))
+    return rows.dropDuplicates(["book_id"])
 
 
 def ingest_books(uploads: DataFrame, corpora: DataFrame, path: str) -> str:
@@ -157,11 +162,11 @@ def ingest_books(uploads: DataFrame, corpora: DataFrame, path: str) -> str:
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = kept(batch, "uploads")  # its state is worked out once
-        files = batch.select("title", "corpus_id", F.explode("files").alias("f")).select("title", "corpus_id", "f.*")
-        none = spark.createDataFrame([], "id string")
-        for name, rows in ingest.ingested(files, none, corpora).items():
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/n={number}")
+        # an upload is a whole book, and what comes of the batch's state is read once
+        files = F.transform("files", lambda x: F.struct(*[x[c].alias(c) for c in ("part", "path", "markdown")], ingest.page_offsets(x["markdown"]).alias("offsets")))
+        books = ingest.stitched(batch.select(F.lower(F.hex("book_id")).alias("book_id"), "title", "corpus_id", files.alias("f")))
+        for name, rows in ingest.ingested_books(books, None, corpora).items():
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/n={number}")
         spark.range(1).select(F.lit(number).alias("n")).write.mode("overwrite").json(f"{path}/batches/n={number}")
 
     first_uploads(uploads).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
